@@ -294,3 +294,365 @@ ORACLE["enrich_events"] = with_ev(
     f"SELECT {EVENT_COLUMNS}, geo_country, geo_city, geo_lat, geo_lon, geo_risk, ip_reputation, asn, mitre_technique, mitre_tactic FROM enriched",
     INTEL, ENRICHED,
 )
+
+# Features and models.
+ORACLE["ip_features"] = with_ev(
+    f"""SELECT ip_address, failed_count, success_count, total_events, {rnd('hour_mean', 6)} AS hour_mean,
+    {rnd('hour_std', 6)} AS hour_std, unique_users, {rnd('iet_mean', 2)} AS iet_mean, {rnd('iet_std', 2)} AS iet_std,
+    {rnd('iet_min', 6)} AS iet_min, night_logins, ip_reputation, geo_risk, {rnd('fail_ratio', 6)} AS fail_ratio FROM feat""",
+    INTEL, FEATURES,
+)
+ORACLE["iforest_contamination"] = with_ev(
+    """SELECT count(DISTINCT ip_address) AS n_samples, CASE WHEN count(DISTINCT ip_address) < 5 THEN 0.2::DOUBLE
+    WHEN count(DISTINCT ip_address) < 20 THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END AS contamination FROM ev"""
+)
+ORACLE["heuristic_anomaly"] = with_ev("SELECT * FROM flagged", INTEL, FEATURES, HEURISTIC)
+ORACLE["anomaly_ranking"] = with_ev(
+    "SELECT *, CASE WHEN is_anomaly THEN 'ANOMALY' ELSE 'normal' END AS status FROM flagged", INTEL, FEATURES, HEURISTIC
+)
+
+FEATURE_NAMES = (
+    "failed_count success_count total_events hour_mean hour_std unique_users iet_mean iet_std iet_min "
+    "night_logins ip_reputation geo_risk fail_ratio"
+).split()
+SCALED = "scaled AS (SELECT ip_address, " + ", ".join(
+    f"({c} - (SELECT avg({c}) FROM feat)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END FROM feat) AS {c}"
+    for c in FEATURE_NAMES
+) + " FROM feat)"
+VARYING = " + ".join(f"CASE WHEN min({c}) < max({c}) THEN 1 ELSE 0 END" for c in FEATURE_NAMES)
+PARAMS = f"""
+params AS (
+  SELECT count(*) AS n, CASE WHEN count(*) < 2 THEN 1.0::DOUBLE
+    ELSE greatest(0.5::DOUBLE, ({VARYING}) / {len(FEATURE_NAMES)}.0::DOUBLE * 0.8::DOUBLE) END AS eps,
+    CASE WHEN count(*) < 2 THEN 1 WHEN count(*) < 50 THEN 2 ELSE 5 END AS min_samples
+  FROM feat
+)"""
+DISTANCE = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in FEATURE_NAMES)
+CAMPAIGNS = f"""
+near AS (
+  SELECT a.ip_address AS a, b.ip_address AS b FROM scaled a, scaled b, params
+  WHERE sqrt({DISTANCE}) <= eps
+), core AS (
+  SELECT a AS ip FROM near, params GROUP BY a, min_samples HAVING count(*) >= min_samples
+), core_links AS (
+  SELECT a, b FROM near WHERE a IN (SELECT ip FROM core) AND b IN (SELECT ip FROM core)
+), seen AS (
+  SELECT ip_address AS ip, row_number() OVER (ORDER BY min(parsed_time), min(line_number)) AS pos FROM ev GROUP BY 1
+), reach AS (
+  SELECT c.ip, s.pos AS root FROM core c JOIN seen s USING (ip)
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN core_links l ON l.a = r.ip JOIN seen s ON s.ip = l.b WHERE r.root < s.pos
+), component AS (
+  SELECT ip, min(root) AS root FROM reach GROUP BY 1
+), numbered AS (
+  SELECT ip, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM component
+), border AS (
+  SELECT n.a AS ip, min(m.cluster) AS cluster FROM near n JOIN numbered m ON m.ip = n.b
+  WHERE n.a NOT IN (SELECT ip FROM core) GROUP BY 1
+), campaigns AS (
+  SELECT f.ip_address, CAST(coalesce(m.cluster, b.cluster, -1) AS BIGINT) AS campaign_cluster,
+    CASE WHEN coalesce(m.cluster, b.cluster, -1) < 0 THEN 'Lone Actor' ELSE 'Campaign #' || coalesce(m.cluster, b.cluster) END AS cluster_label
+  FROM feat f LEFT JOIN numbered m ON m.ip = f.ip_address LEFT JOIN border b ON b.ip = f.ip_address
+)"""
+ORACLE["scaled_features"] = with_ev(
+    "SELECT ip_address, " + ", ".join(f"{rnd(c, 5)} AS {c}" for c in FEATURE_NAMES) + " FROM scaled",
+    INTEL, FEATURES, SCALED,
+)
+ORACLE["dbscan_params"] = with_ev(
+    f"SELECT n, {rnd('eps', 6)} AS eps, min_samples FROM params", INTEL, FEATURES, PARAMS
+)
+ORACLE["ip_campaigns"] = with_ev("SELECT * FROM campaigns", INTEL, FEATURES, SCALED, PARAMS, CAMPAIGNS)
+ORACLE["campaign_members"] = with_ev(
+    """SELECT campaign_cluster, cluster_label, count(*) OVER (PARTITION BY campaign_cluster) AS members, ip_address
+    FROM campaigns WHERE campaign_cluster >= 0""",
+    INTEL, FEATURES, SCALED, PARAMS, CAMPAIGNS,
+)
+
+# Scoring.
+ORACLE["risk_factors"] = with_scores(
+    "SELECT ip_address, position, factor, raw, raw AS weighted, description FROM factor_rows"
+)
+ORACLE["risk_scores"] = with_scores("SELECT ip_address, geo_country, score, level FROM scores")
+ORACLE["severity_level"] = with_scores("SELECT ip_address, level FROM scores")
+ORACLE["severity_summary"] = with_scores(
+    """SELECT l.level, count(s.ip_address) AS ips FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW')) l(level)
+    LEFT JOIN scores s USING (level) GROUP BY 1"""
+)
+ORACLE["severity_ranking"] = with_scores(
+    "SELECT row_number() OVER (ORDER BY score DESC, ip_address) AS severity_rank, ip_address, score, level FROM scores"
+)
+ORACLE["top_factor"] = with_scores(
+    """SELECT ip_address, score, level, geo_country, factor AS top_factor FROM scores JOIN (
+      SELECT ip_address, factor, row_number() OVER (PARTITION BY ip_address ORDER BY raw DESC, position) AS rn FROM factor_rows
+    ) USING (ip_address) WHERE rn = 1"""
+)
+ORACLE["top_factor_breakdown"] = with_scores(
+    """SELECT f.ip_address, position, factor, raw, raw AS weighted, description, score, level FROM factor_rows f JOIN (
+      SELECT ip_address, score, level FROM scores ORDER BY score DESC, ip_address LIMIT 5) USING (ip_address)"""
+)
+ORACLE["kpi_counts"] = with_scores(
+    """SELECT count(*) AS total, count(*) FILTER (event = 'FAILED_LOGIN') AS failed,
+    count(*) FILTER (event = 'SUCCESSFUL_LOGIN') AS success, count(DISTINCT ip_address) AS all_ips,
+    count(DISTINCT ip_address) FILTER (ip_address <> 'Internal') AS unique_ips,
+    (SELECT count(*) FROM scores WHERE level = 'CRITICAL') AS critical_ips,
+    (SELECT count(*) FROM scores WHERE level = 'HIGH') AS high_risk_ips FROM ev"""
+)
+ACTIONS = """
+history AS (
+  SELECT ip_address AS ip FROM ev WHERE event = 'FAILED_LOGIN' GROUP BY 1 HAVING count(*) >= 15
+), actions AS (
+  SELECT ip_address AS ip, NULL::VARCHAR AS user, 'IP_BLOCK' AS action, 'WAF / Cloudflare' AS target, 'SUCCESS' AS status
+  FROM scores WHERE score >= 40 AND ip_address NOT IN (SELECT ip FROM history)
+  UNION ALL
+  SELECT NULL, 'compromised_user', 'ACCOUNT_LOCKOUT', 'Active Directory', 'ENFORCED'
+  WHERE EXISTS (SELECT 1 FROM scores WHERE score >= 40 AND NOT honey AND f2 > 0)
+)"""
+ORACLE["response_actions"] = with_scores("SELECT * FROM actions", ACTIONS)
+ORACLE["export_scored_csv"] = with_scores(
+    f"""SELECT {EVENT_COLUMNS.replace('parsed_time', "strftime(parsed_time, '%Y-%m-%d %H:%M:%S.%f') AS parsed_time")},
+    coalesce(score, 0.0::DOUBLE) AS risk_score, coalesce(level, 'LOW') AS severity_level
+    FROM ev LEFT JOIN (SELECT * FROM scores WHERE level <> 'MEDIUM') s USING (ip_address)"""
+)
+
+# Forensics.
+PHASED = f"""
+ordering(phase, ord) AS (VALUES ('RECONNAISSANCE', 0), ('INITIAL_ACCESS', 1), ('EXECUTION', 2), ('PERSISTENCE', 3),
+  ('PRIVILEGE_ESCALATION', 4), ('DEFENSE_EVASION', 5), ('LATERAL_MOVEMENT', 6)),
+allowed(src_phase, dst_phase) AS (VALUES ('RECONNAISSANCE', 'INITIAL_ACCESS'), ('INITIAL_ACCESS', 'EXECUTION'),
+  ('INITIAL_ACCESS', 'PERSISTENCE'), ('INITIAL_ACCESS', 'PRIVILEGE_ESCALATION'), ('EXECUTION', 'PERSISTENCE'),
+  ('EXECUTION', 'PRIVILEGE_ESCALATION'), ('PERSISTENCE', 'PRIVILEGE_ESCALATION'), ('PERSISTENCE', 'LATERAL_MOVEMENT'),
+  ('PRIVILEGE_ESCALATION', 'DEFENSE_EVASION'), ('PRIVILEGE_ESCALATION', 'LATERAL_MOVEMENT'), ('DEFENSE_EVASION', 'LATERAL_MOVEMENT')),
+nodes AS (
+  SELECT ip_address, row_number() OVER (PARTITION BY ip_address ORDER BY parsed_time, line_number) - 1 AS id,
+    CASE WHEN {NIGHT} THEN 'PERSISTENCE' WHEN event IN ('FAILED_LOGIN', 'INVALID_USER') THEN 'RECONNAISSANCE'
+      WHEN event = 'SUCCESSFUL_LOGIN' THEN 'INITIAL_ACCESS' WHEN event IN ('ROOT_ACCESS', 'SUDO_ATTEMPT') THEN 'PRIVILEGE_ESCALATION'
+      WHEN event = 'DISCONNECT' THEN 'DEFENSE_EVASION' ELSE 'EXECUTION' END AS phase,
+    event, parsed_time AS time, substr(message, 1, 80) AS details, username FROM ev
+), summary AS (
+  SELECT ip_address, count(*) AS node_count, string_agg(DISTINCT phase, ',') AS any_order,
+    {rnd('max(ord) / 6.0::DOUBLE', 3)} AS kill_chain_progress FROM nodes JOIN ordering USING (phase) GROUP BY 1
+), phases AS (
+  SELECT ip_address, string_agg(phase, ' → ' ORDER BY ord) AS phases_reached
+  FROM (SELECT DISTINCT ip_address, phase, ord FROM nodes JOIN ordering USING (phase)) GROUP BY 1
+)"""
+SUMMARY_COLUMNS = "s.ip_address, s.node_count, p.phases_reached, s.kill_chain_progress"
+ORACLE["chain_nodes"] = with_ev("SELECT * FROM nodes", PHASED)
+ORACLE["chain_edges"] = with_ev(
+    """SELECT a.ip_address, a.id AS src, min(b.id) AS dst FROM nodes a JOIN allowed ON a.phase = src_phase
+    JOIN nodes b ON b.ip_address = a.ip_address AND b.phase = dst_phase AND b.id > a.id GROUP BY 1, 2""",
+    PHASED,
+)
+ORACLE["chain_summary"] = with_ev(
+    f"SELECT {SUMMARY_COLUMNS} FROM summary s JOIN phases p USING (ip_address)", PHASED
+)
+ORACLE["attack_chains"] = with_scores(
+    f"""SELECT {SUMMARY_COLUMNS}, (SELECT count(DISTINCT (a.id)) FROM nodes a JOIN allowed ON a.phase = src_phase
+      JOIN nodes b ON b.ip_address = a.ip_address AND b.phase = dst_phase AND b.id > a.id WHERE a.ip_address = s.ip_address) AS edge_count
+    FROM summary s JOIN phases p USING (ip_address) JOIN scores c USING (ip_address) WHERE c.level IN ('HIGH', 'CRITICAL')""",
+    PHASED,
+)
+SESSIONS = """
+starts AS (
+  SELECT *, CASE WHEN lag(parsed_time) OVER w IS NULL OR epoch_us(parsed_time) - epoch_us(lag(parsed_time) OVER w) > 1800000000 THEN 1 ELSE 0 END AS is_new
+  FROM ev WINDOW w AS (PARTITION BY ip_address ORDER BY parsed_time, line_number)
+), ordinals AS (
+  SELECT *, sum(is_new) OVER (PARTITION BY ip_address ORDER BY parsed_time, line_number ROWS UNBOUNDED PRECEDING) AS ordinal FROM starts
+), session_numbers AS (
+  SELECT ip_address, ordinal, row_number() OVER (ORDER BY min(parsed_time), min(line_number)) AS n FROM ordinals GROUP BY 1, 2
+), linked AS (
+  SELECT o.*, printf('S-%04d', n) AS session_id FROM ordinals o JOIN session_numbers USING (ip_address, ordinal)
+)"""
+ORACLE["link_sessions"] = with_ev(f"SELECT {EVENT_COLUMNS}, session_id FROM linked", SESSIONS)
+ORACLE["timeline"] = with_ev(
+    """SELECT row_number() OVER w - 1 AS position, source_file, line_number, parsed_time, ip_address, username, event, session_id,
+    coalesce(lag(session_id) OVER w <> session_id, false) AS session_changed FROM linked WINDOW w AS (ORDER BY parsed_time, line_number)""",
+    SESSIONS,
+)
+ENTROPY = """
+ordered AS (SELECT row_number() OVER (ORDER BY parsed_time, line_number) - 1 AS i, epoch_us(parsed_time) AS t FROM ev),
+deltas AS (SELECT i, (lead(t) OVER (ORDER BY i) - t) / 1e6 AS delta FROM ordered),
+total AS (SELECT count(*) AS n FROM ev),
+windowed AS (
+  SELECT w.s AS s, d.delta FROM (SELECT unnest(range(0, (SELECT greatest(n - 51, 0) FROM total), 10)) AS s) w
+  JOIN deltas d ON d.i >= w.s AND d.i < w.s + 50 WHERE (SELECT n >= 100 FROM total)
+), bounds AS (
+  SELECT s, CASE WHEN min(delta) = max(delta) THEN min(delta) - 0.5 ELSE min(delta) END AS lo,
+    CASE WHEN min(delta) = max(delta) THEN max(delta) + 0.5 ELSE max(delta) END AS hi FROM windowed GROUP BY 1
+), guessed AS (
+  SELECT s, delta, lo, (hi - lo) / 20 AS width, least(floor((delta - lo) / (hi - lo) * 20), 19) AS g FROM windowed JOIN bounds USING (s)
+), binned AS (
+  SELECT s, CASE WHEN delta < g * width + lo THEN g - 1 WHEN g < 19 AND delta >= (g + 1) * width + lo THEN g + 1 ELSE g END AS bin, count(*) AS c
+  FROM guessed GROUP BY 1, 2
+), entropies AS (
+  SELECT s + 25 AS center, -sum(c / 50.0::DOUBLE * log2(c / 50.0::DOUBLE + 1e-12::DOUBLE)) AS entropy FROM binned GROUP BY 1
+)"""
+ORACLE["entropy_series"] = with_ev(f"SELECT center, {rnd('entropy', 4)} + 0.0 AS entropy FROM entropies", ENTROPY)
+ORACLE["tamper_regions"] = with_ev(
+    f"""SELECT greatest(center - 25, 0) AS start_idx, least(center + 25, (SELECT n FROM total)) AS end_idx,
+    {rnd('entropy', 4)} AS entropy, {rnd('abs(entropy - m) / s', 2)} AS z_score, {rnd('m', 4)} AS baseline_entropy
+    FROM entropies, (SELECT avg(entropy) AS m, stddev_pop(entropy) AS s FROM entropies) WHERE s > 0 AND abs(entropy - m) / s > 2.0""",
+    ENTROPY,
+)
+ORACLE["pivot_points"] = with_ev(
+    """SELECT node AS ip, neighbour AS host_involved, hosts_count, 'HIGH' AS risk FROM (
+      SELECT *, count(*) OVER (PARTITION BY node) AS hosts_count FROM (
+        SELECT ip_address AS node, host AS neighbour FROM ev WHERE event = 'SUCCESSFUL_LOGIN'
+        UNION SELECT host, ip_address FROM ev WHERE event = 'SUCCESSFUL_LOGIN') WHERE contains(node, '.')
+    ) WHERE hosts_count > 1"""
+)
+ORACLE["ip_narrative"] = with_scores(
+    """SELECT c.ip_address, c.score, c.level,
+    '### [AGENT REPORT] Threat Analysis for ' || c.ip_address || chr(10) || chr(10)
+    || 'Our neural engine classifies this entity as **' || c.level || '** (Confidence: ' || CAST(c.score AS VARCHAR) || '%).' || chr(10)
+    || CASE WHEN p.phases_reached LIKE '%PRIVILEGE_ESCALATION%' THEN '- **Critical Alert**: The attacker successfully escalated privileges after initial access.' || chr(10)
+       WHEN p.phases_reached LIKE '%INITIAL_ACCESS%' THEN '- **Warning**: Initial access was achieved. Monitoring for lateral movement.' || chr(10) ELSE '' END
+    || '- **Kill Chain Progress**: Entity has completed ' || printf('%.0f', round_even(coalesce(s.kill_chain_progress, 0.0) * 100, 0)) || '% of a standard attack cycle.' || chr(10)
+    || CASE WHEN c.score > 40 THEN chr(10) || '**RECO: [AUTONOMOUS]** Pulsing block to firewall. Isolate affected subnets.'
+       ELSE chr(10) || '**RECO:** Continue passive observation. Flag for manual triage.' END AS narrative
+    FROM scores c LEFT JOIN (SELECT * FROM summary WHERE ip_address IN (SELECT ip_address FROM scores WHERE level IN ('HIGH', 'CRITICAL'))) s USING (ip_address)
+    LEFT JOIN (SELECT * FROM phases WHERE ip_address IN (SELECT ip_address FROM scores WHERE level IN ('HIGH', 'CRITICAL'))) p USING (ip_address)
+    WHERE c.score >= 15""",
+    PHASED,
+)
+
+# Reports.
+ORACLE["event_type_counts"] = with_ev("SELECT event, count(*) AS events FROM ev GROUP BY 1")
+ORACLE["failed_by_ip"] = with_ev(
+    "SELECT ip_address, count(*) AS failed_count FROM ev WHERE event = 'FAILED_LOGIN' GROUP BY 1"
+)
+ORACLE["fail_success_by_ip"] = with_ev(
+    """SELECT ip_address, count(*) FILTER (event = 'FAILED_LOGIN') AS failed,
+    count(*) FILTER (event = 'SUCCESSFUL_LOGIN') AS success FROM ev GROUP BY 1"""
+)
+ORACLE["unique_ips"] = with_ev("SELECT DISTINCT ip_address FROM ev WHERE ip_address <> 'Internal'")
+ORACLE["events_by_ip"] = with_ev(f"SELECT {EVENT_COLUMNS} FROM ev WHERE ip_address = '198.51.100.7'")
+ORACLE["events_by_time"] = with_ev(f"SELECT {EVENT_COLUMNS} FROM ev")
+ORACLE["failed_heatmap"] = with_ev(
+    "SELECT d.weekday, " + ", ".join(
+        f"count(*) FILTER (event = 'FAILED_LOGIN' AND hour(parsed_time) = {h}) AS h{h:02d}" for h in range(24)
+    ) + """ FROM (VALUES (1, 'Monday'), (2, 'Tuesday'), (3, 'Wednesday'), (4, 'Thursday'), (5, 'Friday'), (6, 'Saturday'), (7, 'Sunday')) d(n, weekday)
+    LEFT JOIN ev ON isodow(parsed_time) = d.n GROUP BY 1"""
+)
+ORACLE["login_frequency"] = with_ev(
+    f"""SELECT minute, events, {rnd('m + 2 * s', 6)} AS threshold, coalesce(events > m + 2 * s, false) AS is_spike FROM per_minute,
+    (SELECT avg(events) AS m, stddev_samp(events) AS s FROM per_minute)""",
+    """per_minute AS (
+      SELECT minute, coalesce(c, 0) AS events FROM (
+        SELECT unnest(generate_series(date_trunc('minute', min(parsed_time)), date_trunc('minute', max(parsed_time)), INTERVAL 1 MINUTE)) AS minute FROM ev)
+      LEFT JOIN (SELECT date_trunc('minute', parsed_time) AS minute, count(*) AS c FROM ev GROUP BY 1) USING (minute))""",
+)
+ORACLE["technique_counts"] = with_ev(
+    f"""SELECT mitre_technique, split_part(mitre_technique, ' — ', 1) AS technique_id, split_part(mitre_technique, ' — ', 2) AS technique_name,
+    mitre_tactic, events, {rnd('events::DOUBLE / sum(events) OVER ()', 6)} AS share,
+    events > (SELECT median(events) FROM tech) AS above_median FROM tech""",
+    INTEL, ENRICHED, "tech AS (SELECT mitre_technique, mitre_tactic, count(*) AS events FROM enriched GROUP BY 1, 2)",
+)
+ORACLE["tactic_counts"] = with_ev(
+    f"""SELECT mitre_tactic, count(*) AS events, {rnd('count(*)::DOUBLE / sum(count(*)) OVER () * 100', 6)} AS percent,
+    {rnd('count(*)::DOUBLE / max(count(*)) OVER ()', 6)} AS of_largest FROM enriched GROUP BY 1""",
+    INTEL, ENRICHED,
+)
+ORACLE["geo_breakdown"] = with_ev(
+    f"""SELECT geo_country, count(DISTINCT ip_address) AS ips, count(*) AS events, {rnd('avg(geo_risk)', 6)} AS avg_risk
+    FROM enriched GROUP BY 1""",
+    INTEL, ENRICHED,
+)
+ORACLE["executive_summary"] = with_scores(
+    f"""SELECT CASE WHEN critical > 0 THEN 'CRITICAL' WHEN high > 0 THEN 'HIGH' WHEN medium > 0 THEN 'MEDIUM' ELSE 'LOW' END AS threat_level,
+    total_events, critical AS critical_ips, high AS high_ips,
+    (SELECT count(*) FROM fails, baseline WHERE failed_count >= threshold) AS bruteforce_sources,
+    (SELECT count(*) FROM ({ORACLE['compromise_pattern'].split('FROM raw_stats')[1].split(')', 1)[1]})) AS compromise_patterns,
+    (SELECT count(*) FROM flagged WHERE is_anomaly) AS anomalous_ips,
+    critical + high AS attack_chains,
+    (SELECT max(kill_chain_progress) FROM summary JOIN scores USING (ip_address) WHERE level IN ('HIGH', 'CRITICAL')) AS max_progress,
+    window_start, window_end, {rnd('(epoch_us(window_end) - epoch_us(window_start)) / 3.6e9', 6)} AS duration_hours, users,
+    (SELECT count(*) FROM session_numbers) AS sessions
+    FROM (SELECT count(*) AS total_events, min(parsed_time) AS window_start, max(parsed_time) AS window_end, count(DISTINCT username) AS users FROM ev),
+    (SELECT count(*) FILTER (level = 'CRITICAL') AS critical, count(*) FILTER (level = 'HIGH') AS high, count(*) FILTER (level = 'MEDIUM') AS medium FROM scores)""",
+    BASELINE, PHASED, SESSIONS,
+)
+
+# Behaviour of users: Viterbi decoding step by step, in the same fixed-point units.
+import math  # noqa: E402
+
+UNIT = float(1 << 32)
+
+
+def log_units(p):
+    return round(math.log(p + 1e-10) * UNIT)
+
+
+START = [0.85, 0.10, 0.05]
+MOVE = [[0.90, 0.08, 0.02], [0.20, 0.60, 0.20], [0.05, 0.15, 0.80]]
+EMIT = [[0.70, 0.05, 0.05, 0.10, 0.10], [0.30, 0.25, 0.15, 0.20, 0.10], [0.10, 0.30, 0.25, 0.25, 0.10]]
+
+
+def emitted(state):
+    return "CASE q.obs " + " ".join(f"WHEN {o} THEN {log_units(EMIT[state][o])}" for o in range(5)) + " END"
+
+
+def best_of(a, b, c):
+    """Index of the greatest, the first on ties."""
+    return f"CASE WHEN {a} >= {b} AND {a} >= {c} THEN 0 WHEN {b} >= {c} THEN 1 ELSE 2 END"
+
+
+def moved(state):
+    options = [f"f.s{i} + {log_units(MOVE[i][state])}" for i in range(3)]
+    return f"greatest({', '.join(options)}) + {emitted(state)} AS s{state}, {best_of(*options)} AS b{state}"
+
+
+STATES = """
+seq AS (
+  SELECT username, parsed_time, source_file, line_number,
+    row_number() OVER (PARTITION BY username ORDER BY parsed_time, line_number) AS i,
+    count(*) OVER (PARTITION BY username) AS n,
+    CASE WHEN event = 'SUCCESSFUL_LOGIN' AND hour(parsed_time) < 5 THEN 2
+      WHEN event = 'SUCCESSFUL_LOGIN' AND row_number() OVER (PARTITION BY username, ip_address ORDER BY parsed_time, line_number) = 1 THEN 3
+      WHEN event = 'FAILED_LOGIN' THEN 1 WHEN event IN ('ROOT_ACCESS', 'SUDO_ATTEMPT') THEN 4 ELSE 0 END AS obs
+  FROM ev WHERE username <> 'unknown'
+), forward AS (
+  SELECT username, i, """ + ", ".join(
+    f"CAST({log_units(START[j])} + {emitted(j)} AS BIGINT) AS s{j}, 0 AS b{j}" for j in range(3)
+) + """ FROM seq q WHERE i = 1
+  UNION ALL
+  SELECT q.username, q.i, """ + ", ".join(moved(j) for j in range(3)) + """
+  FROM forward f JOIN seq q ON q.username = f.username AND q.i = f.i + 1
+), backward AS (
+  SELECT f.username, f.i, """ + best_of("f.s0", "f.s1", "f.s2") + """ AS state
+  FROM forward f JOIN seq q ON q.username = f.username AND q.i = f.i AND q.i = q.n
+  UNION ALL
+  SELECT b.username, b.i - 1, CASE b.state WHEN 0 THEN f.b0 WHEN 1 THEN f.b1 ELSE f.b2 END
+  FROM backward b JOIN forward f ON f.username = b.username AND f.i = b.i WHERE b.i > 1
+), path AS (
+  SELECT q.*, CASE WHEN q.n < 2 THEN 0 ELSE b.state END AS state FROM seq q JOIN backward b ON b.username = q.username AND b.i = q.i
+), profiles AS (
+  SELECT username, count(*) AS event_count, count(*) FILTER (state = 1) AS elevated, count(*) FILTER (state = 2) AS compromised,
+    CASE max(state) FILTER (i = n) WHEN 0 THEN 'NORMAL' WHEN 1 THEN 'ELEVATED' ELSE 'COMPROMISED' END AS current_state,
+    CASE WHEN count(*) < 2 THEN 0.1::DOUBLE ELSE """ + rnd(
+    "(0.0::DOUBLE + count(*) FILTER (state = 1) * 0.3::DOUBLE + count(*) FILTER (state = 2) * 0.7::DOUBLE) / count(*)", 3
+) + """ END AS risk FROM path GROUP BY 1
+)"""
+ORACLE["user_observations"] = with_ev(
+    "SELECT username, parsed_time, source_file, line_number, obs AS observation FROM seq", STATES
+)
+ORACLE["user_state_path"] = with_ev(
+    """SELECT username, parsed_time, source_file, line_number, obs AS observation,
+    CASE state WHEN 0 THEN 'NORMAL' WHEN 1 THEN 'ELEVATED' ELSE 'COMPROMISED' END AS state FROM path""",
+    STATES,
+)
+ORACLE["user_profiles"] = with_ev("SELECT * FROM profiles", STATES)
+ORACLE["user_risk_ranking"] = with_ev("SELECT username, current_state, risk FROM profiles", STATES)
+ORACLE["insider_threats"] = with_ev(
+    """SELECT username, risk_score, current_state, concat_ws('; ', i1, i2, i3, i4) AS indicators, event_count FROM (
+      SELECT p.username, p.risk AS risk_score, p.current_state, a.event_count,
+        CASE WHEN current_state IN ('COMPROMISED', 'ELEVATED') THEN 'HMM state: ' || current_state END AS i1,
+        CASE WHEN nights > 0 THEN nights || ' night logins detected' END AS i2,
+        CASE WHEN ips > 3 THEN 'Accessed from ' || ips || ' different IPs' END AS i3,
+        CASE WHEN privilege > 0 THEN privilege || ' privilege escalation attempts' END AS i4
+      FROM profiles p JOIN (
+        SELECT username, count(*) AS event_count, count(*) FILTER (""" + NIGHT + """) AS nights,
+          count(DISTINCT ip_address) AS ips, count(*) FILTER (event IN ('ROOT_ACCESS', 'SUDO_ATTEMPT')) AS privilege
+        FROM ev GROUP BY 1) a USING (username))
+    WHERE (i1 IS NOT NULL)::INT + (i2 IS NOT NULL)::INT + (i3 IS NOT NULL)::INT + (i4 IS NOT NULL)::INT >= 2 OR risk_score > 0.3""",
+    STATES,
+)

@@ -3,7 +3,24 @@
 from pyspark.sql import functions as F
 
 from logsleuth.functions.columns import round_half_even
-from logsleuth.operators import detect, enrich, features, scoring
+from logsleuth.operators import (
+    anomaly,
+    behaviour,
+    campaigns,
+    chains,
+    detect,
+    enrich,
+    features,
+    insiders,
+    pivots,
+    reports,
+    response,
+    scoring,
+    sessions,
+    tamper,
+)
+from logsleuth.schema import IP_FEATURE_COLUMNS
+from logsleuth.sources import tables
 from logsleuth.sources.event_table import auth_events
 
 EVENT_COLUMNS = (
@@ -28,6 +45,67 @@ def on_intel(*columns):
     return on_events(lambda e: enrich.ip_intel(e).select(*columns))
 
 
+def rated(e):
+    """Risk scores with the heuristic as anomaly input, which SQL can follow."""
+    return scoring.risk_scores(e, anomaly.heuristic_anomaly(features.ip_features(e)))
+
+
+def on_scores(operator):
+    return on_events(lambda e: operator(rated(e)))
+
+
+def on_features(operator):
+    return on_events(lambda e: operator(features.ip_features(e)))
+
+
+def with_text(df, column, separator=" → "):
+    """Lists are compared as text."""
+    return df.withColumn(column, F.array_join(column, separator))
+
+
+def chain_overview(e):
+    """Summary of the rated chains with the number of their edges."""
+    made = chains.attack_chains(e, rated(e))
+    edges = made["edges"].groupBy("ip_address").agg(F.count("*").alias("edge_count"))
+    return with_text(
+        made["summary"].join(edges, "ip_address", "left").na.fill(0, ["edge_count"]), "phases_reached"
+    )
+
+
+def earlier_blocks(e):
+    """A history in which addresses with fifteen failures are blocked already."""
+    return (
+        detect.failures_per_ip(e)
+        .filter(F.col("failed_count") >= 15)
+        .select(
+            F.col("ip_address").alias("ip"),
+            F.lit(None).cast("string").alias("user"),
+            F.lit("IP_BLOCK").alias("action"),
+        )
+    )
+
+
+def grouped(e):
+    return campaigns.ip_campaigns(features.ip_features(e), features.first_seen(e))
+
+
+def on_profiles(operator):
+    return on_events(lambda e: operator(e, behaviour.user_profiles(e)))
+
+
+def summary_row(e):
+    scores = rated(e)
+    return reports.executive_summary(
+        e,
+        scores,
+        detect.bruteforce(e),
+        detect.compromise_pattern(e),
+        anomaly.heuristic_anomaly(features.ip_features(e)),
+        chains.chain_summary(e, scores),
+        sessions.sessions(e),
+    )
+
+
 QUERIES = {
     "adaptive_threshold": on_events(
         lambda e: rounded(detect.adaptive_threshold(e), "mean", "sigma", "threshold")
@@ -50,4 +128,72 @@ QUERIES = {
         )
     ),
     "enrich_events": on_events(lambda e: enrich.enrich_events(e).drop("raw_line")),
+    # Features and models.
+    "ip_features": on_features(
+        lambda f: rounded(
+            rounded(f, "hour_mean", "hour_std", "iet_min", "fail_ratio"), "iet_mean", "iet_std", digits=2
+        )
+    ),
+    "iforest_contamination": on_features(anomaly.iforest_contamination),
+    "heuristic_anomaly": on_features(anomaly.heuristic_anomaly),
+    "anomaly_ranking": on_features(lambda f: reports.anomaly_ranking(anomaly.heuristic_anomaly(f))),
+    "isolation_forest": on_features(anomaly.isolation_forest),
+    "scaled_features": on_features(
+        lambda f: rounded(campaigns.scaled_features(f), *IP_FEATURE_COLUMNS, digits=5)
+    ),
+    "dbscan_params": on_features(lambda f: rounded(campaigns.dbscan_params(f), "eps")),
+    "ip_campaigns": on_events(grouped),
+    "campaign_members": on_events(lambda e: reports.campaign_members(grouped(e))),
+    "user_observations": on_events(behaviour.user_observations),
+    "user_state_path": on_events(behaviour.user_state_path),
+    "user_profiles": on_profiles(lambda e, p: p),
+    "user_risk_ranking": on_profiles(lambda e, p: reports.user_risk_ranking(p)),
+    "insider_threats": on_profiles(
+        lambda e, p: with_text(insiders.insider_threats(e, p), "indicators", "; ")
+    ),
+    # Scoring.
+    "risk_factors": on_scores(scoring.factor_table),
+    "risk_scores": on_scores(lambda s: s.drop("factors")),
+    "severity_level": on_scores(lambda s: s.select("ip_address", "level")),
+    "severity_summary": on_scores(scoring.severity_summary),
+    "severity_ranking": on_scores(reports.severity_ranking),
+    "top_factor": on_scores(scoring.top_factor),
+    "top_factor_breakdown": on_scores(reports.top_factor_breakdown),
+    "kpi_counts": on_events(lambda e: reports.kpi_counts(e, rated(e))),
+    "response_actions": on_events(lambda e: response.response_actions(rated(e), earlier_blocks(e))),
+    "export_scored_csv": on_events(
+        lambda e: tables.scored_events(e, rated(e).filter(F.col("level") != "MEDIUM")).drop("raw_line")
+    ),
+    # Forensics.
+    "chain_nodes": on_events(lambda e: chains.chain_nodes(e).drop("_row")),
+    "chain_edges": on_events(lambda e: chains.chain_edges(chains.chain_nodes(e))),
+    "chain_summary": on_events(lambda e: with_text(chains.chain_summary(e), "phases_reached")),
+    "attack_chains": on_events(chain_overview),
+    "entropy_series": on_events(tamper.entropy_series),
+    "tamper_regions": on_events(tamper.tamper_regions),
+    "link_sessions": on_events(lambda e: sessions.link_sessions(e).drop("raw_line")),
+    "pivot_points": on_events(pivots.pivot_points),
+    "ip_narrative": on_events(
+        lambda e: response.ip_narrative(rated(e), chains.chain_summary(e, rated(e)))
+    ),
+    # Reports.
+    "event_type_counts": on_events(reports.event_type_counts),
+    "failed_by_ip": on_events(reports.failed_by_ip),
+    "fail_success_by_ip": on_events(reports.fail_success_by_ip),
+    "unique_ips": on_events(reports.unique_ips),
+    "events_by_ip": on_events(
+        lambda e: reports.events_by_ip(e, "198.51.100.7").select(EVENT_COLUMNS)
+    ),
+    "events_by_time": on_events(lambda e: reports.events_by_time(e).select(EVENT_COLUMNS)),
+    "timeline": on_events(lambda e: reports.timeline(sessions.link_sessions(e))),
+    "failed_heatmap": on_events(reports.failed_heatmap),
+    "login_frequency": on_events(lambda e: rounded(reports.login_frequency(e), "threshold")),
+    "technique_counts": on_events(
+        lambda e: rounded(reports.technique_counts(enrich.with_technique(e)), "share")
+    ),
+    "tactic_counts": on_events(
+        lambda e: rounded(reports.tactic_counts(enrich.with_technique(e)), "percent", "of_largest")
+    ),
+    "geo_breakdown": on_events(lambda e: rounded(reports.geo_breakdown(enrich.ip_intel(e)), "avg_risk")),
+    "executive_summary": on_events(lambda e: rounded(summary_row(e), "duration_hours")),
 }

@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from logsleuth.functions.columns import is_night_login, round_half_even
 from logsleuth.operators.distribute import cut
@@ -43,6 +43,9 @@ FAN_OUT = 4096
 UNIT = float(1 << 32)
 NEVER = -(1 << 60)
 
+LONGS = T.ArrayType(T.LongType())
+INTS = T.ArrayType(T.IntegerType())
+
 
 def fixed_point(probability: float) -> int:
     return round(math.log(probability + LOG_OFFSET) * UNIT)
@@ -134,7 +137,7 @@ def _scores(table, running, entry, starts, visit=None):
     return score
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(LONGS)
 def _chunk_product(codes: pd.Series, starts: pd.Series) -> pd.Series:
     """Max-plus product of the events of a chunk, as nine numbers by (from, to)."""
     table, order, _, running = _batches(codes)
@@ -171,7 +174,7 @@ def _decode(codes, starts, entry, ends=None):
     return order, lengths, state, path, final
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(INTS)
 def _chunk_back(codes: pd.Series, starts: pd.Series, entry: pd.Series) -> pd.Series:
     """State before the chunk for each state after it, and the best state after it."""
     order, _, state, _, final = _decode(codes, starts, entry)
@@ -180,7 +183,7 @@ def _chunk_back(codes: pd.Series, starts: pd.Series, entry: pd.Series) -> pd.Ser
     return pd.Series(list(result))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(INTS)
 def _chunk_states(codes: pd.Series, starts: pd.Series, entry: pd.Series, ends: pd.Series) -> pd.Series:
     order, lengths, _, path, _ = _decode(codes, starts, entry, ends)
     result = [None] * len(codes)
@@ -189,7 +192,7 @@ def _chunk_states(codes: pd.Series, starts: pd.Series, entry: pd.Series, ends: p
     return pd.Series(result)
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(LONGS)
 def _product(products: pd.Series) -> pd.Series:
     """Product of a bounded list of products, its best entry kept at 0."""
     result = []
@@ -202,7 +205,7 @@ def _product(products: pd.Series) -> pd.Series:
     return pd.Series(result)
 
 
-@F.pandas_udf("array<array<long>>")
+@F.pandas_udf(T.ArrayType(LONGS))
 def _entries(products: pd.Series, entry: pd.Series) -> pd.Series:
     """Entry scores of each child, from those of the node above; the best is kept at 0."""
     result = []
@@ -216,7 +219,7 @@ def _entries(products: pd.Series, entry: pd.Series) -> pd.Series:
     return pd.Series(result)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(INTS)
 def _compose(maps: pd.Series) -> pd.Series:
     """Composition of a bounded list of back-tracking maps; the last one's best state."""
     result = []
@@ -228,7 +231,7 @@ def _compose(maps: pd.Series) -> pd.Series:
     return pd.Series(result)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(INTS)
 def _ends(maps: pd.Series, end: pd.Series) -> pd.Series:
     """End state of each child, from the end state of the node above."""
     result = []

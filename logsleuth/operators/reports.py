@@ -99,7 +99,7 @@ def failed_heatmap(events: DataFrame) -> DataFrame:
         .withColumn("_hour", F.hour("parsed_time"))
         .groupBy(F.weekday("parsed_time").alias("position"))
         .pivot("_hour", hours)
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
     )
     named = counts.select("position", *[F.col(str(h)).alias(f"h{h:02d}") for h in hours])
     return (
