@@ -656,3 +656,111 @@ ORACLE["insider_threats"] = with_ev(
     WHERE (i1 IS NOT NULL)::INT + (i2 IS NOT NULL)::INT + (i3 IS NOT NULL)::INT + (i4 IS NOT NULL)::INT >= 2 OR risk_score > 0.3""",
     STATES,
 )
+
+# Raw lines, parsing and stored tables.
+AUTH_RE = r"([A-Z][a-z]{2}\s+\d+\s\d{2}:\d{2}:\d{2})\s(\S+)\s(\S+?)[\[:\s](.*)"
+ISO_RE = r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[^\s]*)\s(\S+)\s(\S+?)[\[:\s](.*)"
+SIMPLE_RE = r"([A-Z][a-z]{2}\s+\d+\s\d{2}:\d{2}:\d{2})\s(\S+)\s(\S+?):?\s(.*)"
+
+
+def header_part(group):
+    return (
+        f"CASE WHEN layout = 'syslog' THEN regexp_extract(trim(value), '{ISO_RE}', {group}) "
+        f"ELSE regexp_extract(trim(value), '{AUTH_RE}', {group}) END"
+    )
+
+
+def or_default(pattern, column, default, flags=""):
+    found = f"regexp_extract({column}, '{pattern}', 1, '{flags}')"
+    return f"CASE WHEN {found} = '' THEN '{default}' ELSE {found} END"
+
+
+CLASSIFIED = "CASE " + " ".join(
+    f"WHEN regexp_matches(message, '{p}', 'i') THEN '{e}'"
+    for p, e in [
+        ("Failed password", "FAILED_LOGIN"), ("authentication failure", "FAILED_LOGIN"),
+        ("Accepted password", "SUCCESSFUL_LOGIN"), ("Accepted publickey", "SUCCESSFUL_LOGIN"),
+        ("session opened.*root", "ROOT_ACCESS"), ("sudo:", "SUDO_ATTEMPT"), ("Invalid user", "INVALID_USER"),
+        ("Connection closed", "DISCONNECT"), ("Disconnected from", "DISCONNECT"),
+    ]
+) + " ELSE 'OTHER' END"
+IP_FOUND = or_default(r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})", "message", "Internal")
+USER_FOUND = or_default(r"(?:for|user)\s+(\S+?)(?:\s|$)", "message", "unknown", "i")
+CLASSIC_TIME = r"try_strptime('2024 ' || regexp_replace(timestamp_str, '\s+', ' ', 'g'), '%Y %b %d %H:%M:%S')"
+LINES = f"""
+noisy AS (
+  SELECT * FROM (SELECT host, unnest([
+    CASE WHEN host = 'host3' THEN strftime(parsed_time, '%Y-%m-%dT%H:%M:%S') || '+00:00 ' || host || ' sshd[' || message
+      ELSE timestamp_str || ' ' || host || ' sshd[' || message END,
+    CASE WHEN line_number % 40 = 0 THEN '   ' END,
+    CASE WHEN line_number % 41 = 0 THEN 'kernel message ' || line_number END,
+    CASE WHEN line_number % 43 = 0 THEN 'Feb 31 10:00:00 host0 sshd[1]: Failed password for x from 1.2.3.4 port 1 ssh2' END
+  ]) AS value FROM ev) WHERE value IS NOT NULL
+), lines AS (
+  SELECT value, CASE WHEN host = 'host3' THEN 'syslog' ELSE 'auth_log' END AS layout FROM noisy
+), headers AS (
+  SELECT layout, trim(value) AS raw_line, {header_part(1)} AS timestamp_str, {header_part(2)} AS host,
+    {header_part(3)} AS process, {header_part(4)} AS message FROM lines
+), split AS (SELECT * FROM headers WHERE timestamp_str <> ''),
+timed AS (
+  SELECT *, CASE WHEN layout = 'syslog' THEN CAST(substr(timestamp_str, 1, 19) AS TIMESTAMP) ELSE {CLASSIC_TIME} END AS parsed_time FROM split
+)"""
+PARSED = f"""SELECT timestamp_str, parsed_time, {CLASSIFIED} AS event, {IP_FOUND} AS ip_address,
+{USER_FOUND} AS username, process, host, message, raw_line FROM timed WHERE parsed_time IS NOT NULL"""
+ORACLE["read_auth_logs"] = with_ev(PARSED, LINES)
+ORACLE["stream_ingest"] = with_ev(PARSED.replace("FROM timed", "FROM row_timed"), LINES + f""",
+row_lines AS (SELECT value, CASE WHEN regexp_matches(value, '{AUTH_RE}') THEN 'auth_log' ELSE 'syslog' END AS layout FROM noisy),
+row_split AS (SELECT layout, trim(value) AS raw_line, {header_part(1)} AS timestamp_str, {header_part(2)} AS host,
+  {header_part(3)} AS process, {header_part(4)} AS message FROM row_lines),
+row_timed AS (SELECT *, CASE WHEN layout = 'syslog' THEN CAST(substr(timestamp_str, 1, 19) AS TIMESTAMP) ELSE {CLASSIC_TIME} END AS parsed_time
+  FROM row_split WHERE timestamp_str <> '')""")
+ORACLE["detect_log_format"] = with_ev(
+    "SELECT DISTINCT host, CASE WHEN host = 'host3' THEN 'syslog' ELSE 'auth_log' END AS layout FROM ev"
+)
+ORACLE["split_header"] = with_ev("SELECT layout, timestamp_str, host, process, message FROM split", LINES)
+ORACLE["classify_event"] = with_ev(f"SELECT message, {CLASSIFIED} AS event FROM split", LINES)
+ORACLE["extract_ip"] = with_ev(f"SELECT message, {IP_FOUND} AS ip_address FROM split", LINES)
+ORACLE["extract_user"] = with_ev(f"SELECT message, {USER_FOUND} AS username FROM split", LINES)
+ORACLE["parse_event_time"] = with_ev("SELECT timestamp_str, parsed_time FROM timed", LINES)
+ORACLE["parse_simple_profile"] = with_ev(
+    f"""SELECT timestamp_str, CASE WHEN contains(message, 'Failed password') THEN 'FAILED_LOGIN'
+      WHEN contains(message, 'Accepted password') THEN 'SUCCESSFUL_LOGIN' ELSE 'OTHER' END AS event,
+    {or_default(r'([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+)', 'message', 'Internal')} AS ip_address, message, {CLASSIC_TIME} AS parsed_time
+    FROM (SELECT regexp_extract(value, '{SIMPLE_RE}', 1) AS timestamp_str, regexp_extract(value, '{SIMPLE_RE}', 4) AS message FROM noisy)
+    WHERE timestamp_str <> ''""",
+    LINES,
+)
+ORACLE["write_events"] = ORACLE["events_by_time"]
+ORACLE["overlay_by_event"] = with_ev(
+    f"""SELECT line_number, event, CASE WHEN {NIGHT} THEN 'night' ELSE '' END AS hmm_state, 'LOW' AS severity_level,
+    CASE WHEN {NIGHT} THEN 1 ELSE 0 END AS tamper_flag, 0.5::DOUBLE AS ip_reputation FROM ev"""
+)
+ORACLE["overlay_by_ip"] = with_scores(
+    """SELECT line_number, ip_address, CASE WHEN level = 'LOW' THEN 0.0::DOUBLE ELSE score END AS risk_score,
+    level AS severity_level, '' AS session_id FROM ev JOIN scores USING (ip_address)"""
+)
+ORACLE["append_run_log"] = with_scores(
+    """SELECT 'events' AS log_file, (SELECT count(*) FROM ev) AS total_events,
+    (SELECT count(*) FROM fails, baseline WHERE failed_count >= threshold) AS suspects,
+    (SELECT count(*) FROM scores WHERE level = 'CRITICAL') AS critical,
+    '{"z_score":2.5,"night_end":5}' AS config_json""",
+    BASELINE,
+)
+
+# Streams: what the watermark, ten minutes behind the last event, has made final.
+ORACLE["stream_login_frequency"] = with_ev(
+    """SELECT minute, c AS events, c > limit_ AS is_spike FROM (
+      SELECT date_trunc('minute', parsed_time) AS minute, count(*) AS c FROM ev GROUP BY 1),
+      (SELECT avg(events) + 2 * stddev_samp(events) AS limit_ FROM per_minute)
+    WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(parsed_time) - INTERVAL 10 MINUTE FROM ev)""",
+    """per_minute AS (
+      SELECT minute, coalesce(c, 0) AS events FROM (
+        SELECT unnest(generate_series(date_trunc('minute', min(parsed_time)), date_trunc('minute', max(parsed_time)), INTERVAL 1 MINUTE)) AS minute FROM ev)
+      LEFT JOIN (SELECT date_trunc('minute', parsed_time) AS minute, count(*) AS c FROM ev GROUP BY 1) USING (minute))""",
+)
+ORACLE["stream_sessions"] = with_ev(
+    """SELECT ip_address, min(parsed_time) AS session_start, max(parsed_time) AS session_end, count(*) AS event_count
+    FROM linked GROUP BY ip_address, ordinal
+    HAVING max(parsed_time) + INTERVAL 30 MINUTE <= (SELECT max(parsed_time) - INTERVAL 10 MINUTE FROM ev)""",
+    SESSIONS,
+)

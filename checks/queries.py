@@ -1,8 +1,12 @@
 """The registered queries: every operator over the whole tables of a data folder."""
 
+import uuid
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from logsleuth.functions.columns import round_half_even
+from logsleuth import schema
 from logsleuth.operators import (
     anomaly,
     behaviour,
@@ -20,8 +24,16 @@ from logsleuth.operators import (
     tamper,
 )
 from logsleuth.schema import IP_FEATURE_COLUMNS
-from logsleuth.sources import tables
-from logsleuth.sources.event_table import auth_events
+from logsleuth.operators.distribute import shared_dir
+from logsleuth.plans import analysis
+from logsleuth.sources import tables, text_logs
+from logsleuth.sources.event_table import auth_events, auth_lines, from_event_table
+from logsleuth.streaming import jobs
+
+# Functions that run inside tasks travel with the job, so that the queries also work
+# where the package is not installed on the executors.
+for module in (anomaly, behaviour, schema):
+    cloudpickle.register_pickle_by_value(module)
 
 EVENT_COLUMNS = (
     "source_file line_number timestamp_str parsed_time event ip_address username process host message"
@@ -106,7 +118,162 @@ def summary_row(e):
     )
 
 
+def lines_of(e):
+    """Lines with noise, and the layout their host writes."""
+    layout = F.when(F.col("host") == "host3", "syslog").otherwise("auth_log")
+    return auth_lines(e).select("value", layout.alias("layout"))
+
+
+def on_lines(operator):
+    return on_events(lambda e: operator(lines_of(e)))
+
+
+def scratch(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def log_files(spark, sf_dir):
+    """The lines of all events as text files, one folder per host."""
+    path = scratch(spark, "lines")
+    auth_lines(events(spark, sf_dir)).write.partitionBy("host").text(path)
+    return f"{path}/*/*.txt"
+
+
+def read_back(spark, sf_dir):
+    parsed = text_logs.read_auth_logs(spark, log_files(spark, sf_dir))
+    return parsed.drop("source_file", "line_number")
+
+
+def formats(spark, sf_dir):
+    found = text_logs.detect_log_format(spark, log_files(spark, sf_dir))
+    host = F.regexp_extract("source_file", "host=(host[0-9]+)", 1)
+    return found.select(host.alias("host"), "layout").distinct()
+
+
+def stored(spark, sf_dir):
+    """Events of the first half month stored afresh, the others appended."""
+    path = scratch(spark, "events")
+    all_events = events(spark, sf_dir).select(EVENT_COLUMNS)
+    early = F.dayofmonth("parsed_time") <= 15
+    tables.write_events(all_events.filter(early), path, fresh=True)
+    tables.write_events(all_events.filter(~early), path)
+    return tables.read_events(spark, path)
+
+
+def night_overlay(e):
+    updates = detect.night_logins(e).select(
+        "source_file",
+        "line_number",
+        F.lit(1).alias("tamper_flag"),
+        F.lit("night").alias("hmm_state"),
+        F.lit("dropped").alias("no_such_field"),
+    )
+    return tables.overlay_by_event(e, updates).select(
+        "line_number", "event", "hmm_state", "severity_level", "tamper_flag", "ip_reputation"
+    )
+
+
+def score_overlay(e):
+    updates = rated(e).select(
+        "ip_address",
+        F.col("score").alias("risk_score"),
+        F.col("level").alias("severity_level"),
+        F.lit("dropped").alias("session_id"),
+    )
+    return tables.overlay_by_ip(e, updates.filter(F.col("severity_level") != "LOW")).select(
+        "line_number", "ip_address", "risk_score", "severity_level", "session_id"
+    )
+
+
+def run_log(spark, sf_dir):
+    path = scratch(spark, "runs")
+    e = events(spark, sf_dir)
+    run = tables.analysis_run(
+        e, detect.bruteforce(e), rated(e), "events", {"z_score": 2.5, "night_end": 5}
+    )
+    tables.append_run_log(run, path)
+    return spark.read.parquet(path).drop("run_time")
+
+
+def model_results(e):
+    """Outcome of the three models in long form."""
+    models = analysis.run_models(e)
+    anomalies = models["anomaly"].select(
+        F.lit("anomaly").alias("model"),
+        F.col("ip_address").alias("subject"),
+        F.col("is_anomaly").cast("string").alias("outcome"),
+        F.col("anomaly_score").alias("score"),
+    )
+    groups = models["campaigns"].select(
+        F.lit("campaign").alias("model"),
+        F.col("ip_address").alias("subject"),
+        F.col("cluster_label").alias("outcome"),
+        F.col("campaign_cluster").cast("double").alias("score"),
+    )
+    users = models["user_profiles"].select(
+        F.lit("user").alias("model"),
+        F.col("username").alias("subject"),
+        F.col("current_state").alias("outcome"),
+        F.col("risk").alias("score"),
+    )
+    return anomalies.unionByName(groups).unionByName(users)
+
+
+def event_stream(spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return from_event_table(raw)
+
+
+def streamed_lines(spark, sf_dir):
+    lines = jobs.read_line_stream(spark, log_files(spark, sf_dir))
+    parsed = jobs.parse_stream(lines).drop("source_file", "line_number")
+    return jobs.run_available(parsed, scratch(spark, "ingest"))
+
+
+def streamed_frequency(spark, sf_dir):
+    baseline = reports.login_frequency(events(spark, sf_dir)).select("threshold").first()[0]
+    stream = jobs.frequency_stream(event_stream(spark, sf_dir), baseline)
+    return jobs.run_available(stream, scratch(spark, "frequency"))
+
+
+def streamed_sessions(spark, sf_dir):
+    stream = jobs.session_stream(event_stream(spark, sf_dir))
+    return jobs.run_available(stream, scratch(spark, "sessions"))
+
+
 QUERIES = {
+    # Sources and line parsing.
+    "read_auth_logs": read_back,
+    "detect_log_format": formats,
+    "split_header": on_lines(lambda x: text_logs.split_header(x).drop("raw_line")),
+    "classify_event": on_lines(
+        lambda x: text_logs.split_header(x).select(
+            "message", text_logs.classify_event(F.col("message")).alias("event")
+        )
+    ),
+    "extract_ip": on_lines(
+        lambda x: text_logs.split_header(x).select(
+            "message", text_logs.extract_ip(F.col("message")).alias("ip_address")
+        )
+    ),
+    "extract_user": on_lines(
+        lambda x: text_logs.split_header(x).select(
+            "message", text_logs.extract_user(F.col("message")).alias("username")
+        )
+    ),
+    "parse_event_time": on_lines(
+        lambda x: text_logs.split_header(x).select(
+            "timestamp_str",
+            text_logs.parse_event_time(F.col("timestamp_str"), F.col("layout")).alias("parsed_time"),
+        )
+    ),
+    "parse_simple_profile": on_lines(text_logs.parse_simple_profile),
+    "write_events": stored,
+    "overlay_by_event": on_events(night_overlay),
+    "overlay_by_ip": on_events(score_overlay),
+    "append_run_log": run_log,
+    # Detection and enrichment.
     "adaptive_threshold": on_events(
         lambda e: rounded(detect.adaptive_threshold(e), "mean", "sigma", "threshold")
     ),
@@ -151,6 +318,7 @@ QUERIES = {
     "insider_threats": on_profiles(
         lambda e, p: with_text(insiders.insider_threats(e, p), "indicators", "; ")
     ),
+    "run_models": on_events(model_results),
     # Scoring.
     "risk_factors": on_scores(scoring.factor_table),
     "risk_scores": on_scores(lambda s: s.drop("factors")),
@@ -196,4 +364,8 @@ QUERIES = {
     ),
     "geo_breakdown": on_events(lambda e: rounded(reports.geo_breakdown(enrich.ip_intel(e)), "avg_risk")),
     "executive_summary": on_events(lambda e: rounded(summary_row(e), "duration_hours")),
+    # Streams.
+    "stream_ingest": streamed_lines,
+    "stream_login_frequency": streamed_frequency,
+    "stream_sessions": streamed_sessions,
 }

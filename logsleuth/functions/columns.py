@@ -17,6 +17,17 @@ def micros(ts) -> Column:
     return (day + seconds) * 1000000 + fraction
 
 
+def wall_clock(microseconds: Column) -> Column:
+    """Inverse of :func:`micros`."""
+    seconds = (microseconds.cast("decimal(20,0)") / 1000000).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def as_instant(ts) -> Column:
+    """Wall-clock time read as UTC, for operators that only take instants."""
+    return F.timestamp_micros(micros(ts))
+
+
 def failed_count() -> Column:
     return F.count_if(F.col("event") == FAILED)
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from logsleuth.functions.columns import failed_count, micros, success_count
+from logsleuth.functions.columns import failed_count, micros, success_count, wall_clock
 from logsleuth.operators.distribute import global_index, with_previous
 from logsleuth.operators.scoring import LEVEL_NAMES, factor_table
 from logsleuth.schema import EVENT_ORDER, FAILED, INTERNAL_IP
@@ -152,7 +152,7 @@ def login_frequency(events: DataFrame) -> DataFrame:
     return (
         spine.join(counts, "minute", "left")
         .select(
-            (F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("minute"))).alias("minute"),
+            wall_clock(F.col("minute") * 60_000_000).alias("minute"),
             F.coalesce("events", F.lit(0)).alias("events"),
             "threshold",
         )
