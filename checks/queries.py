@@ -220,9 +220,9 @@ def model_results(e):
 
 
 def event_stream(spark, sf_dir):
-    path = f"{sf_dir}/events.parquet"
-    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    return from_event_table(raw)
+    layout = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    files = spark.readStream.schema(layout).option("pathGlobFilter", "events.parquet")
+    return from_event_table(files.parquet(sf_dir))
 
 
 def streamed_lines(spark, sf_dir):
