@@ -32,8 +32,8 @@ DEFAULT_YEAR = "2024"
 SIMPLE_LAYOUT = r"([A-Z][a-z]{2}\s+\d+\s\d{2}:\d{2}:\d{2})\s(\S+)\s(\S+?):?\s(.*)"
 SIMPLE_IP_PATTERN = r"(\d+\.\d+\.\d+\.\d+)"
 
-# Option beyond the default: names after "invalid user", whole words only.
-STRICT_USER_PATTERN = r"\b(?:for(?:\s+invalid\s+user)?|user)\s+(?!invalid\s)(\S+?)(?:\s|$)"
+# Option beside the default: the name after "for", "user" or "(for) invalid user".
+STRICT_USER_PATTERN = r"\b(?:for(?:\s+(?:invalid\s+)?user)?|user)\s+(?!(?:invalid|user)\s)(\S+?)(?:\s|$)"
 
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 ISO_STAMP = (
@@ -145,6 +145,24 @@ def _raw_lines(spark: SparkSession, paths) -> DataFrame:
     )
 
 
+def _with_line_numbers(lines: DataFrame, all_lines: DataFrame) -> DataFrame:
+    """Lines with their number in the file, from the line counts of earlier splits."""
+    earlier = (
+        Window.partitionBy("source_file")
+        .orderBy("_split")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    splits = (
+        all_lines.groupBy("source_file", "_split")
+        .agg(F.count("*").alias("_lines"), F.min("_at").alias("_from"))
+        .withColumn("_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
+        .drop("_lines")
+    )
+    return lines.join(splits, ["source_file", "_split"]).withColumn(
+        "line_number", F.col("_before") + F.col("_at") - F.col("_from") + 1
+    )
+
+
 def layout_votes(line: Column) -> dict[str, Column]:
     return {name: line.rlike(f"(?s){pattern}").cast("int") for name, pattern in LAYOUTS.items()}
 
@@ -181,11 +199,13 @@ def read_auth_logs(
     year: str = DEFAULT_YEAR,
     strict_users: bool = False,
     layout: str | None = None,
+    number_lines: bool = False,
 ) -> DataFrame:
     """Text logs as authentication events, in no particular order.
 
     ``line_number`` grows along each file (split offset and position in the split)
-    and breaks ties between equal times; it is not a dense count. ``layout`` skips
+    and breaks ties between equal times; it is the true line number, at the price of
+    counting the lines of every split first, with ``number_lines``. ``layout`` skips
     the per-file detection.
     """
     lines = _raw_lines(spark, paths)
@@ -199,10 +219,14 @@ def read_auth_logs(
             formats = F.broadcast(formats)
         lines = lines.withColumn("_file", F.xxhash64("source_file")).join(formats, "_file", "left")
         lines = lines.withColumn("layout", F.coalesce("layout", F.lit(DEFAULT_LAYOUT))).drop("_file")
-    # Offset and position: lines of later splits sort after those of earlier ones.
-    position = F.col("_split") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    if number_lines:
+        lines = _with_line_numbers(lines, _raw_lines(spark, paths))
+    else:
+        # Offset and position: lines of later splits sort after those of earlier ones.
+        position = F.col("_split") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+        lines = lines.withColumn("line_number", position)
     return (
-        parse_lines(lines.withColumn("line_number", position), year, strict_users)
+        parse_lines(lines, year, strict_users)
         .select(*[F.col(f.name).cast(f.dataType) for f in AUTH_EVENTS])
     )
 
