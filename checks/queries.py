@@ -59,7 +59,7 @@ def on_intel(*columns):
 
 def rated(e):
     """Risk scores with the heuristic as anomaly input, which SQL can follow."""
-    return scoring.risk_scores(e, anomaly.heuristic_anomaly(features.ip_features(e)))
+    return scoring.risk_scores(e, anomaly.heuristic_anomaly(features.ip_activity(e)))
 
 
 def on_scores(operator):
@@ -112,7 +112,7 @@ def summary_row(e):
         scores,
         detect.bruteforce(e),
         detect.compromise_pattern(e),
-        anomaly.heuristic_anomaly(features.ip_features(e)),
+        anomaly.heuristic_anomaly(features.ip_activity(e)),
         chains.chain_summary(e, scores),
         sessions.sessions(e),
     )
@@ -301,9 +301,11 @@ QUERIES = {
             rounded(f, "hour_mean", "hour_std", "iet_min", "fail_ratio"), "iet_mean", "iet_std", digits=2
         )
     ),
-    "iforest_contamination": on_features(anomaly.iforest_contamination),
-    "heuristic_anomaly": on_features(anomaly.heuristic_anomaly),
-    "anomaly_ranking": on_features(lambda f: reports.anomaly_ranking(anomaly.heuristic_anomaly(f))),
+    "iforest_contamination": on_events(lambda e: anomaly.iforest_contamination(features.ip_activity(e))),
+    "heuristic_anomaly": on_events(lambda e: anomaly.heuristic_anomaly(features.ip_activity(e))),
+    "anomaly_ranking": on_events(
+        lambda e: reports.anomaly_ranking(anomaly.heuristic_anomaly(features.ip_activity(e)))
+    ),
     "isolation_forest": on_features(anomaly.isolation_forest),
     "scaled_features": on_features(
         lambda f: rounded(campaigns.scaled_features(f), *IP_FEATURE_COLUMNS, digits=5)

@@ -100,8 +100,8 @@ def _grow(sample: pd.DataFrame) -> pd.DataFrame:
         if depth >= limit or len(members) <= 1 or len(usable) == 0:
             nodes.append((tree, node, -1, 0.0, node, node, depth + expected_path(len(members))))
             continue
-        feature = int(rng.choice(usable))
-        split = float(rng.uniform(low[feature], high[feature]))
+        feature = int(usable[rng.integers(len(usable))])
+        split = float(low[feature] + (high[feature] - low[feature]) * rng.random())
         below = part[:, feature] <= split
         nodes.append((tree, node, feature, split, used, used + 1, 0.0))
         pending += [(used, members[below], depth + 1), (used + 1, members[~below], depth + 1)]

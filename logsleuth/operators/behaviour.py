@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from logsleuth.functions.columns import is_night_login, round_half_even
-from logsleuth.operators.distribute import cut
+from logsleuth.operators.distribute import cut, store
 from logsleuth.schema import EVENT_ORDER, FAILED, ROOT, SUCCESS, SUDO, UNKNOWN_USER
 
 # States, start, transition and emission probabilities, observations.
@@ -92,7 +92,7 @@ def _chunks(observations: DataFrame, fan_out: int, keep: list[str]) -> DataFrame
     """Time-ordered events of each user in chunks of at most ``fan_out`` events.
 
     The stamp grows with the sorted position, so ``stamp / fan_out`` numbers chunks
-    in order. The checkpoint fixes the layout the stamps refer to.
+    in order. Storing the chunks fixes the layout the stamps refer to.
     """
     order = ["username", *EVENT_ORDER]
     row = F.struct("_stamp", *keep, "observation")
@@ -103,7 +103,7 @@ def _chunks(observations: DataFrame, fan_out: int, keep: list[str]) -> DataFrame
         .groupBy("username", F.floor(F.col("_stamp") / fan_out).alias("node"))
         .agg(F.sort_array(F.collect_list(row)).alias("rows"))
     )
-    return cut(chunks)
+    return store(chunks)
 
 
 def _batches(codes: pd.Series):
@@ -307,7 +307,7 @@ def _decoded(events: DataFrame, fan_out: int, keep: list[str]) -> DataFrame:
         fan_out,
         levels,
     )
-    scored = cut(
+    scored = store(
         long.join(entry, ["username", "node"]).withColumn(
             "back", _chunk_back("codes", "starts", "entry")
         )

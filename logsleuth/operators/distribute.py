@@ -6,6 +6,7 @@ Nothing here therefore relies on one key fitting into one task.
 """
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -33,11 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages neither recompute nor re-shuffle ``df``."""
+    """Reliable checkpoint, for tables of addresses or users and for loop state."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the checkpoint folder, for data as large as the events.
+
+    Unlike a checkpoint the table is compressed and columnar: a pass that needs one
+    column reads one column, and the optimizer knows its size.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hot_keys(counts: DataFrame, keys: list[str], weight: str, hot_rows: int | None = None):
     """Keys of ``counts`` that need splitting, with the number of salts each gets."""
     total = counts.agg(F.sum(weight)).scalar()
@@ -82,11 +94,11 @@ def global_index(df: DataFrame, order: list, name: str = "row_index") -> DataFra
     """Number the rows 0, 1, 2, ... in the given total order.
 
     Rows are range partitioned and sorted; the position inside the partition is
-    stamped and checkpointed, so that the per-partition offsets and the rows refer
-    to the same layout even if executors are lost in between. The offsets have one
+    stamped and stored, so that the per-partition offsets and the rows refer to the
+    same layout even if executors are lost in between. The offsets have one
     row per partition, which is what makes their ordered window and broadcast safe.
     """
-    stamped = cut(
+    stamped = store(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_stamp", F.monotonically_increasing_id())

@@ -162,15 +162,19 @@ def technique_table(spark) -> DataFrame:
     )
 
 
+def _by_event(texts: dict[str, str]) -> Column:
+    """Fixed text of each event type; unknown types count as OTHER."""
+    pairs = [F.lit(part) for item in texts.items() for part in item]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("event")), F.lit(texts[OTHER]))
+
+
 def with_technique(events: DataFrame) -> DataFrame:
-    """Attack technique and tactic of each event; unknown types count as OTHER."""
-    table = technique_table(events.sparkSession).select(
-        F.col("event").alias("_type"),
-        F.concat_ws(" — ", "technique", "technique_name").alias("mitre_technique"),
-        F.col("tactic").alias("mitre_tactic"),
+    """Attack technique and tactic of each event."""
+    techniques = {event: f"{row[0]} — {row[1]}" for event, row in TECHNIQUES.items()}
+    tactics = {event: row[2] for event, row in TECHNIQUES.items()}
+    return events.withColumns(
+        {"mitre_technique": _by_event(techniques), "mitre_tactic": _by_event(tactics)}
     )
-    known = F.when(F.col("event").isin(*TECHNIQUES), F.col("event")).otherwise(OTHER)
-    return events.withColumn("_type", known).join(F.broadcast(table), "_type").drop("_type")
 
 
 def ip_intel(events: DataFrame) -> DataFrame:
