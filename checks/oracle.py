@@ -1,4 +1,11 @@
-"""The registered queries as SQL over the given tables, for an independent engine."""
+"""The registered queries as SQL over the given tables, for an independent engine.
+
+Fixed tables of values are taken from the library; everything computed is not.
+"""
+
+import math
+
+from logsleuth.operators import behaviour, chains, enrich
 
 # Authentication events from the ``events`` table, by the rules of the adapter.
 EV = """
@@ -70,38 +77,6 @@ fails AS (
   FROM raw_stats
 )"""
 
-PLACES = [
-    ("United States", "New York", 40.71, -74.01), ("Russia", "Moscow", 55.75, 37.62),
-    ("China", "Beijing", 39.90, 116.40), ("Germany", "Berlin", 52.52, 13.40),
-    ("Brazil", "São Paulo", -23.55, -46.63), ("India", "Mumbai", 19.08, 72.88),
-    ("Nigeria", "Lagos", 6.52, 3.38), ("Iran", "Tehran", 35.69, 51.39),
-    ("North Korea", "Pyongyang", 39.02, 125.75), ("Ukraine", "Kyiv", 50.45, 30.52),
-    ("Japan", "Tokyo", 35.68, 139.69), ("South Korea", "Seoul", 37.57, 126.98),
-    ("United Kingdom", "London", 51.51, -0.13), ("France", "Paris", 48.86, 2.35),
-    ("Netherlands", "Amsterdam", 52.37, 4.90),
-]
-RISKS = {
-    "Russia": 0.90, "China": 0.85, "North Korea": 0.95, "Iran": 0.88, "Nigeria": 0.70,
-    "Brazil": 0.50, "Ukraine": 0.65, "India": 0.35, "United States": 0.25, "Germany": 0.15,
-    "Japan": 0.10, "United Kingdom": 0.12, "France": 0.14, "Netherlands": 0.20, "South Korea": 0.15,
-}
-NETWORKS = [
-    "AS15169 — Google LLC", "AS13335 — Cloudflare Inc", "AS16509 — Amazon.com Inc",
-    "AS8075  — Microsoft Corp", "AS4134  — ChinaNet", "AS12389 — Rostelecom",
-    "AS9009  — M247 Ltd (VPN)", "AS14061 — DigitalOcean LLC", "AS20473 — Vultr Holdings",
-    "AS36352 — ColoCrossing (bulletproof)",
-]
-TECHNIQUES = [
-    ("FAILED_LOGIN", "T1110", "Brute Force", "Credential Access"),
-    ("SUCCESSFUL_LOGIN", "T1078", "Valid Accounts", "Initial Access"),
-    ("ROOT_ACCESS", "T1548", "Abuse Elevation Control Mechanism", "Privilege Escalation"),
-    ("SUDO_ATTEMPT", "T1548.003", "Sudo and Sudo Caching", "Privilege Escalation"),
-    ("INVALID_USER", "T1110.001", "Password Guessing", "Credential Access"),
-    ("DISCONNECT", "T1070", "Indicator Removal", "Defense Evasion"),
-    ("OTHER", "T1059", "Command and Scripting Interpreter", "Execution"),
-]
-
-
 def values(rows):
     def text(v):
         return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
@@ -109,10 +84,12 @@ def values(rows):
     return ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
 
 
-PLACE_ROWS = values([(i, *p) for i, p in enumerate(PLACES)])
-RISK_ROWS = values(list(RISKS.items()))
-NETWORK_ROWS = values(list(enumerate(NETWORKS)))
-TECHNIQUE_ROWS = values(TECHNIQUES)
+PLACE_ROWS = values([(i, *p) for i, p in enumerate(enrich.PLACES)])
+RISK_ROWS = values(list(enrich.COUNTRY_RISK.items()))
+NETWORK_ROWS = values(list(enumerate(enrich.NETWORKS)))
+TECHNIQUE_ROWS = values([(event, *row[:3]) for event, row in enrich.TECHNIQUES.items()])
+PHASE_ROWS = values([(p, i) for i, p in enumerate(chains.PHASE_ORDER)])
+SUCCESSOR_ROWS = values([(p, t) for p, ts in chains.SUCCESSORS.items() for t in ts])
 
 INTEL = f"""
 places(place, country, city, lat, lon) AS (VALUES {PLACE_ROWS}),
@@ -416,12 +393,8 @@ ORACLE["export_scored_csv"] = with_scores(
 
 # Forensics.
 PHASED = f"""
-ordering(phase, ord) AS (VALUES ('RECONNAISSANCE', 0), ('INITIAL_ACCESS', 1), ('EXECUTION', 2), ('PERSISTENCE', 3),
-  ('PRIVILEGE_ESCALATION', 4), ('DEFENSE_EVASION', 5), ('LATERAL_MOVEMENT', 6)),
-allowed(src_phase, dst_phase) AS (VALUES ('RECONNAISSANCE', 'INITIAL_ACCESS'), ('INITIAL_ACCESS', 'EXECUTION'),
-  ('INITIAL_ACCESS', 'PERSISTENCE'), ('INITIAL_ACCESS', 'PRIVILEGE_ESCALATION'), ('EXECUTION', 'PERSISTENCE'),
-  ('EXECUTION', 'PRIVILEGE_ESCALATION'), ('PERSISTENCE', 'PRIVILEGE_ESCALATION'), ('PERSISTENCE', 'LATERAL_MOVEMENT'),
-  ('PRIVILEGE_ESCALATION', 'DEFENSE_EVASION'), ('PRIVILEGE_ESCALATION', 'LATERAL_MOVEMENT'), ('DEFENSE_EVASION', 'LATERAL_MOVEMENT')),
+ordering(phase, ord) AS (VALUES {PHASE_ROWS}),
+allowed(src_phase, dst_phase) AS (VALUES {SUCCESSOR_ROWS}),
 nodes AS (
   SELECT ip_address, row_number() OVER (PARTITION BY ip_address ORDER BY parsed_time, line_number) - 1 AS id,
     CASE WHEN {NIGHT} THEN 'PERSISTENCE' WHEN event IN ('FAILED_LOGIN', 'INVALID_USER') THEN 'RECONNAISSANCE'
@@ -573,8 +546,6 @@ ORACLE["executive_summary"] = with_scores(
 )
 
 # Behaviour of users: Viterbi decoding step by step, in the same fixed-point units.
-import math  # noqa: E402
-
 UNIT = float(1 << 32)
 
 
@@ -582,9 +553,7 @@ def log_units(p):
     return round(math.log(p + 1e-10) * UNIT)
 
 
-START = [0.85, 0.10, 0.05]
-MOVE = [[0.90, 0.08, 0.02], [0.20, 0.60, 0.20], [0.05, 0.15, 0.80]]
-EMIT = [[0.70, 0.05, 0.05, 0.10, 0.10], [0.30, 0.25, 0.15, 0.20, 0.10], [0.10, 0.30, 0.25, 0.25, 0.10]]
+START, MOVE, EMIT = behaviour.START, behaviour.TRANSITION, behaviour.EMISSION
 
 
 def emitted(state):

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from logsleuth.functions.columns import micros
-from logsleuth.operators.distribute import global_index, skew_join
+from logsleuth.operators.distribute import global_index, skew_join, store
 
 
 def _slots(events: DataFrame, width: int) -> DataFrame:
@@ -35,11 +35,10 @@ def session_slots(events: DataFrame, timeout_minutes: int = 30) -> DataFrame:
     )
 
 
-def sessions(events: DataFrame, timeout_minutes: int = 30) -> DataFrame:
-    """One row per session, numbered over all addresses by the order they start in."""
+def _numbered(slots: DataFrame) -> DataFrame:
+    """Sessions made of slots, numbered over all addresses by the order they start in."""
     runs = (
-        session_slots(events, timeout_minutes)
-        .groupBy("ip_address", "ordinal")
+        slots.groupBy("ip_address", "ordinal")
         .agg(
             F.min("first").alias("first"),
             F.sum("slot_events").alias("event_count"),
@@ -59,16 +58,17 @@ def sessions(events: DataFrame, timeout_minutes: int = 30) -> DataFrame:
     )
 
 
+def sessions(events: DataFrame, timeout_minutes: int = 30) -> DataFrame:
+    """One row per session with its id, start, duration and number of events."""
+    return _numbered(session_slots(events, timeout_minutes))
+
+
 def link_sessions(events: DataFrame, timeout_minutes: int = 30) -> DataFrame:
     """Events with the id of their session."""
+    slots = store(session_slots(events, timeout_minutes))
+    slot_ids = slots.join(
+        _numbered(slots).select("ip_address", "ordinal", "session_id"), ["ip_address", "ordinal"]
+    ).select("ip_address", "slot", "session_id", "slot_events")
     width = timeout_minutes * 60_000_000
-    slot_ids = (
-        session_slots(events, timeout_minutes)
-        .join(
-            sessions(events, timeout_minutes).select("ip_address", "ordinal", "session_id"),
-            ["ip_address", "ordinal"],
-        )
-        .select("ip_address", "slot", "session_id", "slot_events")
-    )
     slotted = events.withColumn("slot", F.floor(micros("parsed_time") / width))
     return skew_join(slotted, slot_ids, ["ip_address", "slot"], "slot_events").drop("slot")

@@ -18,7 +18,7 @@ from logsleuth.operators import (
     sessions,
     tamper,
 )
-from logsleuth.operators.distribute import cut
+from logsleuth.operators.distribute import cut, store
 from logsleuth.sources.text_logs import parse_simple_profile, read_auth_logs
 
 
@@ -36,6 +36,7 @@ def run_models(events: DataFrame) -> dict[str, DataFrame]:
 def analyze(events: DataFrame, history: DataFrame | None = None) -> dict[str, DataFrame]:
     """All result tables of the main analysis as DataFrames, by name.
 
+    ``events`` is read by many of them and should be a stored table, not a parse.
     Tables several results are built on (scores, profiles, sessions) are checkpointed,
     so they are computed once and survive the loss of executors.
     """
@@ -78,7 +79,8 @@ def analyze(events: DataFrame, history: DataFrame | None = None) -> dict[str, Da
 
 
 def analyze_logs(spark: SparkSession, paths, **options) -> dict[str, DataFrame]:
-    return analyze(read_auth_logs(spark, paths, **options))
+    """The main analysis of text logs, which are parsed once into a stored table."""
+    return analyze(store(read_auth_logs(spark, paths, **options)))
 
 
 def analyze_simple(
