@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from logsleuth.functions.columns import is_night_login, round_half_even
-from logsleuth.operators.distribute import cut, store
+from logsleuth.operators.distribute import cut, first_events, store
 from logsleuth.schema import EVENT_ORDER, FAILED, ROOT, SUCCESS, SUDO, UNKNOWN_USER
 
 # States, start, transition and emission probabilities, observations.
@@ -70,10 +70,8 @@ def user_observations(events: DataFrame) -> DataFrame:
     known = events.filter(F.col("username") != UNKNOWN_USER).select(
         "username", "ip_address", "event", *EVENT_ORDER
     )
-    firsts = (
-        known.groupBy("username", "ip_address")
-        .agg(F.min(F.struct(*EVENT_ORDER)).alias("first"))
-        .select("username", "ip_address", "first.*", F.lit(True).alias("_first"))
+    firsts = first_events(known, ["username", "ip_address"]).select(
+        "username", "ip_address", "first.*", F.lit(True).alias("_first")
     )
     success = F.col("event") == SUCCESS
     code = (

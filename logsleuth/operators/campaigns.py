@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logsleuth.operators.components import connected_components
 from logsleuth.operators.distribute import cut, global_index, skew_join
-from logsleuth.schema import IP_FEATURE_COLUMNS
+from logsleuth.schema import EVENT_ORDER, IP_FEATURE_COLUMNS
 
 # Radius bounds, neighbours wanted, fewest addresses, labels.
 MIN_EPS, EPS_PER_SPREAD = 0.5, 0.8
@@ -248,8 +248,7 @@ def _members(points: DataFrame, side: float, min_samples: int) -> DataFrame:
     vectors = points.groupBy("x").agg(
         F.count("*").alias("weight"), F.min("first_seen").alias("first")
     )
-    order = ["parsed_time", "source_file", "line_number"]
-    numbered = global_index(vectors.select("x", "weight", "first.*"), order, "pid").select(
+    numbered = global_index(vectors.select("x", "weight", "first.*"), EVENT_ORDER, "pid").select(
         "pid", "x", "weight", F.transform("x", lambda v: F.floor(v / side)).alias("cell")
     )
     cells = numbered.groupBy("cell").agg(

@@ -5,11 +5,15 @@ one key, an attacking address or the ``root`` account may own a third of a log.
 Nothing here therefore relies on one key fitting into one task.
 """
 
+import decimal
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from logsleuth.functions.columns import micros
+from logsleuth.schema import EVENT_ORDER
+
 # A key is hot above this many rows, or above its share of 1/HOT_MAX_KEYS of all
 # rows if that is more. By counting, at most HOT_MAX_KEYS keys can be hot and
 # they carry at most 2 * HOT_MAX_KEYS salts: the bound for broadcasting them.
@@ -117,6 +121,28 @@ def global_index(df: DataFrame, order: list, name: str = "row_index") -> DataFra
     )
 
 
+def earliest_line(at: str) -> Column:
+    """Aggregate: line number at the smallest ``at``, the lowest one among equal times.
+
+    Time and line are compared as one fixed-width number, which a hash aggregation
+    can hold; the minimum of a struct would sort all rows before the shuffle.
+    """
+    lines = F.lit(decimal.Decimal(10**19))
+    at = F.col(at).cast("decimal(18,0)")
+    return (
+        F.min(at * lines + F.col("line_number").cast("decimal(20,0)")) - F.min(at) * lines
+    ).cast("long")
+
+
+def first_events(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Position (a struct in the order of events) of the first event of each key."""
+    timed = events.select(*keys, *EVENT_ORDER, micros("parsed_time").alias("_t"))
+    per_file = timed.groupBy(*keys, "source_file").agg(
+        F.min("parsed_time").alias("parsed_time"), earliest_line("_t").alias("line_number")
+    )
+    return per_file.groupBy(*keys).agg(F.min(F.struct(*EVENT_ORDER)).alias("first"))
+
+
 def with_previous(
     indexed: DataFrame, index: str, column: str, alias: str, block: int | None = None
 ) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from logsleuth.functions.columns import failed_count, is_night_login, micros, success_count
+from logsleuth.operators.distribute import first_events
 from logsleuth.operators.enrich import with_geo, with_geo_risk, with_reputation
 from logsleuth.schema import IP_FEATURE_COLUMNS
 
@@ -100,6 +101,4 @@ def ip_features(events: DataFrame) -> DataFrame:
 
 def first_seen(events: DataFrame) -> DataFrame:
     """Position of the first event of each address in the total order of events."""
-    return events.groupBy("ip_address").agg(
-        F.min(F.struct("parsed_time", "source_file", "line_number")).alias("first_seen")
-    )
+    return first_events(events, ["ip_address"]).withColumnRenamed("first", "first_seen")

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from logsleuth.functions.columns import micros
-from logsleuth.operators.distribute import global_index, skew_join, store
+from logsleuth.operators.distribute import earliest_line, global_index, skew_join, store
+from logsleuth.schema import EVENT_ORDER
 
 
 def _slots(events: DataFrame, width: int) -> DataFrame:
@@ -13,12 +14,23 @@ def _slots(events: DataFrame, width: int) -> DataFrame:
     can only break between slots. That makes this aggregation, combined before the
     shuffle, all that is needed of the events, however many share an address.
     """
-    t = micros("parsed_time")
-    return events.groupBy("ip_address", F.floor(t / width).alias("slot")).agg(
-        F.count("*").alias("slot_events"),
-        F.min(t).alias("slot_start"),
-        F.max(t).alias("slot_end"),
-        F.min(F.struct("parsed_time", "source_file", "line_number")).alias("first"),
+    timed = events.select("ip_address", *EVENT_ORDER, micros("parsed_time").alias("t"))
+    return (
+        timed.groupBy("ip_address", F.floor(F.col("t") / width).alias("slot"), "source_file")
+        .agg(
+            F.count("*").alias("n"),
+            F.min("t").alias("slot_start"),
+            F.max("t").alias("slot_end"),
+            F.min("parsed_time").alias("parsed_time"),
+            earliest_line("t").alias("line_number"),
+        )
+        .groupBy("ip_address", "slot")
+        .agg(
+            F.sum("n").alias("slot_events"),
+            F.min("slot_start").alias("slot_start"),
+            F.max("slot_end").alias("slot_end"),
+            F.min(F.struct(*EVENT_ORDER)).alias("first"),
+        )
     )
 
 
@@ -47,8 +59,7 @@ def _numbered(slots: DataFrame) -> DataFrame:
         )
         .select("ip_address", "ordinal", "event_count", "start_micros", "end_micros", "first.*")
     )
-    order = ["parsed_time", "source_file", "line_number"]
-    return global_index(runs, order, "_number").select(
+    return global_index(runs, [*EVENT_ORDER, "ip_address"], "_number").select(
         F.format_string("S-%04d", F.col("_number") + 1).alias("session_id"),
         "ip_address",
         "ordinal",
