@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logsleuth.operators.components import connected_components
-from logsleuth.operators.distribute import cut, global_index, skew_join
+from logsleuth.operators.distribute import cut, global_index, skew_join, spread_out
 from logsleuth.schema import EVENT_ORDER, IP_FEATURE_COLUMNS
 
 # Radius bounds, neighbours wanted, fewest addresses, labels.
@@ -124,9 +124,11 @@ def _near_cells(cells: DataFrame, dimensions: int) -> DataFrame:
         ).distinct()
         left = prefixes.select(F.col("parent").alias("cell_a"), F.col("child").alias("child_a"))
         if pairs is None:
-            left = left.withColumns({"cell_b": F.col("cell_a"), "gap": F.lit(0).cast("long")})
+            left = spread_out(left, "child_a").withColumns(
+                {"cell_b": F.col("cell_a"), "gap": F.lit(0).cast("long")}
+            )
         else:
-            left = pairs.join(left, "cell_a")
+            left = spread_out(pairs, "cell_a").join(left, "cell_a")
         right = prefixes.select(
             F.col("parent").alias("cell_b"),
             F.col("child").alias("child_b"),
@@ -204,7 +206,8 @@ def _near_units(pairs, members, eps, side, dimensions, min_samples) -> DataFrame
 
         corners = ["low_a", "high_a", "low_b", "high_b"]
         judged = cut(
-            open_pairs.join(end("a"), ["a", "box_a"])
+            spread_out(open_pairs, "a", "box_a")
+            .join(end("a"), ["a", "box_a"])
             .join(end("b"), ["b", "box_b"])
             .filter(_nearest(*corners) <= eps)
             .select(

@@ -54,6 +54,15 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioning that stays as wide as the session's shuffles.
+
+    For steps that do much work on few bytes, which adaptive execution would merge
+    into a single task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def hot_keys(counts: DataFrame, keys: list[str], weight: str, hot_rows: int | None = None):
     """Keys of ``counts`` that need splitting, with the number of salts each gets."""
     total = counts.agg(F.sum(weight)).scalar()
