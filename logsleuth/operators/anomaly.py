@@ -177,7 +177,7 @@ def isolation_forest(features: DataFrame) -> DataFrame:
         F.struct(F.min("isolation").alias("low"), F.max("isolation").alias("high"))
     ).scalar()
     share = contamination_of(F.count("*"))
-    edge = exact_percentile(isolation, "isolation", 1.0 - share).scalar()
+    edge = exact_percentile(isolation, "isolation", 1.0 - share, ["ip_address"]).scalar()
     spread = F.col("_b.high") - F.col("_b.low")
     score = F.when(spread > 0, (F.col("isolation") - F.col("_b.low")) / spread).otherwise(NEUTRAL_SCORE)
     return isolation.withColumns({"_b": bounds, "_edge": edge}).select(

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logsleuth.functions.columns import is_night_login
 from logsleuth.operators import distribute
-from logsleuth.operators.distribute import global_index
+from logsleuth.operators.distribute import global_index, skew_join
 from logsleuth.schema import EVENT_ORDER
 
 # Phase of each event type, phase order and allowed successors.
@@ -47,12 +47,12 @@ def phase_of() -> Column:
     return F.when(is_night_login(), NIGHT_PHASE).otherwise(phase)
 
 
-def rated_events(events: DataFrame, scores: DataFrame | None) -> DataFrame:
-    """Events of addresses rated HIGH or CRITICAL; all events if there are no ratings."""
+def only_rated(rows: DataFrame, scores: DataFrame | None) -> DataFrame:
+    """Rows of addresses rated HIGH or CRITICAL; all rows if there are no ratings."""
     if scores is None:
-        return events
+        return rows
     rated = scores.filter(F.col("level").isin(CHAIN_LEVELS)).select("ip_address")
-    return events.join(rated, "ip_address", "left_semi")
+    return rows.join(rated, "ip_address", "left_semi")
 
 
 def chain_nodes(events: DataFrame, scores: DataFrame | None = None) -> DataFrame:
@@ -61,7 +61,7 @@ def chain_nodes(events: DataFrame, scores: DataFrame | None = None) -> DataFrame
     One global sort by (address, time) numbers all rows; subtracting the first
     number of the address gives the node id. A long chain is spread over partitions.
     """
-    rows = rated_events(events, scores).select(
+    rows = only_rated(events, scores).select(
         "ip_address",
         *EVENT_ORDER,
         phase_of().alias("phase"),
@@ -70,8 +70,10 @@ def chain_nodes(events: DataFrame, scores: DataFrame | None = None) -> DataFrame
         "username",
     )
     indexed = global_index(rows, ["ip_address", *EVENT_ORDER], "_row")
-    starts = indexed.groupBy("ip_address").agg(F.min("_row").alias("_start"))
-    return indexed.join(starts, "ip_address").select(
+    starts = indexed.groupBy("ip_address").agg(
+        F.min("_row").alias("_start"), F.count("*").alias("_nodes")
+    )
+    return skew_join(indexed, starts, ["ip_address"], "_nodes", how="inner").select(
         "ip_address",
         (F.col("_row") - F.col("_start")).alias("id"),
         "phase",
@@ -128,15 +130,15 @@ def chain_edges(nodes: DataFrame, block: int | None = None) -> DataFrame:
 
 
 def chain_summary(events: DataFrame, scores: DataFrame | None = None) -> DataFrame:
-    """Phases each address reached, in kill-chain order, and how far it got."""
-    reached = (
-        rated_events(events, scores)
-        .groupBy("ip_address")
-        .agg(
-            F.count("*").alias("node_count"),
-            *[F.max(phase_of() == p).alias(p) for p in PHASE_ORDER],
-        )
+    """Phases each address reached, in kill-chain order, and how far it got.
+
+    Ratings are applied to the one row per address, after the events were combined.
+    """
+    per_ip = events.groupBy("ip_address").agg(
+        F.count("*").alias("node_count"),
+        *[F.max(phase_of() == p).alias(p) for p in PHASE_ORDER],
     )
+    reached = only_rated(per_ip, scores)
     furthest = F.greatest(
         *[F.when(F.col(p), F.lit(i)).otherwise(0) for i, p in enumerate(PHASE_ORDER)]
     )

@@ -172,12 +172,14 @@ def with_previous(
     )
 
 
-def exact_percentile(df: DataFrame, column: str, share) -> DataFrame:
+def exact_percentile(df: DataFrame, column: str, share, tie: list[str]) -> DataFrame:
     """One-row table with the linearly interpolated percentile of a column.
 
     Order statistics come from a distributed sort; nothing is collected in a buffer.
+    The ``tie`` columns spread rows of equal value over partitions.
     """
-    indexed = global_index(df.select(column).filter(F.col(column).isNotNull()), [column], "_rank")
+    order = [column, *tie]
+    indexed = global_index(df.select(order).filter(F.col(column).isNotNull()), order, "_rank")
     share = share if isinstance(share, Column) else F.lit(share)
     at = indexed.agg((share * (F.count("*") - 1)).alias("at")).scalar()
     return (

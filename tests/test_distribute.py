@@ -39,7 +39,7 @@ def test_skew_join_salts_hot_keys_and_loses_nothing(spark, rows_of, make_events)
 
 
 def test_exact_percentile_interpolates(spark):
-    values = spark.range(11).select(F.col("id").cast("double").alias("x"))
-    assert distribute.exact_percentile(values, "x", 0.25).first()["x"] == 2.5
-    assert distribute.exact_percentile(values, "x", 0.5).first()["x"] == 5.0
-    assert distribute.exact_percentile(values, "x", 1.0).first()["x"] == 10.0
+    values = spark.range(11).select(F.col("id").cast("double").alias("x"), "id")
+    assert distribute.exact_percentile(values, "x", 0.25, ["id"]).first()["x"] == 2.5
+    assert distribute.exact_percentile(values, "x", 0.5, ["id"]).first()["x"] == 5.0
+    assert distribute.exact_percentile(values, "x", 1.0, ["id"]).first()["x"] == 10.0
