@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import compare, duck
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +16,8 @@ def con():
 
 
 def test_every_sql_has_a_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLE) == {"isolation_forest", "run_models"}
 
