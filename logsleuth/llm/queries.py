@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsleuth.llm import bpe, license_scan, line_dedup, packing, quality, token_counts
+from logsleuth.llm import bpe, license_scan, line_dedup, packing, quality, token_counts, toxicity
 from logsleuth.llm.texts import id_and_text, read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,18 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir)).drop("spans")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").cast("long").alias("n_passages"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -57,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_bpe, op3_line_dedup, op4_token_counts, op5_license_scan, op9_quality_rules,
+        op1_bpe, op3_line_dedup, op4_token_counts, op5_license_scan, op7_toxicity, op9_quality_rules,
         op10_packing,
     )
 }

@@ -69,17 +69,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, prefixes: tuple = ()
+) -> tuple[list[np.ndarray], np.ndarray]:
     """64-bit hashes of all words of a block, and the words before each document.
 
-    Returns hashes in text order and an array of len(offsets) with the number of the
-    first word of each document (the last entry is the number of words).
+    Returns [hashes in text order, then those of the first p bytes of each word for every p
+    of ``prefixes``], and an array of len(offsets) with the number of the first word of each
+    document (its last entry is the number of words). A word of at most p bytes is its own
+    prefix. Memory is some 40 bytes for each byte of the block.
     """
     base, top = int(offsets[0]), int(offsets[-1])
     part = data[base:top]
-    edges = (offsets - base).astype(np.int64)
-    if not len(part):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    edges = np.asarray(offsets - base, np.int64)
     inside = _IN_WORD[part]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
@@ -87,7 +89,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     opens[bounds] = inside[bounds]
     starts = np.flatnonzero(opens)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return [np.zeros(0, np.uint64)] * (1 + len(prefixes)), np.zeros(len(offsets), np.int64)
     letters = np.flatnonzero(inside)
     first = np.searchsorted(letters, starts)
     lengths = np.diff(np.append(first, len(letters)))
@@ -96,8 +98,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
     with np.errstate(over="ignore"):
         values = (_FOLD[part[letters]].astype(np.uint64) + np.uint64(1)) * powers[place]
-        sums = np.add.reduceat(values, first)
-    return mix(sums), np.searchsorted(starts, edges).astype(np.int64)
+        sums = [np.add.reduceat(values, first)]
+        for p in sorted(prefixes, reverse=True):
+            values[place >= p] = 0
+            sums.insert(1, np.add.reduceat(values, first))
+    return [mix(x) for x in sums], np.searchsorted(starts, edges).astype(np.int64)
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -111,30 +116,3 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
         for i in range(k):
             total = total * np.uint64(0x100000001B3) + words[i : i + n]
     return mix(total)
-
-
-def sum_by_bucket(parts: DataFrame, keys: list[str], width: int, chunk: int) -> dict:
-    """Adds up pieces of fixed-size counter arrays and brings the sums to the driver.
-
-    ``parts`` has ``keys``, ``chunk_no`` and ``counts`` (little-endian int64). What comes
-    back is one array of ``width`` counters for each key, whatever the size of the data.
-    """
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(chunk, np.int64)
-        for value in table.column("counts"):
-            total += np.frombuffer(value.as_py(), np.int64)
-        heads = [table.column(k)[:1].combine_chunks() for k in [*keys, "chunk_no"]]
-        return pa.Table.from_arrays(
-            [*heads, pa.array([total.tobytes()], pa.binary())], [*keys, "chunk_no", "counts"]
-        )
-
-    sums = {}
-    summed = parts.groupBy(*keys, "chunk_no").applyInArrow(add, parts.schema).collect()
-    for row in summed:
-        key = tuple(row[k] for k in keys)
-        whole = sums.setdefault(key, np.zeros(width, np.int64))
-        whole[row["chunk_no"] * chunk : (row["chunk_no"] + 1) * chunk] = np.frombuffer(
-            row["counts"], np.int64
-        )
-    return sums
