@@ -130,9 +130,9 @@ def one_of_copies(train: DataFrame) -> DataFrame:
                 (words,), first = word_hashes(data, offsets[a : b + 1])
                 for low, high in zip(first, first[1:]):
                     keys.append(int(shingles(words[low:high], 5).min()) >> 1 if high > low else 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*train.columns, "key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "key"])
 
-    schema = T.StructType(train.schema.fields).add("key", "long")
+    schema = T.StructType([*train.schema.fields]).add("key", "long")
     rows = store(train.mapInArrow(run, schema))
     first = F.broadcast(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
     return rows.join(first, ["key", "doc_id"], "left_semi").select("text", "toxic", "fold")
