@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsleuth.llm import bpe, license_scan, line_dedup, packing, quality, token_counts, toxicity
+from logsleuth.llm import bpe, license_scan, line_dedup, minhash, packing, quality, token_counts, toxicity
 from logsleuth.llm.texts import id_and_text, read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir)).drop("spans")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -69,7 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_bpe, op3_line_dedup, op4_token_counts, op5_license_scan, op7_toxicity, op9_quality_rules,
+        op1_bpe, op3_line_dedup, op4_token_counts, op5_license_scan, op6_minhash, op7_toxicity, op9_quality_rules,
         op10_packing,
     )
 }
