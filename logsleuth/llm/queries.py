@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsleuth.llm import bpe, license_scan, line_dedup, minhash, packing, quality, token_counts, toxicity
+from logsleuth.llm import bpe, embedding_dedup, license_scan, line_dedup, minhash, packing, quality, token_counts, toxicity
 from logsleuth.llm.texts import id_and_text, read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +55,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_links(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -73,8 +77,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_bpe, op3_line_dedup, op4_token_counts, op5_license_scan, op6_minhash, op7_toxicity, op9_quality_rules,
-        op10_packing,
+        op1_bpe, op3_line_dedup, op4_token_counts, op5_license_scan, op6_minhash, op7_toxicity,
+        op8_embedding_dedup, op9_quality_rules, op10_packing,
     )
 }
 
