@@ -162,11 +162,11 @@ def nodes_of(docs: DataFrame, idf: np.ndarray, s: Similarity) -> DataFrame:
                     nodes.append(xxhash.xxh3_128_digest(words.tobytes()))
                     buckets.append(band_keys(sampler.draw(*bag(words, s.words, idf)), s.bands, s.rows))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), pa.array(nodes, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-                ["doc_id", "row_key", "node", "buckets"],
+                [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
+                ["doc_id", "node", "buckets"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, row_key long, node binary, buckets array<long>")
+    return docs.mapInArrow(run, "doc_id long, node binary, buckets array<long>")
 
 
 def bags_of(texts: DataFrame, idf: np.ndarray, s: Similarity):
@@ -258,14 +258,13 @@ def near_duplicates(docs: DataFrame, s: Similarity = Similarity()) -> DataFrame:
     every row of ``docs`` (doc_id, text). A text with fewer words than a shingle is one
     shingle; null texts and texts without a word are like nothing else and stay. Equal texts
     are always one class. Rows with one doc_id are judged by their own texts. Rows with a null
-    doc_id take part, do not name a class unless all are null (class_id null) and stay only
-    in that case.
+    doc_id have no class and stay.
     """
-    docs = id_and_text(docs).withColumn("row_key", F.coalesce("doc_id", F.xxhash64("text")))
+    docs = id_and_text(docs)
     counts, total = document_frequency(docs, s.words)
     idf = shingle_idf(counts, total, s.rarity)
     rows = store(nodes_of(docs, idf, s))
-    found = rows.filter("node is not null")
+    found = rows.filter("node is not null and doc_id is not null")
     # All rows of a node have the same buckets: the least array is any of them.
     nodes = store(found.groupBy("node").agg(F.first("buckets").alias("buckets")))
     placed = nodes.select("node", F.explode("buckets").alias("bucket"))
@@ -288,11 +287,11 @@ def near_duplicates(docs: DataFrame, s: Similarity = Similarity()) -> DataFrame:
 
 
 def node_texts(docs: DataFrame, found: DataFrame, involved: DataFrame) -> DataFrame:
-    """One text for each of the ``involved`` nodes, from the least row key that has it."""
-    first = found.join(involved, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
+    """One text for each of the ``involved`` nodes, from the smallest document that has it."""
+    first = found.join(involved, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def run(batches):
-        # Rows may share a key: only the text that makes the node is its text.
+        # Rows may share an id: only the text that makes the node is its text.
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             own = []
@@ -302,14 +301,14 @@ def node_texts(docs: DataFrame, found: DataFrame, involved: DataFrame) -> DataFr
             same = [x == y for x, y in zip(own, batch.column("node").to_pylist())]
             yield batch.filter(pa.array(same, pa.bool_()))
 
-    rows = docs.join(first.hint("shuffle_hash"), "row_key").select("node", "text")
+    rows = docs.join(first.hint("shuffle_hash"), "doc_id").select("node", "text")
     return rows.mapInArrow(run, "node binary, text string").dropDuplicates(["node"])
 
 
 def classes(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Class of each row from the components of nodes; a node without links is its own."""
     named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     out = named.join(smallest, "root", "left")
-    own = F.coalesce("class_id", F.when(F.col("root").isNull(), F.col("doc_id")))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", own.alias("class_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

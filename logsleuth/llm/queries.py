@@ -1,9 +1,9 @@
 """The registered queries of the numbered operators, over their whole tables."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logsleuth.llm import bpe, embedding_dedup, license_scan, line_dedup, minhash, packing, quality, token_counts, toxicity
+from logsleuth.llm import bpe, embedding_dedup, license_scan, line_dedup, minhash, packing, pii, quality, token_counts, toxicity
 from logsleuth.llm.texts import id_and_text, read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,26 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def span_list(spans) -> Column:
+    """kind:start:end of spans, comma-joined."""
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(spans, one), ",")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = pii.personal_data(docs, pii.fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS[:4]]
+    return found.select(
+        "doc_id", *counts, F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"), span_list("spans").alias("spans")
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     kept = line_dedup.drop_lines(docs, line_dedup.LineIndex.build(docs))
@@ -77,7 +97,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_bpe, op3_line_dedup, op4_token_counts, op5_license_scan, op6_minhash, op7_toxicity,
+        op1_bpe, op2_pii, op3_line_dedup, op4_token_counts, op5_license_scan, op6_minhash, op7_toxicity,
         op8_embedding_dedup, op9_quality_rules, op10_packing,
     )
 }

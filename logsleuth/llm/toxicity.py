@@ -327,9 +327,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     texts have no passages and get the score of a document without evidence. Rows are
     scored one by one; null ids and repeated rows change nothing.
     """
-    schema = T._parse_datatype_string(
-        "doc_id long, score double, passages array<struct<first:long,last:long,score:double,p:double>>"
-    )
+    schema = "doc_id long, score double, passages array<struct<first:long,last:long,score:double,p:double>>"
     passage = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("p", pa.float64())]))
 
     def run(batches):
@@ -343,7 +341,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                     scores.append(value)
                     passages.append([dict(zip(("first", "last", "score", "p"), s)) for s in found])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(passages, passage)], schema.names
+                [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(passages, passage)], ["doc_id", "score", "passages"]
             )
 
     return id_and_text(docs).mapInArrow(run, schema)
