@@ -20,9 +20,8 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects. Measures stay inside the stage."""
-    judged = quality.quality_rules(docs.select(F.struct("*").alias("_row"), F.col("text").alias("text")))
-    return judged.filter("kept").select("_row.*")
+    """Documents that no quality rule rejects."""
+    return quality.passing(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

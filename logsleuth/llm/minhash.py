@@ -7,11 +7,12 @@ Jaccard similarity. Draws are cut into bands; documents that agree on a band are
 and are verified by their exact weighted Jaccard similarity.
 
 * Texts with the same words are one node from the start, so copies cost nothing further.
-* In each band bucket every node is compared with one head, not with every other node.
-* Nodes of buckets that are not one component after that are joined exactly among
-  themselves by prefix filtering: two bags as similar as asked for must share one of their
-  globally rarest shingles. A head that is unlike the others therefore hides no link, and no
-  bucket is capped.
+* In each band bucket every node is compared with one head, not with every other node, and
+  after that, in buckets that are not yet one component, with a second and a third head.
+* What is open then is settled exactly: nodes outside a bucket's largest component meet
+  all nodes of other components, in blocks that are dealt out over tasks. Blocks return a
+  forest of what is linked, never pairs. No bucket is capped, and a head that is unlike the
+  others hides no link.
 
 Document frequency is counted over all documents in a table of fixed width by shingle hash:
 2 to the 18th counters whatever the size of the corpus. A counter is an upper bound, so a
@@ -23,7 +24,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -49,6 +49,8 @@ class Similarity:
     #: What inverse document frequency adds to a weight of 1 at most. Copies make the shingles
     #: they share frequent; more of it would pull large groups of near copies apart.
     rarity: float = 0.25
+    #: Rounds in which one head of each open bucket is compared.
+    heads: int = 3
     seed: int = 42
 
 
@@ -209,46 +211,121 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, s: Similarity)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def prefix_pairs(rest: DataFrame, idf: np.ndarray, s: Similarity) -> DataFrame:
-    """Pairs of different components among ``rest`` (node, root, text) that may be similar.
+def block_similarity(bags: list[tuple], root: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of the pairs of a block whose roots differ.
 
-    Shingles are ordered by frequency, rarest first. A bag's prefix ends where what is left
-    weighs less than the least similarity times the whole; similar bags share a shingle of
-    both prefixes, and their whole weights do not differ by more than that factor.
+    A weight of tf * idf is tf features of weight idf each, so the sum of smaller weights is
+    a product of two 0/1 matrices. Features of one root only add nothing, and features with
+    the same bags become one column, however long the passage is that made them.
     """
-    bags = bags_of(rest, idf, s)
+    keys, rows = [], []
+    for i, (own, weights) in enumerate(bags):
+        tf = np.rint(weights / idf[df_bucket(own)]).astype(np.int64)
+        turn = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+        # Upper bits, which say the frequency, stay those of the shingle.
+        keys.append(np.repeat(own, tf) ^ (mix(turn.astype(np.uint64)) >> np.uint64(18)))
+        rows.append(np.full(len(turn), i))
+    keys, rows = np.concatenate(keys), np.concatenate(rows)
+    order = np.argsort(keys, kind="stable")
+    keys, rows = keys[order], rows[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.append(first, len(keys)))
+    roots = root[rows]
+    several = np.minimum.reduceat(roots, first) != np.maximum.reduceat(roots, first)
+    some = np.repeat(several, sizes)
+    keys, rows, sizes = keys[some], rows[some], sizes[several]
+    total = np.array([w.sum() for _, w in bags])
+    small = np.zeros((len(bags), len(bags)))
+    if len(sizes):
+        first = np.cumsum(sizes) - sizes
+        mark = np.random.default_rng(1).integers(0, 1 << 63, len(bags), dtype=np.uint64)
+        _, at, column = np.unique(np.add.reduceat(mark[rows], first), return_index=True, return_inverse=True)
+        weight = np.bincount(column, idf[df_bucket(keys[first])])
+        starts, lengths = first[at], sizes[at]
+        for low in range(0, len(weight), 4096):
+            n = lengths[low : low + 4096]
+            place = np.repeat(starts[low : low + 4096], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            x = np.zeros((len(bags), len(n)))
+            x[rows[place], np.repeat(np.arange(len(n)), n)] = 1
+            small += (x * weight[low : low + 4096]) @ x.T
+    return small / (total[:, None] + total[None, :] - small)
+
+
+def settled(remaining: DataFrame, roots: DataFrame, texts: DataFrame, idf: np.ndarray, s: Similarity, first: bool, block: int = 256) -> DataFrame:
+    """Links (a, b) inside the buckets of ``remaining`` that span several components.
+
+    Of each bucket the nodes of its largest component (main) need not meet each other.
+    Main and other nodes are dealt into blocks; a task gets two blocks at most. With
+    ``first``, other nodes come only to the one of their buckets with the largest main
+    component: most of them join it there, and need not be brought to all their buckets.
+    """
+    state = remaining.join(roots, "node")
+    sizes = state.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    per_bucket = (
+        sizes.groupBy("bucket")
+        .agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
+        .filter("n > n_main")
+    )
+    is_main = F.col("root") == F.col("main")
+    members = state.join(per_bucket.select("bucket", "main", "n_main"), "bucket")
+    if first:
+        others = members.filter(~is_main).groupBy("node").agg(F.max(F.struct("n_main", "bucket")).alias("best"))
+        others = others.select("node", F.col("best.bucket").alias("bucket"))
+        members = members.filter(is_main).unionByName(members.filter(~is_main).join(others, ["node", "bucket"], "left_semi"))
+    members = store(members)
+    n_other = F.count(F.when(~is_main, 1))
+    counts = members.groupBy("bucket").agg(
+        F.ceil(F.count(F.when(is_main, 1)) / block).cast("int").alias("m"), F.ceil(n_other / block).cast("int").alias("r")
+    )
+    deal = F.xxhash64("node", "bucket")
+    dealt = (
+        members.join(counts.filter("r > 0"), "bucket")
+        .withColumn("own", F.when(is_main, F.pmod(deal, "m")).otherwise(F.col("m") + F.pmod(deal, "r")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.when(is_main, F.col("m")).otherwise(F.lit(0)), F.col("m") + F.col("r") - 1)))
+        .select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "root")
+        .join(texts, "node")
+    )
+    bags = bags_of(texts, idf, s)
     least = s.least
 
-    def run(batches):
-        for batch in batches:
-            keys, rows, totals = [], [], []
-            for i, (own, weights) in enumerate(bags(batch.column("text"))):
-                order = np.lexsort((own, -idf[df_bucket(own)]))
-                total = weights.sum()
-                left = total - np.cumsum(weights[order])
-                n = int(np.searchsorted(-left, (1e-9 - least) * total, side="right")) + 1
-                keys.append(own[order[:n]].view(np.int64))
-                rows.append(np.full(min(n, len(own)), i))
-                totals.append(np.full(min(n, len(own)), total))
-            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(keys) if keys else [], pa.int64()),
-                    pc.take(batch.column("node"), at),
-                    pc.take(batch.column("root"), at),
-                    pa.array(np.concatenate(totals) if totals else [], pa.float64()),
-                ],
-                ["shingle", "node", "root", "total"],
-            )
-
-    rows = store(rest.mapInArrow(run, "shingle long, node binary, root binary, total double"))
-    # Shingles of a single component cannot link anything.
-    mixed = rows.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1")
-    rows = rows.join(mixed.select("shingle"), "shingle", "left_semi")
-    one = rows.select("shingle", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("total").alias("ta"))
-    two = rows.select("shingle", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("total").alias("tb"))
-    near = (F.col("ta") >= least * F.col("tb")) & (F.col("tb") >= least * F.col("ta"))
-    return one.join(two, "shingle").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+    def compare(table: pa.Table) -> pa.Table:
+        nodes, own_roots = table.column("node").to_pylist(), table.column("root").to_pylist()
+        number = {r: i for i, r in enumerate(sorted(set(own_roots)))}
+        root = np.array([number[r] for r in own_roots])
+        near = np.zeros((len(nodes), len(nodes)), bool)
+        if len(number) > 1:
+            near = block_similarity(list(bags(table.column("text").combine_chunks())), root, idf) >= least
+            near &= root[:, None] != root[None, :]
+        mark = np.arange(len(nodes))
+        while True:
+            nearest = np.where(near, mark[None, :], len(nodes)).min(axis=1)
+            following = np.minimum(mark, nearest)
+            following = following[following]
+            if (following == mark).all():
+                break
+            mark = following
+        some = np.flatnonzero(mark != np.arange(len(nodes)))
+        return pa.table({"a": pa.array([nodes[mark[i]] for i in some], pa.binary()), "b": pa.array([nodes[i] for i in some], pa.binary())})
+
+    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a binary, b binary")
+
+
+def star_round(remaining: DataFrame, roots: DataFrame, turn: int):
+    """Pairs of each open bucket's head with nodes of other components, and who remains.
+
+    The head of a round leaves the bucket: it has met all that it needed to meet.
+    """
+    state = remaining.join(roots, "node")
+    order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")
+    heads = (
+        state.groupBy("bucket")
+        .agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(order).alias("head"))
+        .filter("r0 != r1")
+        .select("bucket", F.col("head.node").alias("a"), F.col("head.root").alias("ra"))
+    )
+    left = store(state.join(heads, "bucket"))
+    pairs = left.filter("root != ra").select("a", F.col("node").alias("b")).distinct()
+    return pairs, left.filter("node != a").select("bucket", "node")
 
 
 def near_duplicates(docs: DataFrame, s: Similarity = Similarity()) -> DataFrame:
@@ -268,24 +345,34 @@ def near_duplicates(docs: DataFrame, s: Similarity = Similarity()) -> DataFrame:
     # All rows of a node have the same buckets: the least array is any of them.
     nodes = store(found.groupBy("node").agg(F.first("buckets").alias("buckets")))
     placed = nodes.select("node", F.explode("buckets").alias("bucket"))
-    heads = placed.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    shared = store(placed.join(heads.select("bucket", "a"), "bucket"))
-    pairs = store(shared.filter("node != a").select("a", F.col("node").alias("b")).distinct())
-    involved = store(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    several = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    remaining = store(placed.join(several, "bucket"))
+    involved = store(remaining.select("node").distinct())
     texts = store(node_texts(docs, found, involved))
-    links = store(verified(pairs, texts, idf, s))
-    roots = connected_components(involved.select(F.col("node").alias("v")), links).withColumnRenamed("v", "node")
-    # Buckets that are more than one component now, and the nodes in them.
-    split = shared.join(roots, "node")
-    open_buckets = split.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1")
-    rest = split.join(open_buckets.select("bucket"), "bucket", "left_semi").select("node", "root").distinct()
-    more = store(verified(prefix_pairs(texts.join(rest, "node"), idf, s), texts, idf, s))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = connected_components(involved.select(F.col("node").alias("v")), links).withColumnRenamed("v", "node")
+    roots = involved.withColumn("root", F.col("node"))
+    links = tried = None
+    for turn in range(s.heads):
+        pairs, remaining = star_round(remaining, roots, turn)
+        pairs = store(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links, roots = joined(links, verified(pairs, texts, idf, s), involved, roots)
+    for first in (True, False):
+        links, roots = joined(links, settled(remaining, roots, texts, idf, s, first), involved, roots)
     return classes(rows, roots)
 
 
+def joined(links: DataFrame | None, more: DataFrame, involved: DataFrame, roots: DataFrame):
+    """All links with ``more`` of them, and the components they make."""
+    more = store(more)
+    if more.isEmpty():
+        return links, roots
+    links = more if links is None else links.unionByName(more)
+    vertices = involved.select(F.col("node").alias("v"))
+    return links, connected_components(vertices, links).withColumnRenamed("v", "node")
+
+
 def node_texts(docs: DataFrame, found: DataFrame, involved: DataFrame) -> DataFrame:
     """One text for each of the ``involved`` nodes, from the smallest document that has it."""
     first = found.join(involved, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))

@@ -137,3 +137,14 @@ def quality_rules(docs: DataFrame, rules: tuple = RULES, text: str = "text") ->
     return step.withColumns({"base_failed": base, "failed": failed}).withColumn(
         "kept", ~F.col("base_failed") & (F.size("failed") == 0)
     )
+
+
+def passing(docs: DataFrame, rules: tuple = RULES, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` that pass all rules, with their own columns."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
+    # The row number keeps the filter above the measures: below, each rule would measure anew.
+    once = measure(rows, "_text").withColumn("_at", F.monotonically_increasing_id())
+    fails = F.lit(False)
+    for rule in rules:
+        fails = fails | rule.fails()
+    return once.filter(~fails & (F.col("_at") >= 0)).select("_row.*")
