@@ -21,6 +21,8 @@ le la les de des et en un une est que dans pour sur du au
 el los las de y en un una es que con por del se al
 """.split()
 
+STOP_SPELLINGS = sorted({f(w) for w in STOP_WORDS for f in (str.lower, str.capitalize, str.upper)})
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -97,7 +99,6 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     n = F.size("_words")
     pairs = F.zip_with("_words", F.slice("_words", 2, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
     triples = F.zip_with(pairs, F.slice("_words", 3, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    stop = sorted({f(w) for w in STOP_WORDS for f in (str.lower, str.capitalize, str.upper)})
     step = step.select(
         *own,
         n.cast("long").alias("n_words"),
@@ -105,7 +106,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count(whole, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("_words", lambda w: w.isin(stop))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("_words", lambda w: w.isin(STOP_SPELLINGS))).cast("long").alias("n_stop_words"),
         F.slice(triples, 1, F.greatest(n - 2, F.lit(0))).alias("_windows"),
     )
     n_windows = F.size("_windows")

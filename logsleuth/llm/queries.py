@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logsleuth.llm import bpe, embedding_dedup, license_scan, line_dedup, minhash, packing, pii, quality, token_counts, toxicity
+from logsleuth.llm import bpe, embedding_dedup, license_scan, line_dedup, minhash, oracle, packing, pii, quality, token_counts, toxicity
 from logsleuth.llm.texts import id_and_text, read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -102,4 +102,8 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_line_dedup": oracle.LINE_DEDUP,
+    "op8_embedding_dedup": oracle.EMBEDDING_LINKS,
+    "op9_quality_rules": oracle.quality_rules(quality.STOP_SPELLINGS),
+}
