@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from logsleuth.llm.texts import blocks, text_buffer
+from logsleuth.llm.texts import blocks, small_batches, text_buffer
 
 #: Fixed value: the word splitter of byte-level vocabularies of this kind.
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -165,6 +165,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 [*(batch.column(c) for c in passing), pa.array(out, pa.binary())], [*passing, ids]
             )
 
+    small_batches(docs.sparkSession)
     return docs.select(*passing, text).mapInArrow(run, schema)
 
 

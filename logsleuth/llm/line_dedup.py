@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from logsleuth.llm.texts import id_and_text
+from logsleuth.llm.texts import id_and_text, small_batches
 from logsleuth.operators.distribute import store
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -281,4 +281,5 @@ def drop_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
 
     same = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_doc")
     joined = docs.select(*passing_on).join(drops, same, "left").drop("_doc")
+    small_batches(docs.sparkSession)
     return joined.mapInArrow(run, schema)

@@ -7,8 +7,7 @@ Jaccard similarity. Draws are cut into bands; documents that agree on a band are
 and are verified by their exact weighted Jaccard similarity.
 
 * Texts with the same words are one node from the start, so copies cost nothing further.
-* In each band bucket every node is compared with one head, not with every other node, and
-  after that, in buckets that are not yet one component, with a second and a third head.
+* In each band bucket every node is compared with one head, not with every other node.
 * What is open then is settled exactly: nodes outside a bucket's largest component meet
   all nodes of other components, in blocks that are dealt out over tasks. Blocks return a
   forest of what is linked, never pairs. No bucket is capped, and a head that is unlike the
@@ -50,7 +49,7 @@ class Similarity:
     #: they share frequent; more of it would pull large groups of near copies apart.
     rarity: float = 0.25
     #: Rounds in which one head of each open bucket is compared.
-    heads: int = 3
+    heads: int = 1
     seed: int = 42
 
 

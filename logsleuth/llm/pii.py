@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from logsleuth.llm.texts import id_and_text
+from logsleuth.llm.texts import id_and_text, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 
@@ -404,4 +404,5 @@ def redact(docs: DataFrame, field: SpanField) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from logsleuth.llm.bpe import vocabulary
-from logsleuth.llm.texts import blocks, text_buffer
+from logsleuth.llm.texts import blocks, small_batches, text_buffer
 
 RULES = ("start", "end", "middle", "split")
 
@@ -108,4 +108,5 @@ def token_counts(
                     schema.names,
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select(*columns).mapInArrow(run, schema)
