@@ -31,7 +31,7 @@ from logsleuth.operators.components import connected_components
 from logsleuth.operators.distribute import store
 
 #: Counters of document frequency, and rows of the table of random numbers.
-DF_WIDTH, RANDOM_ROWS = 1 << 18, 1 << 16
+DF_WIDTH, RANDOM_ROWS = 1 << 18, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -117,17 +117,17 @@ class Sampler:
     def __init__(self, draws: int, seed: int):
         rng = np.random.default_rng(seed)
         size = (RANDOM_ROWS, draws)
-        self.r = rng.gamma(2.0, 1.0, size).astype(np.float32)
-        self.log_c = np.log(rng.gamma(2.0, 1.0, size)).astype(np.float32)
-        self.beta = rng.random(size).astype(np.float32)
-        self.inverse = (1 / self.r).astype(np.float32)
+        self.r = rng.standard_gamma(2.0, size, dtype=np.float32)
+        self.log_c = rng.standard_gamma(2.0, size, dtype=np.float32)
+        np.log(self.log_c, out=self.log_c)
+        self.beta = rng.random(size, dtype=np.float32)
 
     def draw(self, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One 64-bit number for each draw: the shingle drawn and its level."""
         log_weight = np.log(weights).astype(np.float32)[:, None]
         row = (keys & np.uint64(RANDOM_ROWS - 1)).astype(np.int64)
         r, beta = self.r[row], self.beta[row]
-        level = np.floor(log_weight * self.inverse[row] + beta)
+        level = np.floor(log_weight / r + beta)
         value = self.log_c[row] - r * (level - beta + np.float32(1))
         best = value.argmin(axis=0)
         at = level[best, np.arange(level.shape[1])].astype(np.int64).view(np.uint64)
