@@ -388,7 +388,7 @@ ORACLE["response_actions"] = with_scores("SELECT * FROM actions", ACTIONS)
 ORACLE["export_scored_csv"] = with_scores(
     f"""SELECT {EVENT_COLUMNS.replace('parsed_time', "strftime(parsed_time, '%Y-%m-%d %H:%M:%S.%f') AS parsed_time")},
     coalesce(score, 0.0::DOUBLE) AS risk_score, coalesce(level, 'LOW') AS severity_level
-    FROM ev LEFT JOIN (SELECT * FROM scores WHERE level <> 'MEDIUM') s USING (ip_address)"""
+    FROM ev LEFT JOIN scores s USING (ip_address)"""
 )
 
 # Forensics.
@@ -705,7 +705,7 @@ ORACLE["overlay_by_event"] = with_ev(
     CASE WHEN {NIGHT} THEN 1 ELSE 0 END AS tamper_flag, 0.5::DOUBLE AS ip_reputation FROM ev"""
 )
 ORACLE["overlay_by_ip"] = with_scores(
-    """SELECT line_number, ip_address, CASE WHEN level = 'LOW' THEN 0.0::DOUBLE ELSE score END AS risk_score,
+    """SELECT line_number, ip_address, score AS risk_score,
     level AS severity_level, '' AS session_id FROM ev JOIN scores USING (ip_address)"""
 )
 ORACLE["append_run_log"] = with_scores(

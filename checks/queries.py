@@ -180,7 +180,7 @@ def score_overlay(e):
         F.col("level").alias("severity_level"),
         F.lit("dropped").alias("session_id"),
     )
-    return tables.overlay_by_ip(e, updates.filter(F.col("severity_level") != "LOW")).select(
+    return tables.overlay_by_ip(e, updates).select(
         "line_number", "ip_address", "risk_score", "severity_level", "session_id"
     )
 
@@ -332,7 +332,7 @@ QUERIES = {
     "kpi_counts": on_events(lambda e: reports.kpi_counts(e, rated(e))),
     "response_actions": on_events(lambda e: response.response_actions(rated(e), earlier_blocks(e))),
     "export_scored_csv": on_events(
-        lambda e: tables.scored_events(e, rated(e).filter(F.col("level") != "MEDIUM")).drop("raw_line")
+        lambda e: tables.scored_events(e, rated(e)).drop("raw_line")
     ),
     # Forensics.
     "chain_nodes": on_events(lambda e: chains.chain_nodes(e).drop("_row")),
