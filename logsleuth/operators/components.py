@@ -2,47 +2,53 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from logsleuth.operators.distribute import cut
+from logsleuth.operators.distribute import store
 
 
-def connected_components(vertices: DataFrame, links: DataFrame) -> DataFrame:
+def connected_components(
+    vertices: DataFrame, links: DataFrame, start: DataFrame | None = None
+) -> DataFrame:
     """Smallest vertex of the component of each vertex, as (v, root).
 
-    ``vertices`` has v, ``links`` has a and b. Every round each vertex, and the
-    vertex it points to, moves to the smallest grandparent in its neighbourhood;
-    trees are flattened at the same time, so rounds grow with the logarithm of the
-    diameter. Proposals are combined before they are shuffled, which keeps a hub
+    ``vertices`` has v, ``links`` has a and b. With ``start``, an earlier result for the same
+    vertices, ``links`` needs only what has come since: older links live on in its roots.
+
+    Every round each vertex, and the vertex it points to, moves to the smallest grandparent in
+    its neighbourhood; trees are flattened at the same time, so rounds grow with the logarithm
+    of the diameter. Proposals are combined before they are shuffled, which keeps a hub
     with very many links harmless. Ends when no pointer changes.
     """
-    both = cut(
-        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    )
-    state = cut(vertices.select("v", F.col("v").alias("root")))
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = store(links.select(ends.alias("e")).select("e.a", "e.b"))
+    if start is None:
+        state = store(vertices.select("v", F.col("v").alias("root")))
+        known = state.withColumn("grand", F.col("root"))
+    else:
+        state, known = start.select("v", "root"), None
     while True:
-        parents = state.select(F.col("v").alias("root"), F.col("root").alias("grand"))
-        known = cut(state.join(parents, "root"))
+        if known is None:
+            parents = state.select(F.col("v").alias("root"), F.col("root").alias("grand"))
+            known = store(state.join(parents, "root").select("v", "root", "grand"))
         near = (
             both.join(known.select(F.col("v").alias("b"), "grand"), "b")
             .groupBy("a")
-            .agg(F.min("grand").alias("offer"))
+            .agg(F.min("grand").alias("near"))
             .withColumnRenamed("a", "v")
-            .join(known, "v")
-            .select("v", "root", F.least("offer", "grand").alias("offer"))
         )
-        offers = (
-            near.select("v", "offer")
-            .unionByName(near.select(F.col("root").alias("v"), "offer"))
-            .unionByName(known.select("v", F.col("grand").alias("offer")))
-            .groupBy("v")
-            .agg(F.min("offer").alias("root"))
+        # One offer to the vertex, which knows its old root, and one to that root.
+        offer = F.least("near", "grand").alias("offer")
+        nothing = F.lit(None).cast(state.schema["root"].dataType)
+        offers = F.array(
+            F.struct("v", offer, F.col("root").alias("old")),
+            F.struct(F.col("root").alias("v"), offer, nothing.alias("old")),
         )
-        following = cut(offers)
-        moved = (
-            following.join(state.withColumnRenamed("root", "old"), "v")
-            .filter(F.col("root") != F.col("old"))
-            .limit(1)
-            .count()
+        following = store(
+            known.join(near, "v", "left")
+            .select(F.explode(offers).alias("o"))
+            .groupBy("o.v")
+            .agg(F.min("o.offer").alias("root"), F.max("o.old").alias("old"))
         )
-        state = following
-        if moved == 0:
+        moved = not following.filter("root != old").isEmpty()
+        state, known = following.select("v", "root"), None
+        if not moved:
             return state
