@@ -349,27 +349,27 @@ def near_duplicates(docs: DataFrame, s: Similarity = Similarity()) -> DataFrame:
     involved = store(remaining.select("node").distinct())
     texts = store(node_texts(docs, found, involved))
     roots = involved.withColumn("root", F.col("node"))
-    links = tried = None
+    tried = None
     for turn in range(s.heads):
         pairs, remaining = star_round(remaining, roots, turn)
         pairs = store(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links, roots = joined(links, verified(pairs, texts, idf, s), involved, roots)
+        roots = joined(verified(pairs, texts, idf, s), involved, roots, fresh=turn == 0)
     for first in (True, False):
-        links, roots = joined(links, settled(remaining, roots, texts, idf, s, first), involved, roots)
+        roots = joined(settled(remaining, roots, texts, idf, s, first), involved, roots)
     return classes(rows, roots)
 
 
-def joined(links: DataFrame | None, more: DataFrame, involved: DataFrame, roots: DataFrame):
-    """All links with ``more`` of them, and the components they make."""
+def joined(more: DataFrame, involved: DataFrame, roots: DataFrame, fresh: bool = False) -> DataFrame:
+    """Components with the links ``more``; ``fresh`` if every node is its own so far."""
     more = store(more)
     if more.isEmpty():
-        return links, roots
-    links = more if links is None else links.unionByName(more)
+        return roots
     vertices = involved.select(F.col("node").alias("v"))
-    return links, connected_components(vertices, links).withColumnRenamed("v", "node")
+    start = None if fresh else roots.withColumnRenamed("node", "v")
+    return connected_components(vertices, more, start).withColumnRenamed("v", "node")
 
 
 def node_texts(docs: DataFrame, found: DataFrame, involved: DataFrame) -> DataFrame:
