@@ -87,6 +87,7 @@ def values(rows):
 PLACE_ROWS = values([(i, *p) for i, p in enumerate(enrich.PLACES)])
 RISK_ROWS = values(list(enrich.COUNTRY_RISK.items()))
 NETWORK_ROWS = values(list(enumerate(enrich.NETWORKS)))
+DESCRIPTION_ROWS = values([(event, row[3]) for event, row in enrich.TECHNIQUES.items()])
 TECHNIQUE_ROWS = values([(event, *row[:3]) for event, row in enrich.TECHNIQUES.items()])
 PHASE_ROWS = values([(p, i) for i, p in enumerate(chains.PHASE_ORDER)])
 SUCCESSOR_ROWS = values([(p, t) for p, ts in chains.SUCCESSORS.items() for t in ts])
@@ -265,7 +266,9 @@ ORACLE["country_risk"] = with_ev("SELECT ip_address, geo_country, geo_risk FROM
 ORACLE["ip_reputation"] = with_ev("SELECT ip_address, failed_count, ip_reputation FROM intel", INTEL)
 ORACLE["ip_asn"] = with_ev("SELECT ip_address, asn FROM intel", INTEL)
 ORACLE["mitre_map"] = with_ev(
-    "SELECT line_number, event, mitre_technique, mitre_tactic FROM enriched", INTEL, ENRICHED
+    """SELECT line_number, enriched.event, mitre_technique, mitre_tactic, mitre_description FROM enriched
+    JOIN descriptions d ON d.event = CASE WHEN enriched.event IN (SELECT event FROM descriptions) THEN enriched.event ELSE 'OTHER' END""",
+    INTEL, ENRICHED, f"descriptions(event, mitre_description) AS (VALUES {DESCRIPTION_ROWS})",
 )
 ORACLE["enrich_events"] = with_ev(
     f"SELECT {EVENT_COLUMNS}, geo_country, geo_city, geo_lat, geo_lon, geo_risk, ip_reputation, asn, mitre_technique, mitre_tactic FROM enriched",
@@ -385,6 +388,12 @@ history AS (
   WHERE EXISTS (SELECT 1 FROM scores WHERE score >= 40 AND NOT honey AND f2 > 0)
 )"""
 ORACLE["response_actions"] = with_scores("SELECT * FROM actions", ACTIONS)
+ORACLE["action_log"] = with_scores(
+    """SELECT ip_address AS ip, NULL::VARCHAR AS user, 'IP_BLOCK' AS action, 'WAF / Cloudflare' AS target, 'SUCCESS' AS status
+    FROM scores WHERE score >= 40 UNION ALL
+    SELECT NULL, 'compromised_user', 'ACCOUNT_LOCKOUT', 'Active Directory', 'ENFORCED'
+    WHERE EXISTS (SELECT 1 FROM scores WHERE score >= 40 AND NOT honey AND f2 > 0)"""
+)
 ORACLE["export_scored_csv"] = with_scores(
     f"""SELECT {EVENT_COLUMNS.replace('parsed_time', "strftime(parsed_time, '%Y-%m-%d %H:%M:%S.%f') AS parsed_time")},
     coalesce(score, 0.0::DOUBLE) AS risk_score, coalesce(level, 'LOW') AS severity_level
@@ -466,6 +475,12 @@ ORACLE["tamper_regions"] = with_ev(
     FROM entropies, (SELECT avg(entropy) AS m, stddev_pop(entropy) AS s FROM entropies) WHERE s > 0 AND abs(entropy - m) / s > 2.0""",
     ENTROPY,
 )
+ORACLE["tamper_summary"] = with_ev(
+    f"""SELECT count(*) FILTER (s > 0 AND abs(entropy - m) / s > 2.0) > 0 AS tampered,
+    count(*) FILTER (s > 0 AND abs(entropy - m) / s > 2.0) AS regions, {rnd('coalesce(avg(entropy), 0.0)', 4)} AS baseline_entropy
+    FROM entropies, (SELECT avg(entropy) AS m, stddev_pop(entropy) AS s FROM entropies)""",
+    ENTROPY,
+)
 ORACLE["pivot_points"] = with_ev(
     """SELECT node AS ip, neighbour AS host_involved, hosts_count, 'HIGH' AS risk FROM (
       SELECT *, count(*) OVER (PARTITION BY node) AS hosts_count FROM (
@@ -676,8 +691,10 @@ timed AS (
 )"""
 PARSED = f"""SELECT timestamp_str, parsed_time, {CLASSIFIED} AS event, {IP_FOUND} AS ip_address,
 {USER_FOUND} AS username, process, host, message, raw_line FROM timed WHERE parsed_time IS NOT NULL"""
-ORACLE["read_auth_logs"] = with_ev(PARSED, LINES)
-ORACLE["stream_ingest"] = with_ev(PARSED.replace("FROM timed", "FROM row_timed"), LINES + f""",
+# Each line is alone at its position in the file, which lies in the folder of its host.
+POSITION = "SELECT *, host AS folder, 1::BIGINT AS same_position FROM (%s)"
+ORACLE["read_auth_logs"] = with_ev(POSITION % PARSED, LINES)
+ORACLE["stream_ingest"] = with_ev(POSITION % PARSED.replace("FROM timed", "FROM row_timed"), LINES + f""",
 row_lines AS (SELECT value, CASE WHEN regexp_matches(value, '{AUTH_RE}') THEN 'auth_log' ELSE 'syslog' END AS layout FROM noisy),
 row_split AS (SELECT layout, trim(value) AS raw_line, {header_part(1)} AS timestamp_str, {header_part(2)} AS host,
   {header_part(3)} AS process, {header_part(4)} AS message FROM row_lines),

@@ -3,7 +3,7 @@
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from logsleuth.functions.columns import round_half_even
 from logsleuth import schema
@@ -140,8 +140,18 @@ def log_files(spark, sf_dir):
 
 
 def read_back(spark, sf_dir):
-    parsed = text_logs.read_auth_logs(spark, log_files(spark, sf_dir))
-    return parsed.drop("source_file", "line_number")
+    parsed = text_logs.read_auth_logs(spark, log_files(spark, sf_dir), number_lines=True)
+    return by_position(parsed)
+
+
+def by_position(parsed):
+    """Parsed lines with the host folder of their file and how many lines share their number."""
+    position = Window.partitionBy("source_file", "line_number")
+    return parsed.select(
+        "*",
+        F.regexp_extract("source_file", "host=(host[0-9]+)", 1).alias("folder"),
+        F.count("*").over(position).alias("same_position"),
+    ).drop("source_file", "line_number")
 
 
 def formats(spark, sf_dir):
@@ -195,6 +205,15 @@ def run_log(spark, sf_dir):
     return spark.read.parquet(path).drop("run_time")
 
 
+def action_log(spark, sf_dir):
+    """Actions of a first and a second analysis of the same events, as stored."""
+    path = scratch(spark, "actions")
+    e = events(spark, sf_dir)
+    tables.append_actions(response.response_actions(rated(e)), path)
+    tables.append_actions(response.response_actions(rated(e), tables.read_actions(spark, path)), path)
+    return tables.read_actions(spark, path).drop("time")
+
+
 def model_results(e):
     """Outcome of the three models in long form."""
     models = analysis.run_models(e)
@@ -227,8 +246,7 @@ def event_stream(spark, sf_dir):
 
 def streamed_lines(spark, sf_dir):
     lines = jobs.read_line_stream(spark, log_files(spark, sf_dir))
-    parsed = jobs.parse_stream(lines).drop("source_file", "line_number")
-    return jobs.run_available(parsed, scratch(spark, "ingest"))
+    return by_position(jobs.ingest_available(lines, scratch(spark, "ingest")))
 
 
 def streamed_frequency(spark, sf_dir):
@@ -290,8 +308,8 @@ QUERIES = {
     "ip_reputation": on_intel("ip_address", "failed_count", "ip_reputation"),
     "ip_asn": on_intel("ip_address", "asn"),
     "mitre_map": on_events(
-        lambda e: enrich.with_technique(e).select(
-            "line_number", "event", "mitre_technique", "mitre_tactic"
+        lambda e: enrich.with_description(enrich.with_technique(e)).select(
+            "line_number", "event", "mitre_technique", "mitre_tactic", "mitre_description"
         )
     ),
     "enrich_events": on_events(lambda e: enrich.enrich_events(e).drop("raw_line")),
@@ -331,6 +349,7 @@ QUERIES = {
     "top_factor_breakdown": on_scores(reports.top_factor_breakdown),
     "kpi_counts": on_events(lambda e: reports.kpi_counts(e, rated(e))),
     "response_actions": on_events(lambda e: response.response_actions(rated(e), earlier_blocks(e))),
+    "action_log": action_log,
     "export_scored_csv": on_events(
         lambda e: tables.scored_events(e, rated(e)).drop("raw_line")
     ),
@@ -341,6 +360,7 @@ QUERIES = {
     "attack_chains": on_events(chain_overview),
     "entropy_series": on_events(tamper.entropy_series),
     "tamper_regions": on_events(tamper.tamper_regions),
+    "tamper_summary": on_events(tamper.tamper_summary),
     "link_sessions": on_events(lambda e: sessions.link_sessions(e).drop("raw_line")),
     "pivot_points": on_events(pivots.pivot_points),
     "ip_narrative": on_events(

@@ -154,14 +154,6 @@ def with_asn(per_ip: DataFrame) -> DataFrame:
     )
 
 
-def technique_table(spark) -> DataFrame:
-    """The fixed event -> technique dimension (one row per event type)."""
-    return spark.createDataFrame(
-        [(event, *rest) for event, rest in TECHNIQUES.items()],
-        "event string, technique string, technique_name string, tactic string, description string",
-    )
-
-
 def _by_event(texts: dict[str, str]) -> Column:
     """Fixed text of each event type; unknown types count as OTHER."""
     pairs = [F.lit(part) for item in texts.items() for part in item]
@@ -177,6 +169,11 @@ def with_technique(events: DataFrame) -> DataFrame:
     )
 
 
+def with_description(events: DataFrame) -> DataFrame:
+    """What the attack technique of each event stands for."""
+    return events.withColumn("mitre_description", _by_event({event: row[3] for event, row in TECHNIQUES.items()}))
+
+
 def ip_intel(events: DataFrame) -> DataFrame:
     """One row per address: event counts, place, risk, reputation and network."""
     counts = events.groupBy("ip_address").agg(

@@ -81,27 +81,47 @@ def entropy_series(events: DataFrame, window: int = 50, stride: int = 10, block=
     return series.select("center", (round_half_even(F.col("entropy"), 4) + 0.0).alias("entropy"))
 
 
-def tamper_regions(
-    events: DataFrame, window: int = 50, stride: int = 10, z_threshold: float = 2.0, block=None
-) -> DataFrame:
-    """Regions whose entropy is far from the mean, with the baseline they differ from."""
-    series = cut(_entropies(events, window, stride, block))
+def _rated(series: DataFrame, z_threshold: float) -> DataFrame:
+    """Stored entropies with their mean and spread, their distance, and whether that is too far."""
     stats = series.agg(
         F.struct(F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("sigma"))
     ).scalar()
-    rows = events.agg(F.count("*")).scalar()
     mean, sigma = F.col("_stats.mean"), F.col("_stats.sigma")
     z = F.when(sigma > 0, F.abs(F.col("entropy") - mean) / sigma).otherwise(0.0)
+    return series.withColumn("_stats", stats).withColumn("z", z).withColumn("_far", F.col("z") > z_threshold)
+
+
+def tamper_summary(
+    events: DataFrame, window: int = 50, stride: int = 10, z_threshold: float = 2.0, block=None
+) -> DataFrame:
+    """One row, also for a clean log: the verdict, the number of regions and the baseline entropy.
+
+    A log too short for a window is not tampered and has baseline 0.
+    """
+    rated = _rated(cut(_entropies(events, window, stride, block)), z_threshold)
+    regions = F.count_if("_far")
+    return rated.agg(
+        (regions > 0).alias("tampered"),
+        regions.alias("regions"),
+        round_half_even(F.coalesce(F.avg("entropy"), F.lit(0.0)), 4).alias("baseline_entropy"),
+    )
+
+
+def tamper_regions(
+    events: DataFrame, window: int = 50, stride: int = 10, z_threshold: float = 2.0, block=None
+) -> DataFrame:
+    """Regions whose entropy is far from the mean, with the baseline they differ from."""
+    rated = _rated(cut(_entropies(events, window, stride, block)), z_threshold)
+    rows = events.agg(F.count("*")).scalar()
     half = window // 2
     return (
-        series.withColumns({"_stats": stats, "_rows": rows})
-        .withColumn("z", z)
-        .filter(F.col("z") > z_threshold)
+        rated.withColumn("_rows", rows)
+        .filter("_far")
         .select(
             F.greatest(F.col("center") - half, F.lit(0)).alias("start_idx"),
             F.least(F.col("center") + half, F.col("_rows")).alias("end_idx"),
             round_half_even(F.col("entropy"), 4).alias("entropy"),
             round_half_even(F.col("z"), 2).alias("z_score"),
-            round_half_even(mean, 4).alias("baseline_entropy"),
+            round_half_even(F.col("_stats.mean"), 4).alias("baseline_entropy"),
         )
     )

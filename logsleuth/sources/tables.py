@@ -52,8 +52,15 @@ def _overlay(events, updates, keys, allowed, join):
 
 
 def overlay_by_event(events: DataFrame, updates: DataFrame, keys=("source_file", "line_number")):
-    """Set the given fields on single events; other columns of ``updates`` are ignored."""
+    """Set the given fields on single events; other columns of ``updates`` are ignored.
+
+    Of several updates with one key the largest counts, field by field from the first on:
+    events are never multiplied.
+    """
     keys = list(keys)
+    fields = [c for c in updates.columns if c in EVENT_FIELDS]
+    if fields:
+        updates = updates.groupBy(*keys).agg(F.max(F.struct(*fields)).alias("_u")).select(*keys, "_u.*")
     return _overlay(events, updates, keys, EVENT_FIELDS, lambda e, u: e.join(u, keys, "left"))
 
 
@@ -84,6 +91,17 @@ def append_run_log(run: DataFrame, path: str) -> None:
     run.write.mode("append").parquet(path)
 
 
+def append_actions(actions: DataFrame, path: str) -> None:
+    """Add response actions to the stored log, with the time at which that is done."""
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    actions.select(now.alias("time"), "*").write.mode("append").parquet(path)
+
+
+def read_actions(spark: SparkSession, path: str) -> DataFrame:
+    """All actions taken so far: a history for :func:`response_actions`."""
+    return spark.read.parquet(path)
+
+
 def scored_events(events: DataFrame, scores: DataFrame) -> DataFrame:
     """Events with the score and level of their address, times as text."""
     counts = events.groupBy("ip_address").agg(F.count("*").alias("_events"))

@@ -1,7 +1,13 @@
 """Raw authentication logs: reading, layout detection and line parsing."""
 
+import io
+import itertools
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from logsleuth.operators.distribute import store
 from logsleuth.schema import AUTH_EVENTS, INTERNAL_IP, OTHER, UNKNOWN_USER
 
 # Line layouts, event rules in order of precedence, address and user
@@ -41,8 +47,6 @@ ISO_STAMP = (
     r"(Z|[+-]\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?)?$"
 )
 BLANKS = " \t\r\n\f\u000b"
-# Files up to this number have their layouts broadcast (9 bytes each).
-BROADCAST_FILES = 1_000_000
 
 
 def clean_line(value: Column) -> Column:
@@ -145,7 +149,7 @@ def _raw_lines(spark: SparkSession, paths) -> DataFrame:
     )
 
 
-def _with_line_numbers(lines: DataFrame, all_lines: DataFrame) -> DataFrame:
+def with_line_numbers(lines: DataFrame, all_lines: DataFrame) -> DataFrame:
     """Lines with their number in the file, from the line counts of earlier splits."""
     earlier = (
         Window.partitionBy("source_file")
@@ -167,18 +171,41 @@ def layout_votes(line: Column) -> dict[str, Column]:
     return {name: line.rlike(f"(?s){pattern}").cast("int") for name, pattern in LAYOUTS.items()}
 
 
+def first_lines(spark: SparkSession, paths) -> DataFrame:
+    """The first lines of each file, as (source_file, value).
+
+    Spark lists the files and deals them out; a task opens each of its files with pyarrow and
+    stops reading after the last line it needs.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("source_file").to_pylist():
+                files, name = fs.FileSystem.from_uri(path)
+                with files.open_input_stream(name) as stream:
+                    text = io.TextIOWrapper(stream, encoding="utf-8", errors="ignore")
+                    lines = [line.rstrip("\n") for line in itertools.islice(text, SAMPLE_LINES)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * len(lines), pa.string()), pa.array(lines, pa.string())],
+                    ["source_file", "value"],
+                )
+
+    # Neither lengths nor contents are asked for, so Spark opens no file.
+    names = spark.read.format("binaryFile").load(paths).select(
+        F.col("_metadata.file_path").alias("source_file")
+    )
+    return names.mapInArrow(run, "source_file string, value string")
+
+
 def detect_log_format(spark: SparkSession, paths) -> DataFrame:
     """Layout of each file: the one most of its first lines match, the earlier on ties.
 
-    Only first splits are read, and the row limit per file is applied before the
-    shuffle. A file none of whose first lines match counts as the default layout.
+    At most 20 lines of a file are read, however long it is. A file none of whose first lines
+    match counts as the default layout; an empty file has no row. The store must be one that
+    pyarrow opens (local, HDFS, S3, GCS); elsewhere give :func:`read_auth_logs` a ``layout``.
     """
-    in_file = Window.partitionBy("source_file").orderBy("_at")
     votes = (
-        _raw_lines(spark, paths)
-        .filter(F.col("_split") == 0)
-        .withColumn("_line", F.row_number().over(in_file))
-        .filter(F.col("_line") <= SAMPLE_LINES)
+        first_lines(spark, paths)
         .groupBy("source_file")
         .agg(*[F.sum(v).alias(n) for n, v in layout_votes(clean_line(F.col("value"))).items()])
     )
@@ -206,21 +233,17 @@ def read_auth_logs(
     ``line_number`` grows along each file (split offset and position in the split)
     and breaks ties between equal times; it is the true line number, at the price of
     counting the lines of every split first, with ``number_lines``. ``layout`` skips
-    the per-file detection.
+    the per-file detection, which runs at once; the rest is lazy.
     """
     lines = _raw_lines(spark, paths)
     if layout is not None:
         lines = lines.withColumn("layout", F.lit(layout))
     else:
-        formats = detect_log_format(spark, paths).select(
-            F.xxhash64("source_file").alias("_file"), "layout"
-        )
-        if len(lines.inputFiles()) <= BROADCAST_FILES:
-            formats = F.broadcast(formats)
-        lines = lines.withColumn("_file", F.xxhash64("source_file")).join(formats, "_file", "left")
-        lines = lines.withColumn("layout", F.coalesce("layout", F.lit(DEFAULT_LAYOUT))).drop("_file")
+        # Stored, one small row a file: the optimizer broadcasts it only if it is small.
+        lines = lines.join(store(detect_log_format(spark, paths)), "source_file", "left")
+        lines = lines.withColumn("layout", F.coalesce("layout", F.lit(DEFAULT_LAYOUT)))
     if number_lines:
-        lines = _with_line_numbers(lines, _raw_lines(spark, paths))
+        lines = with_line_numbers(lines, _raw_lines(spark, paths))
     else:
         # Offset and position: lines of later splits sort after those of earlier ones.
         position = F.col("_split") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logsleuth.functions.columns import as_instant, wall_clock
 from logsleuth.schema import AUTH_EVENTS
-from logsleuth.sources.text_logs import DEFAULT_YEAR, LAYOUTS, clean_line, parse_lines
+from logsleuth.sources.text_logs import DEFAULT_YEAR, LAYOUTS, clean_line, parse_lines, with_line_numbers
 
 WATERMARK = "10 minutes"
 
@@ -16,28 +16,51 @@ def line_layout(value: Column) -> Column:
 
 
 def read_line_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Lines of text files as they appear under a path."""
+    """Lines of text files as they appear under a path, with their file and split."""
     return (
         spark.readStream.option("maxFilesPerTrigger", files_per_batch)
         .text(path)
         .select(
             "value",
             F.col("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_block_start").alias("line_number"),
+            F.col("_metadata.file_block_start").alias("_split"),
         )
     )
 
 
-def parse_stream(lines: DataFrame, year: str = DEFAULT_YEAR) -> DataFrame:
-    """Authentication events of a stream of lines, without any state.
+def parse_batch(lines: DataFrame, year: str = DEFAULT_YEAR) -> DataFrame:
+    """Authentication events of one micro-batch of lines.
 
-    ``line_number`` is the byte offset of the split: positions inside a split are
-    not known to a stream.
+    A batch holds whole files, so every line gets its number in its file, the one that
+    the batch reader gives with ``number_lines``. Splits are counted in a pass of their own.
     """
-    parsed = parse_lines(lines.withColumn("layout", line_layout(F.col("value"))), year)
+    placed = lines.withColumn("_at", F.monotonically_increasing_id())
+    numbered = with_line_numbers(placed, placed)
+    parsed = parse_lines(numbered.withColumn("layout", line_layout(F.col("value"))), year)
     return parsed.select(*[F.col(f.name).cast(f.dataType) for f in AUTH_EVENTS])
 
 
+def ingest_available(lines: DataFrame, path: str, year: str = DEFAULT_YEAR) -> DataFrame:
+    """Parse all available lines into a Parquet table of events and return that table.
+
+    Each batch owns a folder of the table and replaces it when it is repeated after a
+    failure, so that no event is stored twice.
+    """
+    spark = lines.sparkSession
+    table = f"{path}/table"
+    spark.createDataFrame([], AUTH_EVENTS).write.mode("overwrite").parquet(f"{table}/batch=-1")
+    query = (
+        lines.writeStream.foreachBatch(
+            lambda batch, n: parse_batch(batch, year).write.mode("overwrite").parquet(f"{table}/batch={n}")
+        )
+        .option("checkpointLocation", f"{path}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(table).select(AUTH_EVENTS.fieldNames())
+
+
 def _clock(instant: str) -> Column:
     return wall_clock(F.unix_micros(instant))
 

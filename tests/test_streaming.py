@@ -4,8 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from logsleuth.operators import reports, sessions
-from logsleuth.sources import text_logs
+from logsleuth.operators import chains, reports, sessions
+from logsleuth.sources import tables, text_logs
 from logsleuth.streaming import jobs
 
 START = dt.datetime(2024, 6, 15, 10)
@@ -54,13 +54,52 @@ def test_ingest_matches_batch(spark, tmp_path, rows_of):
         lines = [f"Jun 15 14:0{n}:{i:02d} web sshd[1]: Failed password for u{i} from 1.1.1.{n}" for i in range(20)]
         (folder / f"auth{n}.log").write_text("\n".join(lines + ["", "junk", "Feb 31 01:00:00 web sshd: x"]))
     (folder / "iso.log").write_text("2024-06-15T14:00:00Z db sshd[1]: Accepted password for x from 2.2.2.2\n")
-    stream = jobs.parse_stream(jobs.read_line_stream(spark, str(folder), files_per_batch=1))
-    got = jobs.run_available(stream, str(tmp_path / "out"))
-    columns = ["raw_line", "parsed_time", "event", "ip_address", "username", "host"]
-    assert rows_of(got, *columns) == rows_of(text_logs.read_auth_logs(spark, str(folder)), *columns)
+    got = jobs.ingest_available(jobs.read_line_stream(spark, str(folder), files_per_batch=2), str(tmp_path / "out"))
+    batch = text_logs.read_auth_logs(spark, str(folder), number_lines=True)
+    assert rows_of(got, *got.columns) == rows_of(batch, *got.columns)
     assert got.count() == 61
 
 
+def test_streamed_events_in_later_operators(spark, tmp_path, rows_of):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    for n in range(2):
+        lines = [f"Jun 15 {10 + i // 400}:{i // 7 % 60:02d}:{i % 60:02d} web sshd[1]: Failed password for u{i % 9} from 1.1.1.{i % 5}" for i in range(900)]
+        (folder / f"auth{n}.log").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        streamed = jobs.ingest_available(jobs.read_line_stream(spark, str(folder)), str(tmp_path / "out"))
+        batch = text_logs.read_auth_logs(spark, str(folder), number_lines=True)
+        assert streamed.select("source_file", "line_number").distinct().count() == streamed.count() == 1800
+        results = []
+        for name, events in (("streamed", streamed), ("batch", batch)):
+            tables.write_events(events, str(tmp_path / name), fresh=True)
+            stored = tables.read_events(spark, str(tmp_path / name))
+            updates = stored.filter("line_number % 9 = 0").select("source_file", "line_number", F.lit(1).alias("tamper_flag"))
+            overlaid = tables.overlay_by_event(stored, updates.unionByName(updates))
+            nodes = chains.chain_nodes(stored).drop("_row")
+            linked = sessions.link_sessions(stored)
+            results.append(
+                [rows_of(overlaid, "source_file", "line_number", "tamper_flag"), rows_of(nodes, *nodes.columns), rows_of(linked, "source_file", "line_number", "session_id")]
+            )
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert results[0] == results[1]
+    assert [len(r) for r in results[0]] == [1800] * 3 and sum(t for *_, t in results[0][0]) == 200
+
+
+def test_a_repeated_batch_is_stored_once(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.log").write_text("Jun 15 14:00:00 web sshd[1]: Failed password for u from 1.1.1.1\n" * 5)
+    out = tmp_path / "out"
+    assert jobs.ingest_available(jobs.read_line_stream(spark, str(folder)), str(out)).count() == 5
+    (out / "state/commits/0").unlink()  # as if it had failed before the commit
+    (out / "state/commits/.0.crc").unlink(missing_ok=True)
+    assert jobs.ingest_available(jobs.read_line_stream(spark, str(folder)), str(out)).count() == 5
+
+
 def test_wall_clock_does_not_depend_on_the_session_zone(spark, make_events, rows_of):
     data = [{"at": dt.datetime(2024, 3, 31, 2, 30), "ip": "x"}, {"at": dt.datetime(2024, 3, 31, 4), "ip": "x"}]
     before = spark.conf.get("spark.sql.session.timeZone")

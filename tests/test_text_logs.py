@@ -104,6 +104,7 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
         assert events.rdd.getNumPartitions() > 4
         got = {r["raw_line"]: r["line_number"] for r in events.collect()}
         loose = text_logs.read_auth_logs(spark, str(tmp_path)).orderBy("line_number").collect()
+        assert [r["value"] for r in text_logs.first_lines(spark, str(tmp_path)).collect()] == text[:20]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == {line: number for number, line in enumerate(text, 1)}
