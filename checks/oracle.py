@@ -733,12 +733,12 @@ ORACLE["append_run_log"] = with_scores(
     BASELINE,
 )
 
-# Streams: what the watermark, ten minutes behind the last event, has made final.
+# Streams: every minute with events, and the sessions that the watermark, ten minutes behind
+# the last event, has made final.
 ORACLE["stream_login_frequency"] = with_ev(
     """SELECT minute, c AS events, c > limit_ AS is_spike FROM (
       SELECT date_trunc('minute', parsed_time) AS minute, count(*) AS c FROM ev GROUP BY 1),
-      (SELECT avg(events) + 2 * stddev_samp(events) AS limit_ FROM per_minute)
-    WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(parsed_time) - INTERVAL 10 MINUTE FROM ev)""",
+      (SELECT avg(events) + 2 * stddev_samp(events) AS limit_ FROM per_minute)""",
     """per_minute AS (
       SELECT minute, coalesce(c, 0) AS events FROM (
         SELECT unnest(generate_series(date_trunc('minute', min(parsed_time)), date_trunc('minute', max(parsed_time)), INTERVAL 1 MINUTE)) AS minute FROM ev)

@@ -252,7 +252,7 @@ def streamed_lines(spark, sf_dir):
 def streamed_frequency(spark, sf_dir):
     baseline = reports.login_frequency(events(spark, sf_dir)).select("threshold").first()[0]
     stream = jobs.frequency_stream(event_stream(spark, sf_dir), baseline)
-    return jobs.run_available(stream, scratch(spark, "frequency"))
+    return jobs.run_to_end(stream, scratch(spark, "frequency"), ["minute"])
 
 
 def streamed_sessions(spark, sf_dir):

@@ -40,25 +40,43 @@ def parse_batch(lines: DataFrame, year: str = DEFAULT_YEAR) -> DataFrame:
     return parsed.select(*[F.col(f.name).cast(f.dataType) for f in AUTH_EVENTS])
 
 
-def ingest_available(lines: DataFrame, path: str, year: str = DEFAULT_YEAR) -> DataFrame:
-    """Parse all available lines into a Parquet table of events and return that table.
+def _run_batches(stream: DataFrame, path: str, schema, prepare, mode: str) -> DataFrame:
+    """Write every available batch, prepared, into a folder of its own; the table of all of them.
 
-    Each batch owns a folder of the table and replaces it when it is repeated after a
-    failure, so that no event is stored twice.
+    A batch that is repeated after a failure replaces its folder, so that no row is stored twice.
     """
-    spark = lines.sparkSession
+    spark = stream.sparkSession
     table = f"{path}/table"
-    spark.createDataFrame([], AUTH_EVENTS).write.mode("overwrite").parquet(f"{table}/batch=-1")
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{table}/batch=-1")
     query = (
-        lines.writeStream.foreachBatch(
-            lambda batch, n: parse_batch(batch, year).write.mode("overwrite").parquet(f"{table}/batch={n}")
+        stream.writeStream.foreachBatch(
+            lambda batch, n: prepare(batch).write.mode("overwrite").parquet(f"{table}/batch={n}")
         )
         .option("checkpointLocation", f"{path}/state")
+        .outputMode(mode)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(table).select(AUTH_EVENTS.fieldNames())
+    return spark.read.parquet(table)
+
+
+def ingest_available(lines: DataFrame, path: str, year: str = DEFAULT_YEAR) -> DataFrame:
+    """Parse all available lines into a Parquet table of events and return that table."""
+    stored = _run_batches(lines, path, AUTH_EVENTS, lambda batch: parse_batch(batch, year), "append")
+    return stored.select(AUTH_EVENTS.fieldNames())
+
+
+def run_to_end(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Process everything available and return the latest row of each key.
+
+    For aggregations without session windows. Rows are written as they change, whatever the
+    watermark says, so what is still open at the end of a finite input is there too.
+    """
+    rows = _run_batches(stream, path, stream.schema, lambda batch: batch, "update")
+    others = [c for c in stream.columns if c not in keys]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_last"))
+    return latest.select(*keys, "_last.*").select(stream.columns)
 
 
 def _clock(instant: str) -> Column:

@@ -35,6 +35,15 @@ def test_frequency_matches_batch(spark, make_events, tmp_path, rows_of):
     assert got == want and any(spike for *_, spike in got)
 
 
+def test_frequency_of_a_closed_input(spark, make_events, tmp_path, rows_of):
+    data = [{"at": 13 * i % 7200} for i in range(600)] + [{"at": 60.5}] * 40
+    stream = event_files(spark, make_events, str(tmp_path), data, 3)
+    got = jobs.run_to_end(jobs.frequency_stream(stream, 20.0), str(tmp_path / "out"), ["minute"])
+    batch = reports.login_frequency(make_events(data)).filter("events > 0")
+    want = [(m, n, n > 20) for m, n in rows_of(batch, "minute", "events")]
+    assert rows_of(got, "minute", "events", "is_spike") == want
+
+
 def test_sessions_match_batch(spark, make_events, tmp_path, rows_of):
     data = [{"ip": "a", "at": t} for t in (0, 10, 1810, 3611, 9000)]
     data += [{"ip": "b", "at": 10 * i} for i in range(50)] + [{"ip": "z", "at": 40000}]
