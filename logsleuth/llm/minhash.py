@@ -13,11 +13,13 @@ and are verified by their exact weighted Jaccard similarity.
   forest of what is linked, never pairs. No bucket is capped, and a head that is unlike the
   others hides no link.
 
-Document frequency is counted over all documents in a table of fixed width by shingle hash:
-2 to the 18th counters whatever the size of the corpus. A counter is an upper bound, so a
-rare shingle may be taken for a more frequent one, never the other way round.
+Document frequency is counted exactly, by shingle over all documents. Documents are dealt into
+chunks of some MB; a chunk sends its distinct shingles, each once with its count, to parts by
+ranges of the hash, and gets the sums back in the same order. No table of shingles is
+collected or broadcast, and a shingle of every document reaches its part once a chunk.
 """
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -30,9 +32,12 @@ from logsleuth.llm.texts import blocks, id_and_text, mix, shingles, text_buffer,
 from logsleuth.operators.components import connected_components
 from logsleuth.operators.distribute import store
 
-#: Counters of document frequency, and rows of the table of random numbers.
+#: Counters of a table by bucket (see ``bag``), and rows of the table of random numbers.
 DF_WIDTH, RANDOM_ROWS = 1 << 18, 1 << 15
 
+#: Bytes of text in a chunk of documents, and bytes of text for each part of the shingles.
+CHUNK_BYTES, PART_BYTES = 4 << 20, 16 << 20
+
 
 @dataclass(frozen=True)
 class Similarity:
@@ -57,48 +62,106 @@ def df_bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - 18)).astype(np.int64)
 
 
-def document_frequency(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
-    """Documents by shingle bucket, over all rows of ``docs``, and the number of rows."""
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them, behind the size of that type."""
+    size = next(n for n in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << 8 * n)
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def planes(keys: np.ndarray) -> bytes:
+    """Ascending keys, their first bytes together, then the second: those compress."""
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(">u8")[:, 0].astype(np.uint64)
+
+
+def word_runs(column):
+    """Word hashes of each text of an Arrow column."""
+    data, offsets = text_buffer(column)
+    for a, b in blocks(offsets):
+        (hashes,), first = word_hashes(data, offsets[a : b + 1])
+        for low, high in zip(first, first[1:]):
+            yield hashes[low:high]
+
+
+def whole(column) -> pa.Array:
+    """A column of a table as one array."""
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def in_chunks(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """``docs`` with the chunk of each row, which depends on the row only, rows and parts."""
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // CHUNK_BYTES + 1))
+    return docs.withColumn("chunk", chunk), total, size // PART_BYTES + 1
 
-    def run(batches):
-        counts, rows = np.zeros(DF_WIDTH, np.int64), 0
-        for batch in batches:
-            rows += len(batch)
-            data, offsets = text_buffer(batch.column("text"))
-            for a, b in blocks(offsets):
-                (hashes,), first = word_hashes(data, offsets[a : b + 1])
-                for low, high in zip(first, first[1:]):
-                    counts[np.unique(df_bucket(shingles(hashes[low:high], words)))] += 1
-        some = np.flatnonzero(counts)
-        for at in range(0, len(some) + 1, 50_000):
-            part = some[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(part, -1)), pa.array(np.append(counts[part], rows if at == 0 else 0))],
-                ["bucket", "n"],
-            )
-
-    found = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counts, total = np.zeros(DF_WIDTH, np.int64), 0
-    for row in found.collect():  # DF_WIDTH + 1 rows at most
-        if row["bucket"] < 0:
-            total = row["n"]
-        else:
-            counts[row["bucket"]] = row["n"]
-    return counts, total
+
+def document_frequency(chunked: DataFrame, parts: int, words: int) -> DataFrame:
+    """Documents with each shingle, over all rows: chunk, part and df.
+
+    The df of a chunk's parts, one after the other, are those of its distinct shingles in
+    ascending order.
+    """
+
+    def count(table: pa.Table) -> pa.Table:
+        found = [np.unique(shingles(own, words)) for own in word_runs(whole(table.column("text")))]
+        keys, n = np.unique(np.concatenate(found), return_counts=True)
+        part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        some, first = np.unique(part, return_index=True)
+        ranges = list(zip(first, np.append(first[1:], len(keys))))
+        return pa.table(
+            {
+                "chunk": pa.array([table.column("chunk")[0].as_py()] * len(some), pa.int64()),
+                "part": pa.array(some.astype(np.int64)),
+                "keys": pa.array([planes(keys[a:b]) for a, b in ranges], pa.binary()),
+                "n": pa.array([packed(n[a:b]) for a, b in ranges], pa.binary()),
+            }
+        )
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = [from_planes(raw) for raw in table.column("keys").to_pylist()]
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        keys, n = np.concatenate(keys), np.concatenate([unpacked(raw) for raw in table.column("n").to_pylist()])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        df = np.empty(len(keys), np.int64)
+        df[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(keys))))
+        own = pa.array([packed(x) for x in np.split(df, ends)], pa.binary())
+        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "df": own})
+
+    counted = chunked.select("chunk", "text").groupBy("chunk").applyInArrow(count, "chunk long, part long, keys binary, n binary")
+    return counted.groupBy("part").applyInArrow(add, "chunk long, part long, df binary")
 
 
 def shingle_idf(counts: np.ndarray, total: int, rarity: float = Similarity.rarity) -> np.ndarray:
-    """Damped inverse document frequency by bucket, from 1 (in all) to nearly 1 + rarity."""
+    """Damped inverse document frequency of counts, from 1 (in all) to nearly 1 + rarity."""
     span = math.log(max(total, 2) + 1)
     return 1 + rarity * (span - np.log(counts + 1)) / span
 
 
 def bag(words: np.ndarray, k: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles in ascending order and their weights."""
+    """Distinct shingles in ascending order and their weights by a table of buckets.
+
+    Equals the weights by exact counts where no two shingles share a bucket.
+    """
     keys, tf = np.unique(shingles(words, k), return_counts=True)
     return keys, tf * idf[df_bucket(keys)]
 
 
+def exact_bag(words: np.ndarray, k: int, df: np.ndarray, total: int, rarity: float) -> tuple:
+    """Distinct shingles in ascending order, their weights and idf; ``df`` in that order."""
+    keys, tf = np.unique(shingles(words, k), return_counts=True)
+    idf = shingle_idf(df, total, rarity)
+    return keys, tf * idf, idf
+
+
 def weighted_jaccard(a: tuple, b: tuple) -> float:
     """Sum of smaller over sum of larger weights of two bags."""
     place = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
@@ -135,6 +198,12 @@ class Sampler:
             return mix(keys[best] + at * np.uint64(0x9E3779B97F4A7C15))
 
 
+@functools.lru_cache(maxsize=1)
+def sampler(draws: int, seed: int) -> Sampler:
+    """One sampler for all chunks that a process works on."""
+    return Sampler(draws, seed)
+
+
 def band_keys(draws: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit bucket for each band, which the bands do not share."""
     total = np.arange(1, bands + 1, dtype=np.uint64)
@@ -144,52 +213,64 @@ def band_keys(draws: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return total.view(np.int64)
 
 
-def nodes_of(docs: DataFrame, idf: np.ndarray, s: Similarity) -> DataFrame:
-    """Ids, node (digest of the words; null without any) and the band buckets."""
+def nodes_of(docs: DataFrame, s: Similarity) -> tuple[DataFrame, int]:
+    """Ids, node (digest of the words), band buckets and df of the shingles, and the rows.
 
-    def run(batches):
-        sampler = Sampler(s.bands * s.rows, s.seed)
-        for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            nodes, buckets = [], []
-            for a, b in blocks(offsets):
-                (hashes,), first = word_hashes(data, offsets[a : b + 1])
-                for low, high in zip(first, first[1:]):
-                    if low == high:
-                        nodes.append(None)
-                        buckets.append(None)
-                        continue
-                    words = hashes[low:high]
-                    nodes.append(xxhash.xxh3_128_digest(words.tobytes()))
-                    buckets.append(band_keys(sampler.draw(*bag(words, s.words, idf)), s.bands, s.rows))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-                ["doc_id", "node", "buckets"],
-            )
-
-    return docs.mapInArrow(run, "doc_id long, node binary, buckets array<long>")
-
-
-def bags_of(texts: DataFrame, idf: np.ndarray, s: Similarity):
-    """Function from an Arrow text column to bags, for use inside tasks."""
-
-    def bags(column):
-        data, offsets = text_buffer(column)
-        for a, b in blocks(offsets):
-            (hashes,), first = word_hashes(data, offsets[a : b + 1])
-            for low, high in zip(first, first[1:]):
-                yield bag(hashes[low:high], s.words, idf)
+    Without a word, all but the id is null.
+    """
+    chunked, total, parts = in_chunks(docs)
+    counts = document_frequency(chunked, parts, s.words)
+
+    def run(own: pa.Table, counts: pa.Table) -> pa.Table:
+        words = list(word_runs(whole(own.column("text"))))
+        keys = np.unique(np.concatenate([shingles(w, s.words) for w in words])) if words else np.zeros(0, np.uint64)
+        turn = np.argsort(whole(counts.column("part")).to_numpy())
+        raw = counts.column("df").to_pylist()
+        df = np.concatenate([np.zeros(0, np.int64), *(unpacked(raw[i]) for i in turn)])
+        if len(df) != len(keys):
+            raise RuntimeError("the documents have changed while their shingles were counted")
+        nodes, buckets, frequencies = [], [], []
+        for w in words:
+            if not len(w):
+                nodes.append(None)
+                buckets.append(None)
+                frequencies.append(None)
+                continue
+            mine = df[np.searchsorted(keys, np.unique(shingles(w, s.words)))]
+            some, weights, _ = exact_bag(w, s.words, mine, total, s.rarity)
+            nodes.append(xxhash.xxh3_128_digest(w.tobytes()))
+            buckets.append(band_keys(sampler(s.bands * s.rows, s.seed).draw(some, weights), s.bands, s.rows))
+            frequencies.append(packed(mine))
+        return pa.table(
+            {
+                "doc_id": own.column("doc_id"),
+                "node": pa.array(nodes, pa.binary()),
+                "buckets": pa.array(buckets, pa.list_(pa.int64())),
+                "df": pa.array(frequencies, pa.binary()),
+            }
+        )
+
+    both = chunked.groupBy("chunk").cogroup(counts.groupBy("chunk"))
+    return both.applyInArrow(run, "doc_id long, node binary, buckets array<long>, df binary"), total
+
+
+def bags_of(total: int, s: Similarity):
+    """Function from Arrow columns of text and df to bags, for use inside tasks."""
+
+    def bags(column, df):
+        for words, raw in zip(word_runs(column), df):
+            yield exact_bag(words, s.words, unpacked(raw.as_py()), total, s.rarity)
 
     return bags
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, s: Similarity) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, total: int, s: Similarity) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is high enough.
 
-    ``texts`` has node and text. Texts of b travel to the pairs, then those of a; rows of
+    ``texts`` has node, text and df. Texts of b travel to the pairs, then those of a; rows of
     one a lie together, so its bag is made once. A hot a is split by adaptive execution.
     """
-    bags = bags_of(texts, idf, s)
+    bags = bags_of(total, s)
     least = s.least
 
     def run(batches):
@@ -197,49 +278,49 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, s: Similarity)
         for batch in batches:
             keep = []
             heads = batch.column("a").to_pylist()
-            others = bags(batch.column("text_b"))
+            others = bags(batch.column("text_b"), batch.column("df_b"))
             for i, other in enumerate(others):
                 if heads[i] != last:
-                    last, own = heads[i], next(bags(batch.column("text_a").slice(i, 1)))
+                    last, own = heads[i], next(bags(batch.column("text_a").slice(i, 1), batch.column("df_a").slice(i, 1)))
                 keep.append(weighted_jaccard(own, other) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"), F.col("df").alias("df_b"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.col("df").alias("df_a"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "text_a", "df_a", "text_b", "df_b").mapInArrow(run, "a binary, b binary")
 
 
-def block_similarity(bags: list[tuple], root: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def block_similarity(bags: list[tuple], root: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarity of the pairs of a block whose roots differ.
 
     A weight of tf * idf is tf features of weight idf each, so the sum of smaller weights is
     a product of two 0/1 matrices. Features of one root only add nothing, and features with
     the same bags become one column, however long the passage is that made them.
     """
-    keys, rows = [], []
-    for i, (own, weights) in enumerate(bags):
-        tf = np.rint(weights / idf[df_bucket(own)]).astype(np.int64)
+    keys, rows, idf = [], [], []
+    for i, (own, weights, rare) in enumerate(bags):
+        tf = np.rint(weights / rare).astype(np.int64)
         turn = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
-        # Upper bits, which say the frequency, stay those of the shingle.
-        keys.append(np.repeat(own, tf) ^ (mix(turn.astype(np.uint64)) >> np.uint64(18)))
+        keys.append(np.repeat(own, tf) ^ mix(turn.astype(np.uint64)))
         rows.append(np.full(len(turn), i))
-    keys, rows = np.concatenate(keys), np.concatenate(rows)
+        idf.append(np.repeat(rare, tf))
+    keys, rows, idf = np.concatenate(keys), np.concatenate(rows), np.concatenate(idf)
     order = np.argsort(keys, kind="stable")
-    keys, rows = keys[order], rows[order]
+    keys, rows, idf = keys[order], rows[order], idf[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(first, len(keys)))
     roots = root[rows]
     several = np.minimum.reduceat(roots, first) != np.maximum.reduceat(roots, first)
     some = np.repeat(several, sizes)
-    keys, rows, sizes = keys[some], rows[some], sizes[several]
-    total = np.array([w.sum() for _, w in bags])
+    rows, idf, sizes = rows[some], idf[some], sizes[several]
+    total = np.array([w.sum() for _, w, _ in bags])
     small = np.zeros((len(bags), len(bags)))
     if len(sizes):
         first = np.cumsum(sizes) - sizes
         mark = np.random.default_rng(1).integers(0, 1 << 63, len(bags), dtype=np.uint64)
         _, at, column = np.unique(np.add.reduceat(mark[rows], first), return_index=True, return_inverse=True)
-        weight = np.bincount(column, idf[df_bucket(keys[first])])
+        weight = np.bincount(column, idf[first])
         starts, lengths = first[at], sizes[at]
         for low in range(0, len(weight), 4096):
             n = lengths[low : low + 4096]
@@ -250,7 +331,7 @@ def block_similarity(bags: list[tuple], root: np.ndarray, idf: np.ndarray) -> np
     return small / (total[:, None] + total[None, :] - small)
 
 
-def settled(remaining: DataFrame, roots: DataFrame, texts: DataFrame, idf: np.ndarray, s: Similarity, first: bool, block: int = 256) -> DataFrame:
+def settled(remaining: DataFrame, roots: DataFrame, texts: DataFrame, total: int, s: Similarity, first: bool, block: int = 256) -> DataFrame:
     """Links (a, b) inside the buckets of ``remaining`` that span several components.
 
     Of each bucket the nodes of its largest component (main) need not meet each other.
@@ -284,7 +365,7 @@ def settled(remaining: DataFrame, roots: DataFrame, texts: DataFrame, idf: np.nd
         .select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "root")
         .join(texts, "node")
     )
-    bags = bags_of(texts, idf, s)
+    bags = bags_of(total, s)
     least = s.least
 
     def compare(table: pa.Table) -> pa.Table:
@@ -293,7 +374,7 @@ def settled(remaining: DataFrame, roots: DataFrame, texts: DataFrame, idf: np.nd
         root = np.array([number[r] for r in own_roots])
         near = np.zeros((len(nodes), len(nodes)), bool)
         if len(number) > 1:
-            near = block_similarity(list(bags(table.column("text").combine_chunks())), root, idf) >= least
+            near = block_similarity(list(bags(whole(table.column("text")), table.column("df"))), root) >= least
             near &= root[:, None] != root[None, :]
         mark = np.arange(len(nodes))
         while True:
@@ -337,9 +418,8 @@ def near_duplicates(docs: DataFrame, s: Similarity = Similarity()) -> DataFrame:
     doc_id have no class and stay.
     """
     docs = id_and_text(docs)
-    counts, total = document_frequency(docs, s.words)
-    idf = shingle_idf(counts, total, s.rarity)
-    rows = store(nodes_of(docs, idf, s))
+    rows, total = nodes_of(docs, s)
+    rows = store(rows)
     found = rows.filter("node is not null and doc_id is not null")
     # All rows of a node have the same buckets: the least array is any of them.
     nodes = store(found.groupBy("node").agg(F.first("buckets").alias("buckets")))
@@ -356,10 +436,10 @@ def near_duplicates(docs: DataFrame, s: Similarity = Similarity()) -> DataFrame:
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        roots = joined(verified(pairs, texts, idf, s), involved, roots, fresh=turn == 0)
+        roots = joined(verified(pairs, texts, total, s), involved, roots, fresh=turn == 0)
     for first in (True, False):
-        roots = joined(settled(remaining, roots, texts, idf, s, first), involved, roots)
-    return classes(rows, roots)
+        roots = joined(settled(remaining, roots, texts, total, s, first), involved, roots)
+    return classes(rows.select("doc_id", "node"), roots)
 
 
 def joined(more: DataFrame, involved: DataFrame, roots: DataFrame, fresh: bool = False) -> DataFrame:
@@ -373,8 +453,9 @@ def joined(more: DataFrame, involved: DataFrame, roots: DataFrame, fresh: bool =
 
 
 def node_texts(docs: DataFrame, found: DataFrame, involved: DataFrame) -> DataFrame:
-    """One text for each of the ``involved`` nodes, from the smallest document that has it."""
-    first = found.join(involved, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    """One text and its df for each of the ``involved`` nodes, from the smallest document that has it."""
+    own = found.join(involved, "node", "left_semi").groupBy("node")
+    first = own.agg(F.min("doc_id").alias("doc_id"), F.first("df").alias("df"))
 
     def run(batches):
         # Rows may share an id: only the text that makes the node is its text.
@@ -387,8 +468,8 @@ def node_texts(docs: DataFrame, found: DataFrame, involved: DataFrame) -> DataFr
             same = [x == y for x, y in zip(own, batch.column("node").to_pylist())]
             yield batch.filter(pa.array(same, pa.bool_()))
 
-    rows = docs.join(first.hint("shuffle_hash"), "doc_id").select("node", "text")
-    return rows.mapInArrow(run, "node binary, text string").dropDuplicates(["node"])
+    rows = docs.join(first.hint("shuffle_hash"), "doc_id").select("node", "text", "df")
+    return rows.mapInArrow(run, "node binary, text string, df binary").dropDuplicates(["node"])
 
 
 def classes(rows: DataFrame, roots: DataFrame) -> DataFrame:

@@ -264,6 +264,30 @@ def test_minhash_open_buckets(spark):
         assert {r.doc_id: r.class_id for r in got} == want
 
 
+def test_minhash_counts_exactly(spark, docs, monkeypatch):
+    """Rare text stays rare in two million shingles, of which a table of 2^18 buckets would hold eight in each."""
+    boiler = " ".join(f"b{i}" for i in range(192))
+    tail = lambda c: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda x: F.concat(c.cast("string"), F.lit("q"), x.cast("string"))), " ")
+    filler = spark.range(100).select((F.col("id") + 100).alias("doc_id"), F.concat(F.lit(boiler + " "), tail(F.col("id"))).alias("text"))
+    # 188 shingles of the boilerplate each; similarity 0.795 with 20 others each and 0.803 with 19.
+    near = [(i, boiler + "".join(f" t{i}x{j}" for j in range(n))) for i, n in ((1, 20), (2, 20), (3, 19), (4, 19))]
+    got = minhash.near_duplicates(filler.union(spark.createDataFrame(near, "doc_id long, text string"))).filter("doc_id < 100").collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 3)]
+
+    import pyarrow as pa
+
+    from logsleuth.llm.texts import shingles
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    own = [np.unique(shingles(w, 5)) for w in minhash.word_runs(pa.array([t for _, t in rows], pa.string()))]
+    counts = collections.Counter(k for x in own for k in x.tolist())
+    monkeypatch.setattr(minhash, "CHUNK_BYTES", 50_000)
+    monkeypatch.setattr(minhash, "PART_BYTES", 70_000)
+    made, total = minhash.nodes_of(docs, minhash.Similarity())
+    found = {r.doc_id: minhash.unpacked(r.df).tolist() for r in made.collect() if r.df is not None}
+    assert total == len(rows) and found == {d: [counts[k] for k in x.tolist()] for (d, _), x in zip(rows, own) if len(x)}
+
+
 def test_toxic_segments():
     def best(seq, a, b):
         top = max(((sum(seq[i : j + 1]), i, j) for i in range(a, b) for j in range(i, b)), default=(0, 0, 0), key=lambda x: x[0])
