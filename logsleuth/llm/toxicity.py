@@ -8,7 +8,8 @@ follows an extreme-value law, against which segments are significant. A logistic
 the calibrated excess gives the document's score.
 
 Model and calibration are fitted on a bounded sample of labelled rows (``SAMPLE`` of each
-class, those with the lowest hash); scoring reads every text whole, in one pass without a
+class, those with the lowest hash), each class weighted back to all its rows, so that the
+share of toxic rows is that of the labels whatever their number; scoring reads every text whole, in one pass without a
 shuffle.
 """
 
@@ -40,23 +41,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_sample(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, toxic and fold of at most ``sample`` rows a class, the same on every run.
+def learnable(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the labels that may be learned from.
 
     Rows with null id or label and held-out rows do not take part; of an id's several labels
     the larger counts.
     """
-    rows = (
+    return (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
-        .withColumn("_at", F.xxhash64("doc_id"))
     )
+
+
+def training_sample(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, toxic and fold of at most ``sample`` rows a class, the same on every run."""
+    rows = learnable(labels).withColumn("_at", F.xxhash64("doc_id"))
     parts = [rows.filter(F.col("toxic") == y).orderBy("_at", "doc_id").limit(sample) for y in (0, 1)]
     return parts[0].unionByName(parts[1]).select("doc_id", "toxic", F.pmod("_at", F.lit(2)).cast("int").alias("fold"))
 
 
+def class_weights(labels: DataFrame, sample: int = SAMPLE) -> tuple[float, float]:
+    """Learnable rows of the clean and the toxic class for each row that is sampled of it."""
+    rows = {r["toxic"]: r["n"] for r in learnable(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    return tuple(max(1.0, rows.get(y, 0) / sample) for y in (0, 1))
+
+
 def maximal_segments(places: list[int], scores: list[float], cost: float) -> list[tuple]:
     """All maximal scoring segments (first, last, score) of a sequence, in linear time.
 
@@ -166,15 +177,18 @@ def count_features(train: DataFrame) -> DataFrame:
     return rows.groupBy("feature").agg(*counts)
 
 
-def cautious_log_odds(toxic: Column, clean: Column, sizes: tuple) -> Column:
+def cautious_log_odds(toxic: Column, clean: Column, sizes: tuple, weight: tuple = (1.0, 1.0)) -> Column:
     """Log-odds with a Dirichlet prior, less ``CAUTION`` of its deviations.
 
     ``sizes`` has the documents and the features (each once a document) of both classes: rates
     are shares of features, so longer documents do not make all their words suspicious.
+    ``weight`` (clean, toxic) is what a sampled row of a class stands for in the prior.
     """
     (docs_toxic, docs_clean), (all_toxic, all_clean) = sizes
-    prior = PRIOR * (all_toxic + all_clean) / (docs_toxic + docs_clean)
-    rate = (toxic + clean + 0.5) / (all_toxic + all_clean + 1)
+    w_clean, w_toxic = weight
+    everything = w_toxic * all_toxic + w_clean * all_clean
+    prior = PRIOR * everything / (w_toxic * docs_toxic + w_clean * docs_clean)
+    rate = (toxic * w_toxic + clean * w_clean + 0.5) / (everything + 1)
     a, b = toxic + prior * rate, clean + prior * rate
     odds = F.log(a / (all_toxic + prior - a)) - F.log(b / (all_clean + prior - b))
     return odds - CAUTION * F.sqrt(1 / a + 1 / b)
@@ -259,6 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     Each fold is calibrated with the features of the other one. Without both classes the
     model finds nothing and scores 0 everywhere.
     """
+    weight = class_weights(labels, sample)
     chosen = F.broadcast(training_sample(labels, sample))  # at most 2 * sample small rows
     train = one_of_copies(id_and_text(docs).join(chosen, "doc_id"))
     sizes = {(r["toxic"], r["fold"]): r["n"] for r in train.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
@@ -270,10 +285,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     counted = store(count_features(train))
     total = counted.agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(4))).first()
     both = ((sum(n[1]), sum(n[0])), (total[2] + total[3], total[0] + total[1]))
-    weights = {"w": cautious_log_odds(toxic[0] + toxic[1], clean[0] + clean[1], both)}
+    weights = {"w": cautious_log_odds(toxic[0] + toxic[1], clean[0] + clean[1], both, weight)}
     for f in (0, 1):
         half = ((n[1][f], max(n[0][f], 1)), (total[2 + f], total[f]))
-        weights[f"w{f}"] = cautious_log_odds(toxic[f], clean[f], half)
+        weights[f"w{f}"] = cautious_log_odds(toxic[f], clean[f], half, weight)
     scored = (
         counted.filter(toxic[0] + toxic[1] >= LEAST_DOCS)
         .select("feature", "n2", "n3", *(c.alias(k) for k, c in weights.items()))
@@ -316,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     for r in seen:
         _, found = law.document([(0, 0, s) for s in r["scores"]], r["words"])
         x.append(curve_inputs(law, list(r["scores"]), len(found), r["words"]))
-    return ToxicityModel(*table("w", all_rows), Calibration(rate, size, logistic_curve(np.array(x), y, np.ones(len(y)))))
+    return ToxicityModel(*table("w", all_rows), Calibration(rate, size, logistic_curve(np.array(x), y, np.where(y == 1, weight[1], weight[0]))))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -321,6 +321,28 @@ def test_toxicity_held_out(spark, nothing, odd):
     assert {r.score < 0.5 for r in toxicity.score(frame.limit(3), empty).collect()} == {True}
 
 
+def test_toxicity_of_a_bounded_sample(spark):
+    """A class that is cut to the bound counts as all its rows: scores stay as with all rows."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(9000):  # every toxic row and a quarter of the clean ones have the word
+        words = [f"w{rng.randint(0, 300)}" for _ in range(60)]
+        if i % 30 == 0 or rng.random() < 0.25:
+            words[rng.randrange(60)] = "scum"
+        rows.append((i, " ".join(words), int(i % 30 == 0)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    labels = frame.select("doc_id", "toxic")
+    learned = dict(labels.filter(~toxicity.held_out(F.col("doc_id"))).groupBy("toxic").count().collect())
+    assert learned[0] > 15 * 400 > 400 > learned[1]
+    scores = []
+    for sample in (toxicity.SAMPLE, 400):
+        model = toxicity.fit(frame, labels, sample)
+        scores.append({r.doc_id: r.score for r in toxicity.score(frame, model).collect()})
+    whole, bounded = ([s[i] for i, text, _ in rows if "scum" in text] for s in scores)
+    assert max(whole) < 0.5 and max(bounded) < 0.5
+    assert abs(np.mean(whole) - np.mean(bounded)) < 0.2
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     centers = rng.normal(size=(40, 16))
