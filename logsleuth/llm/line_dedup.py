@@ -4,7 +4,8 @@ The index holds, for every line key, the documents that have it (postings) and t
 and largest id (references). Keys held by enough documents to be dropped stand in cuckoo
 filters, one for each shard of keys. Documents can be put in and taken out: counts of the
 keys they touch are taken again from the postings, and keys that come to or fall below the
-limit enter or leave their shard's filter. A filter answers "surely not repeated" for nearly
+limit enter or leave their shard's filter. When repeated keys outgrow the shards, the filters
+are made anew from the references with at least twice as many. A filter answers "surely not repeated" for nearly
 all lines; what it lets through is settled by the exact references.
 """
 
@@ -157,10 +158,8 @@ class LineIndex:
         postings = store(line_keys(docs).distinct())
         references = store(count_references(postings))
         repeated = references.filter(F.col("n_docs") >= min_docs).select("key")
-        shards = max(1, -(-repeated.count() // SHARD_KEYS))
-        none = docs.sparkSession.createDataFrame([], FILTERS)
-        filters = turn_filters(none, repeated.withColumn("enters", F.lit(True)), shards)
-        return LineIndex(postings, references, store(filters), shards, min_docs)
+        shards = max(1, shards_for(repeated))
+        return LineIndex(postings, references, store(new_filters(repeated, shards)), shards, min_docs)
 
     def insert(self, docs: DataFrame) -> "LineIndex":
         """With the lines of ``docs`` too. Ids that are in the index get more lines."""
@@ -186,13 +185,16 @@ class LineIndex:
             .select("key", high("n_docs").alias("enters"))
         )
         rest = self.references.join(keys, "key", "left_anti")
-        return LineIndex(
-            postings,
-            store(rest.unionByName(fresh)),
-            store(turn_filters(self.filters, moved, self.shards)),
-            self.shards,
-            self.min_docs,
-        )
+        references = store(rest.unionByName(fresh))
+        repeated = references.filter(F.col("n_docs") >= self.min_docs).select("key")
+        shards = shards_for(repeated)
+        if shards > self.shards:
+            shards = max(shards, 2 * self.shards)
+            filters = new_filters(repeated, shards)
+        else:
+            shards = self.shards
+            filters = turn_filters(self.filters, moved, shards)
+        return LineIndex(postings, references, store(filters), shards, self.min_docs)
 
     def droppable(self) -> DataFrame:
         """Exact (key, doc_id) of lines that go: repeated, and not in the keeper."""
@@ -209,6 +211,17 @@ def count_references(postings: DataFrame) -> DataFrame:
     return postings.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
 
 
+def shards_for(repeated: DataFrame) -> int:
+    """Shards that the keys fill."""
+    return -(-repeated.count() // SHARD_KEYS)
+
+
+def new_filters(repeated: DataFrame, shards: int) -> DataFrame:
+    """Filters that hold exactly the keys of ``repeated``."""
+    none = repeated.sparkSession.createDataFrame([], FILTERS)
+    return turn_filters(none, repeated.withColumn("enters", F.lit(True)), shards)
+
+
 def turn_filters(filters: DataFrame, moved: DataFrame, shards: int) -> DataFrame:
     """Filters after keys have come in (``enters``) or gone out. One task holds one shard."""
 

@@ -181,6 +181,18 @@ def test_line_dedup_is_reversible(spark, odd):
     assert line_dedup.drop_lines(odd, line_dedup.LineIndex.build(odd)).count() == len(ODD)
 
 
+def test_line_index_grows(spark):
+    """More repeated keys than one filter has slots, put into an empty index."""
+    line = F.concat(F.lit("a line that is long enough "), F.col("id").cast("string"))
+    text = spark.range(41_000).agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    frame = spark.range(1, 4).withColumnRenamed("id", "doc_id").crossJoin(text)
+    index = line_dedup.LineIndex.empty(spark).insert(frame)
+    assert index.shards == 3 and index.filters.count() == 3
+    drops = index.droppable().groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in drops} == {1: 41_000, 2: 41_000}
+    assert index.delete(frame.filter("doc_id = 2")).droppable().count() == 0
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(0).integers(0, 1 << 63, (9000, 2)).astype(np.uint64)
     cuckoo = line_dedup.Cuckoo(6000)
