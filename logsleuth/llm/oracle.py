@@ -78,3 +78,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   len(rules) = 0 AS kept, array_to_string(rules, ',') AS failed_rules
 FROM failed
 """
+
+
+FILTER_AUDIT = r"""
+WITH RECURSIVE facts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), fails AS (
+  SELECT doc_id, part, [
+    len(w) < 50,
+    100 * len(list_distinct(w)) < 65 * len(w),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+    regexp_matches(text, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)
+  ] AS fails
+  FROM facts
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), masks AS (
+  SELECT part, list_sum(list_transform(fails, lambda f, i: CASE WHEN f THEN 1 << (i::INT - 1) ELSE 0 END))::INT AS mask,
+    count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM fails LEFT JOIN marks USING (doc_id) GROUP BY ALL
+), letters AS (
+  SELECT substr('ABCDE', i::INT, 1) AS letter, 1 << (i::INT - 1) AS bit FROM range(1, 6) t(i)
+), orders AS (
+  SELECT '' AS filter_order, 0 AS step, '' AS letter, 0 AS bit, 0 AS earlier, 0 AS used
+  UNION ALL
+  SELECT o.filter_order || l.letter, o.step + 1, l.letter, l.bit, o.used, o.used | l.bit
+  FROM orders o JOIN letters l ON o.used & l.bit = 0
+), steps AS (
+  SELECT f.filter_order, s.step, s.letter, s.bit, s.earlier, s.used
+  FROM orders f JOIN orders s ON f.step = 5 AND s.step > 0 AND starts_with(f.filter_order, s.filter_order)
+), counted AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (mask & used = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & bit > 0 AND mask & earlier = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & bit > 0 AND mask & earlier > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & bit > 0 AND mask & earlier = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & earlier = 0), 0)::BIGINT AS toxic_lost
+  FROM masks, steps GROUP BY ALL
+)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM counted
+"""

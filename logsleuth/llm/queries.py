@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logsleuth.llm import bpe, embedding_dedup, license_scan, line_dedup, minhash, oracle, packing, pii, quality, token_counts, toxicity
+from logsleuth.llm import (
+    bpe, embedding_dedup, filter_audit, license_scan, line_dedup, minhash, oracle, packing, pii, quality, token_counts, toxicity,
+)
 from logsleuth.llm.texts import id_and_text, read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -94,11 +96,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(*(read_table(spark, sf_dir, t) for t in ("documents", "labels")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_pii, op3_line_dedup, op4_token_counts, op5_license_scan, op6_minhash, op7_toxicity,
-        op8_embedding_dedup, op9_quality_rules, op10_packing,
+        op8_embedding_dedup, op9_quality_rules, op10_packing, op13_filter_audit,
     )
 }
 
@@ -106,4 +112,5 @@ ORACLE = {
     "op3_line_dedup": oracle.LINE_DEDUP,
     "op8_embedding_dedup": oracle.EMBEDDING_LINKS,
     "op9_quality_rules": oracle.quality_rules(quality.STOP_SPELLINGS),
+    "op13_filter_audit": oracle.FILTER_AUDIT,
 }
