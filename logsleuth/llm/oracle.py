@@ -122,3 +122,52 @@ WITH RECURSIVE facts AS (
 )
 SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM counted
 """
+
+RESAMPLE = r"""
+WITH RECURSIVE registers AS (
+  SELECT i AS byte, 0 AS step, i::UBIGINT AS r FROM range(0, 256) t(i)
+  UNION ALL
+  SELECT byte, step + 1, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END FROM registers WHERE step < 8
+), bytes AS (SELECT list(r ORDER BY byte) AS t FROM registers WHERE step = 8),
+texts AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents
+  UNION ALL
+  SELECT 'b', item_id, text FROM benchmark
+), words AS (
+  SELECT side, id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM texts
+), features AS (
+  SELECT side, id, unnest(w) AS feature FROM words
+  UNION ALL
+  SELECT side, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+), counted AS (SELECT side, id, feature, count(*) AS n FROM features GROUP BY ALL),
+hashed AS (
+  SELECT feature, xor(list_reduce(
+    list_transform(range(1, length(hex(feature)), 2), lambda i: ('0x' || substr(hex(feature), i, 2))::UBIGINT),
+    lambda r, b: xor(r >> 8, t[(xor(r, b) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM counted), bytes
+), buckets AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t
+  FROM counted JOIN hashed USING (feature) GROUP BY bucket
+), totals AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM buckets),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM buckets, totals
+), weights AS (
+  SELECT id AS doc_id, sum(n) AS n_features, sum(n * gain) AS total
+  FROM counted JOIN hashed USING (feature) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id
+), scored AS (
+  SELECT w.id AS doc_id, len(w.w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+    coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+    ('0x' || substr(sha256('7:' || w.id), 1, 8))::BIGINT AS h
+  FROM words w LEFT JOIN weights ON w.id = weights.doc_id WHERE w.side = 'd'
+), noisy AS (
+  SELECT *, weight + floor(-1000.0 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM scored
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM noisy WHERE n_words >= 20
+)
+SELECT n.doc_id, n_features, weight, score, CASE WHEN rank <= 25 * r.n // 100 THEN rank END AS rank
+FROM noisy n LEFT JOIN ranked r ON n.doc_id = r.doc_id
+"""

@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logsleuth.llm import (
-    bpe, embedding_dedup, filter_audit, license_scan, line_dedup, minhash, oracle, packing, pii, quality, token_counts, toxicity,
+    bpe, embedding_dedup, filter_audit, license_scan, line_dedup, minhash, oracle, packing, pii, quality, resample,
+    token_counts, toxicity,
 )
 from logsleuth.llm.texts import id_and_text, read_table
 
@@ -96,6 +97,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(*(read_table(spark, sf_dir, t) for t in ("documents", "labels")))
 
@@ -104,7 +109,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_pii, op3_line_dedup, op4_token_counts, op5_license_scan, op6_minhash, op7_toxicity,
-        op8_embedding_dedup, op9_quality_rules, op10_packing, op13_filter_audit,
+        op8_embedding_dedup, op9_quality_rules, op10_packing, op12_resample, op13_filter_audit,
     )
 }
 
@@ -112,5 +117,6 @@ ORACLE = {
     "op3_line_dedup": oracle.LINE_DEDUP,
     "op8_embedding_dedup": oracle.EMBEDDING_LINKS,
     "op9_quality_rules": oracle.quality_rules(quality.STOP_SPELLINGS),
+    "op12_resample": oracle.RESAMPLE,
     "op13_filter_audit": oracle.FILTER_AUDIT,
 }

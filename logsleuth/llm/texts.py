@@ -128,3 +128,40 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
         for i in range(k):
             total = total * np.uint64(0x100000001B3) + words[i : i + n]
     return mix(total)
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a block with A-Z as a-z, start and length of its words in them, and the
+    number of the first word of each document (len(offsets) entries)."""
+    base, top = int(offsets[0]), int(offsets[-1])
+    part = _FOLD[data[base:top]]
+    edges = np.asarray(offsets - base, np.int64)
+    inside = _IN_WORD[part]
+    opens, shuts = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    shuts[:-1] &= ~inside[1:]
+    inner = edges[1:-1][(edges[1:-1] > 0) & (edges[1:-1] < len(part))]
+    opens[inner], shuts[inner - 1] = inside[inner], inside[inner - 1]
+    starts = np.flatnonzero(opens)
+    return part, starts, np.flatnonzero(shuts) + 1 - starts, np.searchsorted(starts, edges)
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """Blocks as (first document, offsets, whether it goes on the document before).
+
+    As ``blocks``, but a text longer than ``limit`` comes in several stretches, cut between
+    words, so that memory does not grow with it. Only one word is never cut.
+    """
+    for a, b in blocks(offsets, limit):
+        low, high, more = int(offsets[a]), int(offsets[b]), False
+        while b == a + 1 and high - low > limit:
+            at = low + limit
+            while at < high and (inside := _IN_WORD[data[at : at + limit]]).all():
+                at += len(inside)
+            if at < high:
+                at += int(np.argmin(inside))
+            if at >= high:
+                break
+            yield a, np.array([low, at], np.int64), more
+            low, more = at, True
+        yield a, np.append(low, offsets[a + 1 : b + 1]), more
