@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logsleuth.llm import (
-    bpe, embedding_dedup, filter_audit, license_scan, line_dedup, minhash, oracle, packing, pii, quality, resample,
-    token_counts, toxicity,
+    bpe, embedding_dedup, filter_audit, language, license_scan, line_dedup, minhash, oracle, packing, pii, quality,
+    resample, token_counts, toxicity,
 )
 from logsleuth.llm.texts import id_and_text, read_table
 
@@ -97,6 +97,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language.languages(docs, language.fit(docs)).select(
+        "doc_id",
+        language.held_out(F.col("doc_id")).alias("held_out"),
+        "lang_pred",
+        "score",
+        F.size("spans").cast("long").alias("n_spans"),
+    )
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
@@ -109,7 +120,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_pii, op3_line_dedup, op4_token_counts, op5_license_scan, op6_minhash, op7_toxicity,
-        op8_embedding_dedup, op9_quality_rules, op10_packing, op12_resample, op13_filter_audit,
+        op8_embedding_dedup, op9_quality_rules, op10_packing, op11_language, op12_resample, op13_filter_audit,
     )
 }
 
