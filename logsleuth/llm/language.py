@@ -44,7 +44,8 @@ FEATURES = (1 << TRIGRAM_BITS) + (1 << WORD_BITS)
 # First code points of the ranges of scripts. "" holds no letters of a script.
 SCRIPTS = (
     (0x0000, ""), (0x0041, "Latin"), (0x005B, ""), (0x0061, "Latin"), (0x007B, ""), (0x00AA, "Latin"), (0x00AB, ""),
-    (0x00B5, "Latin"), (0x00B6, ""), (0x00BA, "Latin"), (0x00BB, ""), (0x00C0, "Latin"), (0x0250, ""), (0x0370, "Greek"),
+    (0x00B5, "Latin"), (0x00B6, ""), (0x00BA, "Latin"), (0x00BB, ""), (0x00C0, "Latin"), (0x00D7, ""), (0x00D8, "Latin"),
+    (0x00F7, ""), (0x00F8, "Latin"), (0x0250, ""), (0x0370, "Greek"),
     (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Syriac"),
     (0x0750, "Arabic"), (0x0780, "Thaana"), (0x07C0, "Nko"), (0x0800, ""), (0x08A0, "Arabic"), (0x0900, "Devanagari"),
     (0x0980, "Bengali"), (0x0A00, "Gurmukhi"), (0x0A80, "Gujarati"), (0x0B00, "Oriya"), (0x0B80, "Tamil"),
