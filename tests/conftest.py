@@ -14,7 +14,7 @@ START = dt.datetime(2024, 6, 15, 10, 0, 0)
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", "tests")
+    session = local_session(os.environ.get("BENCH_CPUS", "8"), "tests")
     yield session
     session.stop()
 
