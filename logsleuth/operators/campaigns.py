@@ -1,27 +1,32 @@
 """Campaigns: density clusters (DBSCAN) of addresses that behave alike.
 
-The textbook algorithm compares all pairs of points. Here no pair is looked at that
-a summary can decide:
+The textbook algorithm compares all pairs of points. Here every point looks around itself only
+as far as it has to, and no pair is ever written down that a component already implies:
 
 * equal feature vectors are one weighted point;
-* points fall into cells whose diameter is at most eps. All points of a cell are
-  neighbours of each other, so a cell that weighs enough consists of core points
-  only and takes part as one unit; the few points of a lighter cell are a unit each;
-* units are compared by bounding boxes. A pair of boxes is near, far, or split into
-  boxes of half the size; only boxes that the radius cuts are ever split, and a
-  pair of dense cells is dropped as soon as one near pair of boxes is found;
-* the pairs of occupied cells that can be near are found by extending pairs of cell
-  prefixes a few dimensions at a time, never by comparing all cells.
-
-Links between core units give the clusters as connected components.
+* a tree of splits, taken from a bounded sample, cuts space into leaves; a leaf's task holds
+  its own points and those within eps of its box, so all neighbours of an own point are there.
+  Leaves that no split makes smaller (very many points within eps) are dealt out over blocks;
+* neighbours are counted ring by ring around a pivot of the leaf, nearest rings first, and a
+  point leaves the count as soon as it has enough. Only points that end with too few keep
+  their neighbours, and those are fewer than ``min_samples``;
+* core points are contracted: points near a part of a component join it and are not compared
+  again. A leaf sends one row a point, its component; components that share a point of two
+  leaves are one. Blocks of one leaf share pivots, and only what is still apart afterwards is
+  compared across them.
+
+Rows that are shuffled grow with the points (times the leaves whose border they are near), not
+with their pairs.
 """
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from logsleuth.operators.components import connected_components
-from logsleuth.operators.distribute import cut, global_index, skew_join, spread_out
+from logsleuth.operators.distribute import global_index, skew_join, store
 from logsleuth.schema import EVENT_ORDER, IP_FEATURE_COLUMNS
 
 # Radius bounds, neighbours wanted, fewest addresses, labels.
@@ -31,12 +36,12 @@ TINY_EPS, TINY_MIN_SAMPLES = 1.0, 1
 MIN_ADDRESSES = 3
 LONE, LONE_LABEL, CAMPAIGN_LABEL = -1, "Lone Actor", "Campaign #%d"
 
-# Dimensions by which cell prefixes are extended per round.
-PREFIX_STEP = 3
-# Open box pairs standing for at most this many point pairs are settled point by point.
-POINT_PAIRS = 50_000_000
-# Halvings after which boxes are replaced by their points in any case.
-MAX_LEVEL = 40
+# Points that splits are taken from, points a leaf is meant to own, points that meet in a task.
+SAMPLE_POINTS, LEAF_POINTS, BLOCK_POINTS = 20_000, 2_048, 16_384
+# Points that all blocks of a leaf share, and points compared with a ring at once.
+PIVOTS, TILE = 64, 128
+# Fewest sampled points of a leaf, so that a split is not guessed.
+LEAST_SAMPLED = 32
 
 
 def scaled_features(features: DataFrame) -> DataFrame:
@@ -79,268 +84,365 @@ def dbscan_params(features: DataFrame) -> DataFrame:
     )
 
 
-def _box(columns_of: str, dimensions: int) -> list[Column]:
-    x = F.col(columns_of)
-    return [
-        F.array(*[F.min(x[i]) for i in range(dimensions)]).alias("low"),
-        F.array(*[F.max(x[i]) for i in range(dimensions)]).alias("high"),
-    ]
+def split_tree(sample: np.ndarray, each: float, eps: float) -> tuple[object, int]:
+    """Splits of space and the number of leaves; a sampled point stands for ``each`` points.
 
-
-def _length(parts: Column) -> Column:
-    return F.sqrt(F.aggregate(parts, F.lit(0.0), lambda total, v: total + v * v))
-
-
-def _nearest(low_a, high_a, low_b, high_b) -> Column:
-    gaps = F.zip_with(
-        F.zip_with(low_a, high_b, lambda a, b: a - b),
-        F.zip_with(low_b, high_a, lambda b, a: b - a),
-        lambda p, q: F.greatest(p, q, F.lit(0.0)),
+    A leaf is its number, a split (dimension, limit, below, from there on). A box that is no
+    wider than twice the radius is not split: nearly all its points would go to both sides.
+    """
+    leaves = 0
+
+    def split(points):
+        nonlocal leaves
+        if len(points) * each > LEAF_POINTS and len(points) >= 2 * LEAST_SAMPLED:
+            low, middle, high = np.percentile(points, (10, 50, 90), axis=0)
+            d = int(np.argmax(high - low))
+            below = points[:, d] < middle[d]
+            if high[d] - low[d] > 2 * eps and LEAST_SAMPLED <= below.sum() <= len(points) - LEAST_SAMPLED:
+                return d, float(middle[d]), split(points[below]), split(points[~below])
+        leaves += 1
+        return leaves - 1
+
+    return split(sample), leaves
+
+
+def placed(points: DataFrame, tree, eps: float) -> DataFrame:
+    """Rows (leaf, own, pid, weight, x): each point in its leaf and in all within eps of it."""
+    reach = eps * (1 + 1e-9)  # rounding cannot lose a neighbour
+
+    def spots(x, rows, gaps, own, node):
+        if not len(rows):
+            return
+        if not isinstance(node, tuple):
+            yield rows, own, node
+            return
+        d, limit, below, above = node
+        value = x[rows, d]
+        for side, child in ((value < limit, below), (value >= limit, above)):
+            wider = gaps.copy()
+            wider[:, d] = np.where(side, gaps[:, d], np.maximum(gaps[:, d], np.abs(value - limit)))
+            near = (wider * wider).sum(1) <= reach * reach
+            yield from spots(x, rows[near], wider[near], (own & side)[near], child)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = vectors(batch.column("x"))
+            rows = np.arange(len(x))
+            for at, own, leaf in spots(x, rows, np.zeros(x.shape), np.ones(len(x), bool), tree):
+                taken = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), leaf, np.int32)), pa.array(own), *(taken.column(c) for c in ("pid", "weight", "x"))],
+                    ["leaf", "own", "pid", "weight", "x"],
+                )
+
+    return points.select("pid", "weight", "x").mapInArrow(
+        run, "leaf int, own boolean, pid long, weight long, x array<double>"
     )
-    return _length(gaps)
-
 
-def _farthest(low_a, high_a, low_b, high_b) -> Column:
-    spans = F.zip_with(
-        F.zip_with(high_a, low_b, lambda a, b: a - b),
-        F.zip_with(high_b, low_a, lambda b, a: b - a),
-        lambda p, q: F.greatest(p, q),
-    )
-    return _length(spans)
 
+def vectors(column) -> np.ndarray:
+    """A list column without nulls and with lists of one length as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-def _near_cells(cells: DataFrame, dimensions: int) -> DataFrame:
-    """Pairs (cell_a <= cell_b) of occupied cells that may hold points within eps.
 
-    A cell is ``1 / sqrt(dimensions)`` of eps wide, so the squared gaps between two
-    cells, counted in cells, must not add up to more than the number of dimensions.
-    """
-    reach = math.floor(math.sqrt(dimensions)) + 1
-    pairs = None
-    for start in range(0, dimensions, PREFIX_STEP):
-        end = min(start + PREFIX_STEP, dimensions)
-        prefixes = cells.select(
-            F.slice("cell", 1, start).alias("parent"), F.slice("cell", 1, end).alias("child")
-        ).distinct()
-        left = prefixes.select(F.col("parent").alias("cell_a"), F.col("child").alias("child_a"))
-        if pairs is None:
-            left = spread_out(left, "child_a").withColumns(
-                {"cell_b": F.col("cell_a"), "gap": F.lit(0).cast("long")}
-            )
-        else:
-            left = spread_out(pairs, "cell_a").join(left, "cell_a")
-        right = prefixes.select(
-            F.col("parent").alias("cell_b"),
-            F.col("child").alias("child_b"),
-            F.col("child")[start].alias("at"),
-        )
-        steps = [
-            F.greatest(F.abs(F.col("child_a")[i] - F.col("child_b")[i]) - 1, F.lit(0))
-            for i in range(start, end)
-        ]
-        around = F.sequence(F.col("child_a")[start] - reach, F.col("child_a")[start] + reach)
-        pairs = (
-            left.withColumn("at", F.explode(around))
-            .join(right, ["cell_b", "at"])
-            .withColumn("gap", F.col("gap") + sum((s * s for s in steps), F.lit(0)))
-            .filter((F.col("gap") <= dimensions) & (F.col("child_a") <= F.col("child_b")))
-            .select(F.col("child_a").alias("cell_a"), F.col("child_b").alias("cell_b"), "gap")
-        )
-    return pairs.select("cell_a", "cell_b")
+def numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
 
 
-def _box_key(level: int | None, side: float) -> Column:
-    """Box of a point at a halving level; units of a single point have one box."""
-    if level is None:
-        return F.array().cast("array<long>")
-    part = side / (1 << level)
-    split = F.transform("x", lambda v: F.floor(v / part))
-    return F.when(F.col("dense"), split).otherwise(F.array().cast("array<long>"))
+def within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """Which rows of ``b`` are within ``eps`` of which rows of ``a``."""
+    total = np.zeros((len(a), len(b)))
+    for d in range(a.shape[1]):
+        gap = a[:, d, None] - b[None, :, d]
+        total += gap * gap
+    return np.sqrt(total) <= eps
 
 
-def _boxes(members: DataFrame, level, parent_level, side: float, dimensions: int) -> DataFrame:
-    """Boxes of each unit with the box they came from; its points if there is no level."""
-    box = F.array("pid") if level is None else _box_key(level, side)
-    return members.groupBy(
-        "unit", _box_key(parent_level, side).alias("parent"), box.alias("box")
-    ).agg(*_box("x", dimensions), F.sum("weight").alias("weight"), F.count("*").alias("points"))
+class Rings:
+    """Points in the order of their distance from a pivot.
 
+    By the triangle inequality neighbours within eps lie in rings that differ by eps at most.
+    """
 
-def _settled(found: DataFrame, min_samples: int) -> DataFrame:
-    """Near pairs that need no further look: both sides are known to be core."""
-    mixed = found.filter(F.col("dense_a") != F.col("dense_b")).select(
-        F.when(F.col("dense_a"), F.col("b")).otherwise(F.col("a")).alias("light"),
-        F.when(F.col("dense_a"), F.col("weight_a")).otherwise(F.col("weight_b")).alias("weight"),
-        "a",
-        "b",
-    )
-    heavy = mixed.groupBy("light").agg(F.sum("weight").alias("w")).filter(F.col("w") >= min_samples)
-    return (
-        found.filter(F.col("dense_a") & F.col("dense_b"))
-        .select("a", "b")
-        .unionByName(mixed.join(heavy, "light", "left_semi").select("a", "b"))
-        .distinct()
+    def __init__(self, x: np.ndarray, pivot: np.ndarray):
+        radius = np.sqrt(((x - pivot) ** 2).sum(1))
+        self.order = np.argsort(radius, kind="stable")
+        self.pivot, self.x, self.radius = pivot, x[self.order], radius[self.order]
+
+    def around(self, low: float, high: float, eps: float) -> tuple[int, int]:
+        """Range of the points that may be near one at a distance of low to high."""
+        slack = eps + 1e-9 * (1 + abs(high))
+        return int(np.searchsorted(self.radius, low - slack, "left")), int(np.searchsorted(self.radius, high + slack, "right"))
+
+
+def outward(low: int, high: int, centre: int, width: int):
+    """Ranges that cover low to high, those around ``centre`` first."""
+    a = b = min(max(centre, low), high)
+    while low < a or b < high:
+        if b < high:
+            yield b, min(b + width, high)
+            b = min(b + width, high)
+        if low < a:
+            yield max(a - width, low), a
+            a = max(a - width, low)
+
+
+def count_near(probes: np.ndarray, x: np.ndarray, weight: np.ndarray, eps: float, enough: int):
+    """Weight of the points near each probe, counted up to ``enough``, and the pairs
+    (probe, point) of the probes that stay below it."""
+    counts = np.zeros(len(probes), np.int64)
+    pairs = [np.zeros((2, 0), np.int64)]
+    if not len(probes) or not len(x):
+        return counts, pairs[0]
+    rings = Rings(x, probes.mean(0))
+    heavy = weight[rings.order]
+    own = Rings(probes, rings.pivot)
+    for first in range(0, len(probes), TILE):
+        tile = np.arange(first, min(first + TILE, len(probes)))
+        low, high = rings.around(own.radius[tile[0]], own.radius[tile[-1]], eps)
+        centre = int(np.searchsorted(rings.radius, own.radius[tile[len(tile) // 2]]))
+        total, found = np.zeros(len(tile), np.int64), []
+        for a, b in outward(low, high, centre, 16 * TILE):
+            open_ = np.flatnonzero(total < enough)
+            if not len(open_):
+                break
+            near = within(own.x[tile[open_]], rings.x[a:b], eps)
+            total[open_] += near @ heavy[a:b]
+            few = np.flatnonzero(total[open_] < enough)
+            i, j = np.nonzero(near[few])
+            found.append(np.stack([open_[few[i]], j + a]))
+        counts[own.order[tile]] = total
+        if found:
+            at = np.concatenate(found, axis=1)
+            at = at[:, total[at[0]] < enough]
+            pairs.append(np.stack([own.order[tile[at[0]]], rings.order[at[1]]]))
+    return counts, np.concatenate(pairs, axis=1)
+
+
+def local_components(x: np.ndarray, eps: float) -> np.ndarray:
+    """Number of the component of each point, points within ``eps`` being linked.
+
+    A component grows from its newest points; what joins it is taken out of the points that
+    are still compared.
+    """
+    labels = np.full(len(x), -1, np.int64)
+    if not len(x):
+        return labels
+    rings = Rings(x, x.mean(0))
+    left = np.arange(len(x))
+    number = 0
+    while len(left):
+        fresh, left = left[:1], left[1:]
+        labels[rings.order[fresh]] = number
+        while len(fresh):
+            tile, fresh = fresh[:TILE], fresh[TILE:]
+            low, high = rings.around(rings.radius[tile].min(), rings.radius[tile].max(), eps)
+            a, b = np.searchsorted(left, (low, high))
+            joined = []
+            for at in range(a, b, 16 * TILE):
+                some = left[at : min(at + 16 * TILE, b)]
+                joined.append(some[within(rings.x[tile], rings.x[some], eps).any(0)])
+            if joined:
+                joined = np.concatenate(joined)
+                labels[rings.order[joined]] = number
+                left = np.setdiff1d(left, joined, assume_unique=True)
+                fresh = np.concatenate([fresh, joined])
+        number += 1
+    return labels
+
+
+def _counted(rows: DataFrame, keys: list[str], eps: float, enough: int) -> DataFrame:
+    """pid, n and near of the probes of each group, n as far as the group's members tell."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, pid = vectors(table.column("x")), numbers(table, "pid")
+        probe, member = numbers(table, "probe"), numbers(table, "member")
+        counts, pairs = count_near(x[probe], x[member], numbers(table, "weight")[member], eps, enough)
+        order = np.argsort(pairs[0], kind="stable")
+        ends = np.searchsorted(pairs[0][order], np.arange(len(counts) + 1))
+        near = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pid[member][pairs[1][order]], pa.int64()))
+        return pa.Table.from_arrays([pa.array(pid[probe]), pa.array(counts), near], ["pid", "n", "near"])
+
+    return rows.groupBy(*keys).applyInArrow(run, "pid long, n long, near array<long>")
+
+
+def _core_points(entries: DataFrame, blocks: dict, eps: float, enough: int) -> DataFrame:
+    """pid, core, and for the others near: the few points around them (themselves too)."""
+    members = entries.withColumns({"probe": F.col("own"), "member": F.lit(True)})
+    counted = _counted(members, ["leaf", "block"], eps, enough)
+    if max(blocks.values(), default=1) > 1:
+        counted = store(counted)
+        # What is still open in a leaf of several blocks looks into the others.
+        wide = {leaf: n for leaf, n in blocks.items() if n > 1}
+        in_wide = F.col("leaf").isin(list(wide))
+        rest = store(
+            entries.filter(in_wide & F.col("own")).join(counted.filter(F.col("n") < enough), "pid", "left_semi")
+        )
+        parts = {r["leaf"]: -(-r["n"] // BLOCK_POINTS) for r in rest.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+        if parts:
+            part = F.pmod(F.hash("pid"), _of_leaf(parts))
+            others = F.filter(F.sequence(F.lit(0), _of_leaf(wide) - 1), lambda b: b != F.col("block"))
+            probes = rest.withColumns({"part": part, "block": F.explode(others), "probe": F.lit(True), "member": F.lit(False)})
+            into = (
+                entries.filter(F.col("leaf").isin(list(parts)))
+                .withColumns({"part": F.explode(F.sequence(F.lit(0), _of_leaf(parts) - 1)), "probe": F.lit(False), "member": F.lit(True)})
+            )
+            more = _counted(probes.unionByName(into), ["leaf", "block", "part"], eps, enough)
+            counted = counted.unionByName(more).groupBy("pid").agg(
+                F.sum("n").alias("n"), F.flatten(F.collect_list("near")).alias("near")
+            )
+    core = F.col("n") >= enough
+    return store(counted.select("pid", core.alias("core"), F.when(~core, F.col("near")).alias("near")))
+
+
+def _of_leaf(values: dict):
+    """The value of the row's leaf, from a table of at most some hundred leaves."""
+    table = [0] * (max(values) + 1)
+    for leaf, value in values.items():
+        table[leaf] = value
+    return F.element_at(F.lit(table), F.col("leaf") + 1).cast("int")
+
+
+def _leaf_components(core: DataFrame, eps: float) -> DataFrame:
+    """leaf, block, own, pid and root: the smallest point of its component in that block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pid = numbers(table, "pid")
+        labels = local_components(vectors(table.column("x")), eps)
+        least = np.full(labels.max(initial=-1) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, labels, pid)
+        return table.select(["leaf", "block", "own", "pid"]).append_column("root", pa.array(least[labels], pa.int64()))
+
+    return core.groupBy("leaf", "block").applyInArrow(run, "leaf int, block int, own boolean, pid long, root long")
+
+
+def _apart(rows: DataFrame, eps: float) -> DataFrame:
+    """Pairs (a, b) of different components of which a probe and a member are near."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, root = vectors(table.column("x")), numbers(table, "root")
+        probe, member = numbers(table, "probe"), numbers(table, "member")
+        rings, found = Rings(x[member], x[member].mean(0)) if member.any() else None, set()
+        mine = root[member][rings.order] if rings else None
+        for i in np.flatnonzero(probe) if rings else ():
+            radius = float(np.sqrt(((x[i] - rings.pivot) ** 2).sum()))
+            a, b = rings.around(radius, radius, eps)
+            other = a + np.flatnonzero(mine[a:b] != root[i])
+            near = other[within(x[i : i + 1], rings.x[other], eps)[0]]
+            found.update((min(root[i], r), max(root[i], r)) for r in np.unique(mine[near]).tolist())
+        a, b = zip(*found) if found else ((), ())
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.groupBy("leaf", "block", "part").applyInArrow(run, "a long, b long")
+
+
+def _contracted(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """(v, root) of the components of few vertices; nothing is run where there are no links."""
+    links = store(links.distinct())
+    if links.isEmpty():
+        return vertices.select("v", F.col("v").alias("root"))
+    touched = links.select(F.col("a").alias("v")).union(links.select("b")).distinct()
+    return vertices.join(connected_components(touched, links), "v", "left").select(
+        "v", F.coalesce("root", "v").alias("root")
     )
 
 
-def _near_units(pairs, members, eps, side, dimensions, min_samples) -> DataFrame:
-    """Near parts of near pairs of units, as (a, b, weight_a, weight_b).
-
-    Every round compares the open box pairs of one halving level. What is neither
-    near nor far is opened again at the next level, or point by point once that is
-    little work.
-    """
-    none = F.array().cast("array<long>")
-    open_pairs = pairs.withColumns({"box_a": none, "box_b": none})
-    found, level, parent_level = None, 0, None
-    while True:
-        boxes = _boxes(members, level, parent_level, side, dimensions)
-
-        def end(name):
-            return boxes.select(
-                F.col("unit").alias(name),
-                F.col("parent").alias(f"box_{name}"),
-                F.col("box").alias(f"next_{name}"),
-                *[F.col(c).alias(f"{c}_{name}") for c in ("low", "high", "weight", "points")],
+def _core_components(entries: DataFrame, status: DataFrame, blocks: dict, eps: float) -> DataFrame:
+    """pid and root of the core points: the smallest core point they are connected to."""
+    core = entries.join(status.filter("core").select("pid"), "pid", "left_semi")
+    wide = {leaf: n for leaf, n in blocks.items() if n > 1}
+    if wide:
+        core = store(core)
+        in_wide = F.col("leaf").isin(list(wide))
+        pivot = F.pmod(F.xxhash64("pid", F.lit(1)), _of_leaf(wide) * (BLOCK_POINTS // PIVOTS)) == 0
+        others = F.filter(F.sequence(F.lit(0), _of_leaf(wide) - 1), lambda b: b != F.col("block"))
+        shared = core.filter(in_wide & pivot).withColumns({"block": F.explode(others), "own": F.lit(False)})
+        local = store(_leaf_components(core.unionByName(shared), eps))
+    else:
+        local = store(_leaf_components(core, eps))
+    roots = local.select(F.col("root").alias("v")).distinct()
+    least = local.groupBy("pid").agg(F.min("root").alias("b"), F.max("root").alias("a"), F.collect_set("root").alias("all"))
+    shared = least.filter("a != b").select(F.explode("all").alias("a"), "b").filter("a != b")
+    found = _contracted(roots, shared)
+    if wide:
+        found = store(found)
+        ends = local.filter(in_wide).join(found.withColumnRenamed("root", "to"), F.col("root") == F.col("v"))
+        placed_ = store(
+            core.filter(in_wide).join(ends.select("leaf", "block", "pid", F.col("to").alias("root")).distinct(), ["leaf", "block", "pid"])
+        )
+        sizes = placed_.groupBy("leaf", "root").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("leaf").agg(F.max_by("root", F.struct("n", "root")).alias("_main"), F.count("*").alias("_parts"))
+        small = store(
+            placed_.join(F.broadcast(largest.filter("_parts > 1")), "leaf").filter(F.col("root") != F.col("_main")).drop("_main", "_parts")
+        )
+        parts = {r["leaf"]: -(-r["n"] // BLOCK_POINTS) for r in small.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+        if parts:
+            part = F.pmod(F.hash("pid"), _of_leaf(parts))
+            every = F.sequence(F.lit(0), _of_leaf(wide) - 1)
+            probes = small.withColumns({"part": part, "block": F.explode(every), "probe": F.lit(True), "member": F.lit(False)})
+            into = placed_.filter(F.col("leaf").isin(list(parts))).withColumns(
+                {"part": F.explode(F.sequence(F.lit(0), _of_leaf(parts) - 1)), "probe": F.lit(False), "member": F.lit(True)}
             )
-
-        corners = ["low_a", "high_a", "low_b", "high_b"]
-        judged = cut(
-            spread_out(open_pairs, "a", "box_a")
-            .join(end("a"), ["a", "box_a"])
-            .join(end("b"), ["b", "box_b"])
-            .filter(_nearest(*corners) <= eps)
-            .select(
-                "a", "b", "dense_a", "dense_b", "weight_a", "weight_b",
-                F.col("next_a").alias("box_a"),
-                F.col("next_b").alias("box_b"),
-                (F.col("points_a") * F.col("points_b")).alias("work"),
-                (_farthest(*corners) <= eps).alias("near"),
+            again = _contracted(
+                found.select(F.col("root").alias("v")).distinct(), _apart(probes.unionByName(into), eps)
             )
-        )
-        near = judged.filter("near").drop("near", "work", "box_a", "box_b")
-        found = near if found is None else found.unionByName(near)
-        if level is None:
-            return found
-        unsure = judged.filter("not near").join(_settled(found, min_samples), ["a", "b"], "left_anti")
-        work = unsure.agg(F.sum("work")).first()[0]
-        if work is None:
-            return found
-        open_pairs = unsure.select("a", "b", "dense_a", "dense_b", "box_a", "box_b")
-        parent_level = level
-        level = None if work <= POINT_PAIRS or level >= MAX_LEVEL else level + 1
-
-
-def _by_selectivity(scaled: DataFrame, names: list[str], side: float) -> list[str]:
-    """Dimensions with the most evenly spread values first: they prune pairs earliest."""
-    reach = side * (2 * math.floor(math.sqrt(len(names))) + 3)
-    slots = [F.struct(F.lit(c).alias("name"), F.floor(F.col(c) / reach).alias("at")) for c in names]
-    spread = (
-        scaled.select(F.explode(F.array(*slots)).alias("s"))
-        .groupBy("s.name", "s.at")
-        .agg(F.count("*").alias("n"))
-        .groupBy("name")
-        .agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
-        .orderBy("pairs", "name")
-    )
-    return [r["name"] for r in spread.collect()]
+            found = found.join(again.select(F.col("v").alias("root"), F.col("root").alias("to")), "root").select("v", F.col("to").alias("root"))
+    own = local.filter("own").select("pid", F.col("root").alias("v"))
+    return own.join(found, "v").select("pid", "root")
 
 
-def _members(points: DataFrame, side: float, min_samples: int) -> DataFrame:
-    """Distinct points with weight, cell and unit; ids follow the first appearance."""
-    vectors = points.groupBy("x").agg(
-        F.count("*").alias("weight"), F.min("first_seen").alias("first")
-    )
-    numbered = global_index(vectors.select("x", "weight", "first.*"), EVENT_ORDER, "pid").select(
-        "pid", "x", "weight", F.transform("x", lambda v: F.floor(v / side)).alias("cell")
-    )
-    cells = numbered.groupBy("cell").agg(
-        F.sum("weight").alias("cell_weight"),
-        F.min("pid").alias("head"),
-        F.count("*").alias("cell_points"),
-    )
-    dense = F.col("cell_weight") >= min_samples
-    return skew_join(numbered, cells, ["cell"], "cell_points", spread=("pid",)).select(
-        "pid",
-        "x",
-        "weight",
-        "cell",
-        dense.alias("dense"),
-        F.when(dense, F.col("head")).otherwise(F.col("pid")).alias("unit"),
-    )
+def _weighted_points(points: DataFrame) -> DataFrame:
+    """Distinct vectors with weight; pid follows their first appearance."""
+    distinct = points.groupBy("x").agg(F.count("*").alias("weight"), F.min("first_seen").alias("first"))
+    return global_index(distinct.select("x", "weight", "first.*"), EVENT_ORDER, "pid").select("pid", "x", "weight")
 
 
-def ip_campaigns(features: DataFrame, first_seen: DataFrame) -> DataFrame:
+def ip_campaigns(
+    features: DataFrame, first_seen: DataFrame, eps: float | None = None, min_samples: int | None = None
+) -> DataFrame:
     """Campaign number and label of each address, -1 for lone actors.
 
-    Campaigns are numbered by the first appearance of their first core address; a
-    border address joins the lowest-numbered campaign it touches.
+    Campaigns are numbered by the first appearance of their first core address; a border
+    address joins the lowest-numbered campaign it touches. ``eps``, the radius in scaled
+    features, and ``min_samples``, the addresses within it that make one a core (itself
+    counted), default to ``dbscan_params``; a larger eps gives fewer and wider campaigns.
     """
-    features = cut(features)
-    params = dbscan_params(features).first()
-    eps, min_samples = params["eps"], params["min_samples"]
-    if params["n"] < MIN_ADDRESSES:
+    features = store(features)
+    stats = features.agg(*[(F.min(c) < F.max(c)).alias(c) for c in IP_FEATURE_COLUMNS])
+    found = dbscan_params(features).crossJoin(F.broadcast(stats)).first()
+    if found["n"] < MIN_ADDRESSES:
         return _labelled(features.select("ip_address", F.lit(LONE).cast("long").alias("campaign_cluster")))
-    varies = features.agg(*[(F.min(c) < F.max(c)).alias(c) for c in IP_FEATURE_COLUMNS]).first()
-    names = [c for c in IP_FEATURE_COLUMNS if varies[c]] or IP_FEATURE_COLUMNS[:1]
-    dimensions = len(names)
-    # A hair less than eps / sqrt(d), so that rounding cannot widen a cell.
-    side = eps / math.sqrt(dimensions) * (1 - 1e-9)
-
-    scaled = cut(scaled_features(features))
-    names = _by_selectivity(scaled, names, side)
-    points = cut(scaled.select("ip_address", F.array(*names).alias("x")).join(first_seen, "ip_address"))
-    members = cut(_members(points, side, min_samples))
-    units = members.groupBy("cell", "unit", "dense").agg(
-        F.sum("weight").alias("weight"), F.count("*").alias("points")
-    )
-
-    def side_of(name):
-        return units.select(
-            F.col("cell").alias(f"cell_{name}"), F.col("unit").alias(name), F.col("dense").alias(f"dense_{name}")
-        )
-
-    pairs = (
-        _near_cells(members.select("cell").distinct(), dimensions)
-        .join(side_of("a"), "cell_a")
-        .join(side_of("b"), "cell_b")
-        .filter((F.col("cell_a") != F.col("cell_b")) | (F.col("a") < F.col("b")))
-        .select("a", "b", "dense_a", "dense_b")
-    )
-    near = _near_units(cut(pairs), members, eps, side, dimensions, min_samples)
-    touching = near.select(F.col("a").alias("unit"), F.col("b").alias("other"), F.col("weight_b").alias("w")).unionByName(
-        near.select(F.col("b").alias("unit"), F.col("a").alias("other"), F.col("weight_a").alias("w"))
-    )
-    around = touching.groupBy("unit").agg(F.sum("w").alias("around"))
-    core = cut(
-        units.join(around, "unit", "left")
-        .filter(
-            F.col("dense") | (F.col("weight") + F.coalesce("around", F.lit(0)) >= min_samples)
-        )
-        .select(F.col("unit").alias("v"))
-    )
-    links = (
-        near.select("a", "b")
-        .distinct()
-        .join(core.withColumnRenamed("v", "a"), "a", "left_semi")
-        .join(core.withColumnRenamed("v", "b"), "b", "left_semi")
-    )
-    found = connected_components(core, links)
-    numbers = global_index(found.select("root").distinct(), ["root"], "campaign_cluster")
-    of_core = cut(
-        found.join(numbers, "root").select(F.col("v").alias("unit"), "campaign_cluster")
-    )
+    eps = float(found["eps"] if eps is None else eps)
+    enough = found["min_samples"] if min_samples is None else min_samples
+    names = [c for c in IP_FEATURE_COLUMNS if found[c]] or IP_FEATURE_COLUMNS[:1]
+    scaled = scaled_features(features).select("ip_address", F.array(*names).alias("x"))
+    points = store(scaled.join(first_seen, "ip_address"))
+    members = store(_weighted_points(points))
+
+    n = members.count()
+    share = F.pmod(F.xxhash64("pid"), F.lit(1 << 30)) < math.ceil(min(1.0, SAMPLE_POINTS / n) * (1 << 30))
+    sample = members.filter(share).select("x").toArrow()
+    tree, _ = split_tree(vectors(sample.column("x")), n / max(sample.num_rows, 1), eps) if sample.num_rows else (0, 1)
+    spots = store(placed(members, tree, eps))
+    sizes = {r["leaf"]: r["n"] for r in spots.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    blocks = {leaf: math.ceil(size / BLOCK_POINTS) for leaf, size in sizes.items()}
+    entries = spots.withColumn("block", F.pmod(F.hash("pid", F.lit(7)), _of_leaf(blocks)))
+
+    status = _core_points(entries, blocks, eps, enough)
+    of_core = store(_core_components(entries, status, blocks, eps))
+    numbered = global_index(of_core.select("root").distinct(), ["root"], "campaign_cluster")
+    of_core = store(of_core.join(numbered, "root").select("pid", "campaign_cluster"))
+    touching = status.filter("NOT core").select(F.col("pid").alias("border"), F.explode("near").alias("pid"))
     of_border = (
-        touching.join(core.withColumnRenamed("v", "unit"), "unit", "left_anti")
-        .join(of_core.withColumnRenamed("unit", "other"), "other")
-        .groupBy("unit")
-        .agg(F.min("campaign_cluster").alias("campaign_cluster"))
+        touching.join(of_core, "pid").groupBy("border").agg(F.min("campaign_cluster").alias("campaign_cluster"))
     )
-    of_unit = units.select("unit", "points").join(of_core.unionByName(of_border), "unit")
-    of_point = skew_join(members.select("pid", "x", "weight", "unit"), of_unit, ["unit"], "points", spread=("pid",))
+    of_point = members.join(of_core.unionByName(of_border.withColumnRenamed("border", "pid")), "pid")
     per_ip = skew_join(
         points.select("ip_address", "x"),
-        of_point.select("x", "weight", "campaign_cluster"),
+        store(of_point.select("x", "weight", "campaign_cluster")),
         ["x"],
         "weight",
         spread=("ip_address",),

@@ -1,6 +1,6 @@
 """User states and campaigns against plain implementations, under forced splitting."""
 
-import itertools
+import collections
 import math
 
 import numpy as np
@@ -156,11 +156,11 @@ def campaign_input(spark, vectors):
     return frame, seen
 
 
-def check_campaigns(spark, vectors):
+def check_campaigns(spark, vectors, **options):
     frame, seen = campaign_input(spark, vectors)
-    got = {r["ip_address"]: r for r in campaigns.ip_campaigns(frame, seen).collect()}
+    got = {r["ip_address"]: r for r in campaigns.ip_campaigns(frame, seen, **options).collect()}
     scaled = {r["ip_address"]: r for r in campaigns.scaled_features(frame).collect()}
-    params = campaigns.dbscan_params(frame).first()
+    params = {**campaigns.dbscan_params(frame).first().asDict(), **options}
     ips = sorted(got)
     points = [[scaled[ip][c] for c in IP_FEATURE_COLUMNS] for ip in ips]
     expected = plain_dbscan(points, params["eps"], params["min_samples"])
@@ -168,9 +168,21 @@ def check_campaigns(spark, vectors):
     return expected
 
 
-@pytest.mark.parametrize("point_pairs", [0, 50_000_000])
-def test_campaigns_with_dense_cells(spark, monkeypatch, point_pairs):
-    monkeypatch.setattr(campaigns, "POINT_PAIRS", point_pairs)
+# Points a leaf owns, points that meet in a task, and points all blocks of a leaf share.
+SPLITS = [(2_048, 16_384, 64), (20, 16_384, 64), (20, 15, 3), (10_000, 40, 1), (10_000, 7, 0)]
+
+
+def force_splits(monkeypatch, leaf, block, pivots):
+    monkeypatch.setattr(campaigns, "LEAF_POINTS", leaf)
+    monkeypatch.setattr(campaigns, "BLOCK_POINTS", block)
+    monkeypatch.setattr(campaigns, "PIVOTS", max(pivots, 1) if block > pivots else block)
+    monkeypatch.setattr(campaigns, "LEAST_SAMPLED", 4)
+    monkeypatch.setattr(campaigns, "TILE", 8)
+
+
+@pytest.mark.parametrize("splits", SPLITS)
+def test_campaigns_in_the_plane(spark, monkeypatch, splits):
+    force_splits(monkeypatch, *splits)
     rng = np.random.default_rng(5)
     blobs = [rng.normal(center, 0.35, (70, 2)) for center in ([0, 0], [2.2, 0.4], [9, 9])]
     copies = np.repeat([[5.0, -4.0], [5.6, -4.3]], 6, axis=0)
@@ -178,11 +190,12 @@ def test_campaigns_with_dense_cells(spark, monkeypatch, point_pairs):
     vectors = rng.permutation(np.vstack([*blobs, copies, lone]))
     expected = check_campaigns(spark, vectors)
     assert len(set(expected)) > 2
+    assert len(set(check_campaigns(spark, vectors, eps=0.12, min_samples=3))) == 5
 
 
-@pytest.mark.parametrize("point_pairs", [0, 50_000_000])
-def test_campaigns_in_many_dimensions(spark, monkeypatch, point_pairs):
-    monkeypatch.setattr(campaigns, "POINT_PAIRS", point_pairs)
+@pytest.mark.parametrize("splits", SPLITS)
+def test_campaigns_in_many_dimensions(spark, monkeypatch, splits):
+    force_splits(monkeypatch, *splits)
     monkeypatch.setattr(distribute, "HOT_ROWS", 5)
     rng = np.random.default_rng(6)
     centers = rng.uniform(-5, 5, (4, 13))
@@ -191,17 +204,61 @@ def test_campaigns_in_many_dimensions(spark, monkeypatch, point_pairs):
     assert max(expected) >= 1 and -1 in expected
 
 
+def test_chain_through_many_leaves(spark, monkeypatch):
+    force_splits(monkeypatch, 10, 6, 1)
+    line = [[i * 0.5, 0.0] for i in range(120)] + [[200.0 + i * 0.5, 40.0] for i in range(60)]
+    expected = check_campaigns(spark, np.random.default_rng(1).permutation(line), eps=0.02, min_samples=2)
+    assert sorted(collections.Counter(expected).values()) == [60, 120]
+
+
+def test_neighbours_and_components():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        n, d = rng.integers(1, 400), rng.integers(1, 6)
+        x = rng.normal(0, rng.uniform(0.1, 2), (n, d))
+        weight = rng.integers(1, 3, n)
+        near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.5
+        counts, (i, j) = campaigns.count_near(x[: n // 2], x, weight, 0.5, 4)
+        full = near[: n // 2] @ weight
+        assert ((counts >= 4) == (full >= 4)).all() and (counts[full < 4] == full[full < 4]).all()
+        want = {(a, b) for a, b in zip(*np.nonzero(near[: n // 2])) if full[a] < 4}
+        assert len(i) == len(want) and set(zip(i.tolist(), j.tolist())) == want
+        labels = campaigns.local_components(x, 0.5)
+        reach = near
+        for _ in range(10):
+            reach = (reach.astype(int) @ reach) > 0
+        assert ((labels[:, None] == labels[None]) == reach).all()
+
+
+def test_leaves_hold_all_neighbours(spark, monkeypatch):
+    force_splits(monkeypatch, 20, 1000, 1)
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (500, 4))
+    tree, leaves = campaigns.split_tree(x, 1.0, 0.3)
+    frame = spark.createDataFrame([(i, 1, [float(v) for v in row]) for i, row in enumerate(x)], "pid long, weight long, x array<double>")
+    rows = campaigns.placed(frame.repartition(3), tree, 0.3).collect()
+    assert leaves > 8 and sorted(r.pid for r in rows if r.own) == list(range(500))
+    held = collections.defaultdict(set)
+    for r in rows:
+        held[r.leaf].add(r.pid)
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.3
+    assert all(set(np.flatnonzero(near[r.pid])) <= held[r.leaf] for r in rows if r.own)
+
+
+def test_rows_grow_with_points_not_pairs(spark):
+    """Ten times the points in the same space: a hundred times the pairs, ten times the rows."""
+    rng = np.random.default_rng(4)
+    rows = {}
+    for n in (400, 4_000):
+        x = rng.normal(0, 1, (n, 3))
+        counts, pairs = campaigns.count_near(x, x, np.ones(n, np.int64), 0.8, 5)
+        rows[n] = len(pairs[0]), int((np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.8).sum())
+        assert len(np.unique(campaigns.local_components(x, 0.8))) < n
+    assert rows[4_000][1] > 90 * rows[400][1] and rows[4_000][0] <= 10 * max(rows[400][0], 1)
+
+
 def test_campaigns_of_few_addresses(spark):
     frame, seen = campaign_input(spark, [[0.0], [1.0]])
     assert {r["campaign_cluster"] for r in campaigns.ip_campaigns(frame, seen).collect()} == {-1}
     same = check_campaigns(spark, [[1.0]] * 4)
     assert same == [0] * 4
-
-
-def test_cells_find_all_near_pairs(spark):
-    rng = np.random.default_rng(8)
-    cells = sorted({tuple(int(v) for v in row) for row in rng.integers(-4, 5, (120, 5))})
-    frame = spark.createDataFrame([(list(c),) for c in cells], "cell array<long>")
-    found = {(tuple(r[0]), tuple(r[1])) for r in campaigns._near_cells(frame, 5).collect()}
-    gap = lambda a, b: sum(max(0, abs(x - y) - 1) ** 2 for x, y in zip(a, b))
-    assert found == {(a, b) for a, b in itertools.combinations_with_replacement(cells, 2) if gap(a, b) <= 5}
