@@ -342,10 +342,12 @@ ORACLE["dbscan_params"] = with_ev(
     f"SELECT n, {rnd('eps', 6)} AS eps, min_samples FROM params", INTEL, FEATURES, PARAMS
 )
 ORACLE["ip_campaigns"] = with_ev("SELECT * FROM campaigns", INTEL, FEATURES, SCALED, PARAMS, CAMPAIGNS)
+WIDE = "params AS (SELECT 1.3::DOUBLE AS eps, 5 AS min_samples)"
+ORACLE["ip_campaigns_wide"] = with_ev("SELECT * FROM campaigns", INTEL, FEATURES, SCALED, WIDE, CAMPAIGNS)
 ORACLE["campaign_members"] = with_ev(
     """SELECT campaign_cluster, cluster_label, count(*) OVER (PARTITION BY campaign_cluster) AS members, ip_address
     FROM campaigns WHERE campaign_cluster >= 0""",
-    INTEL, FEATURES, SCALED, PARAMS, CAMPAIGNS,
+    INTEL, FEATURES, SCALED, WIDE, CAMPAIGNS,
 )
 
 # Scoring.
@@ -733,8 +735,7 @@ ORACLE["append_run_log"] = with_scores(
     BASELINE,
 )
 
-# Streams: every minute with events, and the sessions that the watermark, ten minutes behind
-# the last event, has made final.
+# Streams: every minute with events, and every session of the closed input.
 ORACLE["stream_login_frequency"] = with_ev(
     """SELECT minute, c AS events, c > limit_ AS is_spike FROM (
       SELECT date_trunc('minute', parsed_time) AS minute, count(*) AS c FROM ev GROUP BY 1),
@@ -746,7 +747,6 @@ ORACLE["stream_login_frequency"] = with_ev(
 )
 ORACLE["stream_sessions"] = with_ev(
     """SELECT ip_address, min(parsed_time) AS session_start, max(parsed_time) AS session_end, count(*) AS event_count
-    FROM linked GROUP BY ip_address, ordinal
-    HAVING max(parsed_time) + INTERVAL 30 MINUTE <= (SELECT max(parsed_time) - INTERVAL 10 MINUTE FROM ev)""",
+    FROM linked GROUP BY ip_address, ordinal""",
     SESSIONS,
 )

@@ -32,9 +32,12 @@ from logsleuth.streaming import jobs
 
 # Functions that run inside tasks travel with the job, so that the queries also work
 # where the package is not installed on the executors.
-for module in (anomaly, behaviour, schema):
+for module in (anomaly, behaviour, campaigns, jobs, schema):
     cloudpickle.register_pickle_by_value(module)
 
+# Radius of the campaigns that are checked besides those of the default radius.
+WIDE_EPS = 1.3
+
 EVENT_COLUMNS = (
     "source_file line_number timestamp_str parsed_time event ip_address username process host message"
 ).split()
@@ -97,8 +100,13 @@ def earlier_blocks(e):
     )
 
 
-def grouped(e):
-    return campaigns.ip_campaigns(features.ip_features(e), features.first_seen(e))
+def grouped(e, **options):
+    return campaigns.ip_campaigns(features.ip_features(e), features.first_seen(e), **options)
+
+
+def grouped_wide(e):
+    """Campaigns within a radius at which the given events have several."""
+    return grouped(e, eps=WIDE_EPS, min_samples=campaigns.MIN_SAMPLES)
 
 
 def on_profiles(operator):
@@ -239,9 +247,9 @@ def model_results(e):
 
 
 def event_stream(spark, sf_dir):
+    """The ``events`` table as a stream, be it a folder or, found by a pattern, a single file."""
     layout = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    files = spark.readStream.schema(layout).option("pathGlobFilter", "events.parquet")
-    return from_event_table(files.parquet(sf_dir))
+    return from_event_table(spark.readStream.schema(layout).parquet(f"{sf_dir}/events.parque[t]"))
 
 
 def streamed_lines(spark, sf_dir):
@@ -256,8 +264,7 @@ def streamed_frequency(spark, sf_dir):
 
 
 def streamed_sessions(spark, sf_dir):
-    stream = jobs.session_stream(event_stream(spark, sf_dir))
-    return jobs.run_available(stream, scratch(spark, "sessions"))
+    return jobs.run_sessions(event_stream(spark, sf_dir), scratch(spark, "sessions"))
 
 
 QUERIES = {
@@ -330,7 +337,8 @@ QUERIES = {
     ),
     "dbscan_params": on_features(lambda f: rounded(campaigns.dbscan_params(f), "eps")),
     "ip_campaigns": on_events(grouped),
-    "campaign_members": on_events(lambda e: reports.campaign_members(grouped(e))),
+    "ip_campaigns_wide": on_events(grouped_wide),
+    "campaign_members": on_events(lambda e: reports.campaign_members(grouped_wide(e))),
     "user_observations": on_events(behaviour.user_observations),
     "user_state_path": on_events(behaviour.user_state_path),
     "user_profiles": on_profiles(lambda e, p: p),

@@ -1,9 +1,11 @@
 """Streaming forms against their batch counterparts, with data arriving in several files."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
+from checks import queries
 from logsleuth.operators import chains, reports, sessions
 from logsleuth.sources import tables, text_logs
 from logsleuth.streaming import jobs
@@ -44,16 +46,66 @@ def test_frequency_of_a_closed_input(spark, make_events, tmp_path, rows_of):
     assert rows_of(got, "minute", "events", "is_spike") == want
 
 
-def test_sessions_match_batch(spark, make_events, tmp_path, rows_of):
+COLUMNS = ("ip_address", "session_start", "session_end", "event_count")
+
+
+def batch_sessions(events):
+    """Sessions of the batch operator with the columns of the stream."""
+    end = F.timestamp_micros(F.unix_micros(F.col("session_start").cast("timestamp")) + F.round(F.col("duration_seconds") * 1e6).cast("long"))
+    return sessions.sessions(events).select("ip_address", "session_start", end.cast("timestamp_ntz").alias("session_end"), "event_count")
+
+
+def test_sessions_of_a_closed_input(spark, make_events, tmp_path, rows_of):
     data = [{"ip": "a", "at": t} for t in (0, 10, 1810, 3611, 9000)]
     data += [{"ip": "b", "at": 10 * i} for i in range(50)] + [{"ip": "z", "at": 40000}]
     stream = event_files(spark, make_events, str(tmp_path), data, 4)
-    got = rows_of(
-        jobs.run_available(jobs.session_stream(stream), str(tmp_path / "out")), "ip_address", "session_start", "event_count"
-    )
-    batch = sessions.sessions(make_events(data)).filter("ip_address != 'z'")
-    assert got == rows_of(batch, "ip_address", "session_start", "event_count")
-    assert [n for ip, _, n in got if ip == "a"] == [3, 1, 1]
+    got = rows_of(jobs.run_sessions(stream, str(tmp_path / "out")), *COLUMNS)
+    assert got == rows_of(batch_sessions(make_events(data)), *COLUMNS)
+    assert [r[3] for r in got if r[0] == "a"] == [3, 1, 1] and [r[3] for r in got if r[0] == "z"] == [1]
+
+
+def test_open_sessions_wait_for_the_next_run(spark, make_events, tmp_path, rows_of):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    first = [{"ip": "a", "at": t} for t in (0, 600, 5000)] + [{"ip": "b", "at": 5000}]
+    second = [{"ip": "a", "at": 6000}, {"ip": "b", "at": 6801}, {"ip": "b", "at": 1.5}]  # the last one comes too late
+    make_events(first).write.parquet(folder)
+    stream = lambda: spark.readStream.schema(make_events([]).schema).parquet(folder)
+    counts = lambda table: [(r[0], r[3]) for r in rows_of(table, *COLUMNS)]
+    assert counts(jobs.run_sessions(stream(), out, close=False)) == [("a", 2)]
+    make_events(second).write.mode("append").parquet(folder)
+    assert counts(jobs.run_sessions(stream(), out, close=False)) == [("a", 2)]
+    assert counts(jobs.run_sessions(stream(), out)) == [("a", 2), ("a", 2), ("b", 1), ("b", 1)]
+
+
+def test_a_hot_address_is_combined_before_the_shuffle(spark, make_events):
+    events = make_events([{"ip": "Internal", "at": i} for i in range(4000)], partitions=3)
+    rows = events.select(F.col("parsed_time").cast("timestamp").alias("at"), "ip_address", F.lit(False).alias("closing"))
+    pieces = jobs._pieces(rows, 1_800_000_000).collect()
+    assert len(pieces) <= 3 * 4 and sum(r.n for r in pieces) == 4000
+
+
+def test_merging_pieces_in_any_order():
+    rng = random.Random(1)
+    for _ in range(300):
+        times = [rng.randint(0, 400) for _ in range(rng.randint(1, 30))]
+        want = jobs.merge_pieces([(t, t, 1) for t in times], 10)
+        rng.shuffle(times)
+        state = []
+        while times:
+            part, times = times[:3], times[3:]
+            slots = {}
+            for t in part:
+                slots.setdefault(t // 10, []).append(t)
+            state = jobs.merge_pieces(state + [(min(v), max(v), len(v)) for v in slots.values()], 10)
+        assert state == want
+
+
+def test_event_stream_reads_files_and_folders(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for n, folder in enumerate((str(tmp_path), "/root/testdata/sf0.001")):
+        stream = queries.event_stream(spark, folder).select("line_number")
+        assert jobs.run_available(stream, str(tmp_path / f"out{n}")).count() == events.count()
 
 
 def test_ingest_matches_batch(spark, tmp_path, rows_of):
