@@ -24,7 +24,8 @@ from logsleuth.operators import (
     tamper,
 )
 from logsleuth.schema import IP_FEATURE_COLUMNS
-from logsleuth.operators.distribute import shared_dir
+from logsleuth.operators.activity import activity_of
+from logsleuth.operators.distribute import shared_dir, store
 from logsleuth.plans import analysis
 from logsleuth.sources import tables, text_logs
 from logsleuth.sources.event_table import auth_events, auth_lines, from_event_table
@@ -60,13 +61,28 @@ def on_intel(*columns):
     return on_events(lambda e: enrich.ip_intel(e).select(*columns))
 
 
-def rated(e):
+def rated(e, known):
     """Risk scores with the heuristic as anomaly input, which SQL can follow."""
-    return scoring.risk_scores(e, anomaly.heuristic_anomaly(features.ip_activity(e)))
+    per_ip = features.ip_activity(e, activity=known)
+    return scoring.risk_scores(e, anomaly.heuristic_anomaly(per_ip), activity=known)
+
+
+def on_rated(operator):
+    """Operators of events, their addresses, and the stored scores of these."""
+
+    def run(e):
+        known = activity_of(e)
+        return operator(e, known, store(rated(e, known)))
+
+    return on_events(run)
 
 
 def on_scores(operator):
-    return on_events(lambda e: operator(rated(e)))
+    def run(e):
+        known = activity_of(e)
+        return operator(rated(e, known))
+
+    return on_events(run)
 
 
 def on_features(operator):
@@ -78,19 +94,19 @@ def with_text(df, column, separator=" → "):
     return df.withColumn(column, F.array_join(column, separator))
 
 
-def chain_overview(e):
+def chain_overview(e, known, scores):
     """Summary of the rated chains with the number of their edges."""
-    made = chains.attack_chains(e, rated(e))
+    made = chains.attack_chains(e, scores, known.addresses)
     edges = made["edges"].groupBy("ip_address").agg(F.count("*").alias("edge_count"))
     return with_text(
         made["summary"].join(edges, "ip_address", "left").na.fill(0, ["edge_count"]), "phases_reached"
     )
 
 
-def earlier_blocks(e):
+def earlier_blocks(e, addresses):
     """A history in which addresses with fifteen failures are blocked already."""
     return (
-        detect.failures_per_ip(e)
+        detect.failures_per_ip(e, addresses)
         .filter(F.col("failed_count") >= 15)
         .select(
             F.col("ip_address").alias("ip"),
@@ -113,16 +129,16 @@ def on_profiles(operator):
     return on_events(lambda e: operator(e, behaviour.user_profiles(e)))
 
 
-def summary_row(e):
-    scores = rated(e)
+def summary_row(e, known, scores):
     return reports.executive_summary(
         e,
         scores,
-        detect.bruteforce(e),
-        detect.compromise_pattern(e),
-        anomaly.heuristic_anomaly(features.ip_activity(e)),
-        chains.chain_summary(e, scores),
+        detect.bruteforce(e, addresses=known.addresses),
+        detect.compromise_pattern(e, addresses=known.addresses),
+        anomaly.heuristic_anomaly(features.ip_activity(e, activity=known)),
+        chains.chain_summary(e, scores, known.addresses),
         sessions.sessions(e),
+        known,
     )
 
 
@@ -191,14 +207,14 @@ def night_overlay(e):
     )
 
 
-def score_overlay(e):
-    updates = rated(e).select(
+def score_overlay(e, known, scores):
+    updates = scores.select(
         "ip_address",
         F.col("score").alias("risk_score"),
         F.col("level").alias("severity_level"),
         F.lit("dropped").alias("session_id"),
     )
-    return tables.overlay_by_ip(e, updates).select(
+    return tables.overlay_by_ip(e, updates, known.addresses).select(
         "line_number", "ip_address", "risk_score", "severity_level", "session_id"
     )
 
@@ -206,8 +222,14 @@ def score_overlay(e):
 def run_log(spark, sf_dir):
     path = scratch(spark, "runs")
     e = events(spark, sf_dir)
+    known = activity_of(e)
     run = tables.analysis_run(
-        e, detect.bruteforce(e), rated(e), "events", {"z_score": 2.5, "night_end": 5}
+        e,
+        detect.bruteforce(e, addresses=known.addresses),
+        rated(e, known),
+        "events",
+        {"z_score": 2.5, "night_end": 5},
+        known.addresses,
     )
     tables.append_run_log(run, path)
     return spark.read.parquet(path).drop("run_time")
@@ -217,8 +239,9 @@ def action_log(spark, sf_dir):
     """Actions of a first and a second analysis of the same events, as stored."""
     path = scratch(spark, "actions")
     e = events(spark, sf_dir)
-    tables.append_actions(response.response_actions(rated(e)), path)
-    tables.append_actions(response.response_actions(rated(e), tables.read_actions(spark, path)), path)
+    scores = store(rated(e, activity_of(e)))
+    tables.append_actions(response.response_actions(scores), path)
+    tables.append_actions(response.response_actions(scores, tables.read_actions(spark, path)), path)
     return tables.read_actions(spark, path).drop("time")
 
 
@@ -296,7 +319,7 @@ QUERIES = {
     "parse_simple_profile": on_lines(text_logs.parse_simple_profile),
     "write_events": stored,
     "overlay_by_event": on_events(night_overlay),
-    "overlay_by_ip": on_events(score_overlay),
+    "overlay_by_ip": on_rated(score_overlay),
     "append_run_log": run_log,
     # Detection and enrichment.
     "adaptive_threshold": on_events(
@@ -355,24 +378,26 @@ QUERIES = {
     "severity_ranking": on_scores(reports.severity_ranking),
     "top_factor": on_scores(scoring.top_factor),
     "top_factor_breakdown": on_scores(reports.top_factor_breakdown),
-    "kpi_counts": on_events(lambda e: reports.kpi_counts(e, rated(e))),
-    "response_actions": on_events(lambda e: response.response_actions(rated(e), earlier_blocks(e))),
+    "kpi_counts": on_rated(lambda e, known, s: reports.kpi_counts(e, s, known.addresses)),
+    "response_actions": on_rated(
+        lambda e, known, s: response.response_actions(s, earlier_blocks(e, known.addresses))
+    ),
     "action_log": action_log,
-    "export_scored_csv": on_events(
-        lambda e: tables.scored_events(e, rated(e)).drop("raw_line")
+    "export_scored_csv": on_rated(
+        lambda e, known, s: tables.scored_events(e, s, known.addresses).drop("raw_line")
     ),
     # Forensics.
     "chain_nodes": on_events(lambda e: chains.chain_nodes(e).drop("_row")),
     "chain_edges": on_events(lambda e: chains.chain_edges(chains.chain_nodes(e))),
     "chain_summary": on_events(lambda e: with_text(chains.chain_summary(e), "phases_reached")),
-    "attack_chains": on_events(chain_overview),
+    "attack_chains": on_rated(chain_overview),
     "entropy_series": on_events(tamper.entropy_series),
     "tamper_regions": on_events(tamper.tamper_regions),
     "tamper_summary": on_events(tamper.tamper_summary),
     "link_sessions": on_events(lambda e: sessions.link_sessions(e).drop("raw_line")),
     "pivot_points": on_events(pivots.pivot_points),
-    "ip_narrative": on_events(
-        lambda e: response.ip_narrative(rated(e), chains.chain_summary(e, rated(e)))
+    "ip_narrative": on_rated(
+        lambda e, known, s: response.ip_narrative(s, chains.chain_summary(e, s, known.addresses))
     ),
     # Reports.
     "event_type_counts": on_events(reports.event_type_counts),
@@ -393,7 +418,7 @@ QUERIES = {
         lambda e: rounded(reports.tactic_counts(enrich.with_technique(e)), "percent", "of_largest")
     ),
     "geo_breakdown": on_events(lambda e: rounded(reports.geo_breakdown(enrich.ip_intel(e)), "avg_risk")),
-    "executive_summary": on_events(lambda e: rounded(summary_row(e), "duration_hours")),
+    "executive_summary": on_rated(lambda *known: rounded(summary_row(*known), "duration_hours")),
     # Streams.
     "stream_ingest": streamed_lines,
     "stream_login_frequency": streamed_frequency,

@@ -129,15 +129,22 @@ def chain_edges(nodes: DataFrame, block: int | None = None) -> DataFrame:
     )
 
 
-def chain_summary(events: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+def chain_summary(
+    events: DataFrame, scores: DataFrame | None = None, addresses: DataFrame | None = None
+) -> DataFrame:
     """Phases each address reached, in kill-chain order, and how far it got.
 
-    Ratings are applied to the one row per address, after the events were combined.
+    Ratings are applied to the one row per address, after the events were combined. With the
+    ``addresses`` of an Activity the events are not read.
     """
-    per_ip = events.groupBy("ip_address").agg(
-        F.count("*").alias("node_count"),
-        *[F.max(phase_of() == p).alias(p) for p in PHASE_ORDER],
-    )
+    if addresses is None:
+        per_ip = events.groupBy("ip_address").agg(
+            F.count("*").alias("node_count"),
+            *[F.max(phase_of() == p).alias(p) for p in PHASE_ORDER],
+        )
+    else:
+        reached = [(F.col(f"phase_{p.lower()}") > 0).alias(p) for p in PHASE_ORDER]
+        per_ip = addresses.select("ip_address", F.col("total_events").alias("node_count"), *reached)
     reached = only_rated(per_ip, scores)
     furthest = F.greatest(
         *[F.when(F.col(p), F.lit(i)).otherwise(0) for i, p in enumerate(PHASE_ORDER)]
@@ -153,11 +160,13 @@ def chain_summary(events: DataFrame, scores: DataFrame | None = None) -> DataFra
     )
 
 
-def attack_chains(events: DataFrame, scores: DataFrame | None = None) -> dict[str, DataFrame]:
+def attack_chains(
+    events: DataFrame, scores: DataFrame | None = None, addresses: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """Node, edge and summary tables of the chains of all rated addresses."""
     nodes = chain_nodes(events, scores)
     return {
         "nodes": nodes.drop("_row"),
         "edges": chain_edges(nodes),
-        "summary": chain_summary(events, scores),
+        "summary": chain_summary(events, scores, addresses),
     }

@@ -18,7 +18,10 @@ STUFFING_RATIO, STUFFING_USERS = 0.5, 2
 COMPROMISE_TEXT = "FAILED → SUCCESS (Compromise Likely)"
 
 
-def failures_per_ip(events: DataFrame) -> DataFrame:
+def failures_per_ip(events: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
+    """Failures of each failing address, from the events or from their ``addresses``."""
+    if addresses is not None:
+        return addresses.filter("failed_count > 0").select("ip_address", "failed_count")
     return (
         events.filter(F.col("event") == FAILED)
         .groupBy("ip_address")
@@ -26,12 +29,14 @@ def failures_per_ip(events: DataFrame) -> DataFrame:
     )
 
 
-def adaptive_threshold(events: DataFrame, z_score: float = 2.5) -> DataFrame:
+def adaptive_threshold(
+    events: DataFrame, z_score: float = 2.5, addresses: DataFrame | None = None
+) -> DataFrame:
     """One row: mean and deviation of failures per failing address, and the threshold.
 
     A single failing address has no sample deviation; the smallest one is used then.
     """
-    stats = failures_per_ip(events).agg(
+    stats = failures_per_ip(events, addresses).agg(
         F.avg("failed_count").alias("mean"), F.stddev_samp("failed_count").alias("sigma")
     )
     none = F.col("mean").isNull()
@@ -45,20 +50,23 @@ def adaptive_threshold(events: DataFrame, z_score: float = 2.5) -> DataFrame:
     )
 
 
-def _baseline(events: DataFrame, z_score: float):
-    return adaptive_threshold(events, z_score).select(F.struct("mean", "sigma", "threshold")).scalar()
+def _baseline(events: DataFrame, z_score: float, addresses: DataFrame | None):
+    return adaptive_threshold(events, z_score, addresses).select(F.struct("mean", "sigma", "threshold")).scalar()
 
 
-def bruteforce(events: DataFrame, z_score: float = 2.5) -> DataFrame:
-    """Failing addresses with threshold, flag and confidence."""
+def bruteforce(events: DataFrame, z_score: float = 2.5, addresses: DataFrame | None = None) -> DataFrame:
+    """Failing addresses with threshold, flag and confidence.
+
+    ``addresses``, here and below, are those of an Activity: then no events are read.
+    """
     base = F.col("_base")
     confidence = F.least(
         normal_cdf(F.col("failed_count").cast("double"), base["mean"], base["sigma"]),
         F.lit(MAX_CONFIDENCE),
     )
     return (
-        failures_per_ip(events)
-        .withColumn("_base", _baseline(events, z_score))
+        failures_per_ip(events, addresses)
+        .withColumn("_base", _baseline(events, z_score, addresses))
         .select(
             "ip_address",
             "failed_count",
@@ -73,16 +81,21 @@ def night_logins(events: DataFrame, night_end: int = 5) -> DataFrame:
     return events.filter(is_night_login(night_end))
 
 
-def credential_stuffing(events: DataFrame) -> DataFrame:
+def credential_stuffing(events: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
     """Failing addresses by how many different users they tried."""
-    return (
-        events.filter(F.col("event") == FAILED)
-        .groupBy("ip_address")
-        .agg(
+    if addresses is None:
+        tried = events.filter(F.col("event") == FAILED).groupBy("ip_address").agg(
             F.count_distinct("username").alias("unique_users"),
             F.count("username").alias("total_attempts"),
         )
-        .withColumn(
+    else:
+        tried = addresses.filter("failed_count > 0").select(
+            "ip_address",
+            F.col("failing_users").alias("unique_users"),
+            F.coalesce("failed_with_user", F.lit(0)).alias("total_attempts"),
+        )
+    return (
+        tried.withColumn(
             "spray_ratio", round_half_even(F.col("unique_users") / F.col("total_attempts"), 3)
         )
         .withColumn(
@@ -92,19 +105,22 @@ def credential_stuffing(events: DataFrame) -> DataFrame:
     )
 
 
-def compromise_pattern(events: DataFrame, z_score: float = 2.5) -> DataFrame:
+def compromise_pattern(
+    events: DataFrame, z_score: float = 2.5, addresses: DataFrame | None = None
+) -> DataFrame:
     """Addresses with many failures whose first failure precedes their last success."""
     failed, success = F.col("event") == FAILED, F.col("event") == SUCCESS
-    return (
-        events.filter(failed | success)
-        .groupBy("ip_address")
-        .agg(
+    if addresses is None:
+        logins = events.filter(failed | success).groupBy("ip_address").agg(
             failed_count().alias("failed_count"),
             success_count().alias("success_count"),
             F.min(F.when(failed, F.col("parsed_time"))).alias("first_fail"),
             F.max(F.when(success, F.col("parsed_time"))).alias("last_success"),
         )
-        .withColumn("_base", _baseline(events, z_score))
+    else:
+        logins = addresses.select("ip_address", "failed_count", "success_count", "first_fail", "last_success")
+    return (
+        logins.withColumn("_base", _baseline(events, z_score, addresses))
         .filter(
             (F.col("failed_count") >= F.col("_base.threshold"))
             & (F.col("success_count") > 0)
@@ -115,12 +131,13 @@ def compromise_pattern(events: DataFrame, z_score: float = 2.5) -> DataFrame:
     )
 
 
-def multi_host_access(events: DataFrame) -> DataFrame:
-    return (
-        events.groupBy("ip_address")
-        .agg(F.count_distinct("host").alias("hosts_accessed"), F.count("*").alias("total_events"))
-        .filter(F.col("hosts_accessed") > 1)
-    )
+def multi_host_access(events: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
+    """Addresses seen on more than one host."""
+    if addresses is None:
+        addresses = events.groupBy("ip_address").agg(
+            F.count_distinct("host").alias("hosts_accessed"), F.count("*").alias("total_events")
+        )
+    return addresses.select("ip_address", "hosts_accessed", "total_events").filter(F.col("hosts_accessed") > 1)
 
 
 def bruteforce_fixed(events: DataFrame, failed_threshold: int = 3) -> DataFrame:

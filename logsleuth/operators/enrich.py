@@ -8,7 +8,7 @@ data can take the place of each lookup.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logsleuth.functions.columns import digest_mod, failed_count, round_half_even
-from logsleuth.operators.distribute import skew_join
+from logsleuth.operators.distribute import skew_join, store
 from logsleuth.schema import INTERNAL_IP, OTHER
 
 # Places an address can hash to (country, city, latitude, longitude).
@@ -174,18 +174,25 @@ def with_description(events: DataFrame) -> DataFrame:
     return events.withColumn("mitre_description", _by_event({event: row[3] for event, row in TECHNIQUES.items()}))
 
 
-def ip_intel(events: DataFrame) -> DataFrame:
-    """One row per address: event counts, place, risk, reputation and network."""
-    counts = events.groupBy("ip_address").agg(
-        F.count("*").alias("total_events"), failed_count().alias("failed_count")
-    )
+def ip_intel(events: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
+    """One row per address: event counts, place, risk, reputation and network.
+
+    ``addresses`` (total_events and failed_count of each) saves the pass over the events.
+    """
+    if addresses is None:
+        counts = events.groupBy("ip_address").agg(
+            F.count("*").alias("total_events"), failed_count().alias("failed_count")
+        )
+    else:
+        counts = addresses.select("ip_address", "total_events", "failed_count")
     return with_asn(with_reputation(with_geo_risk(with_geo(counts))))
 
 
 def enrich_events(events: DataFrame, intel: DataFrame | None = None) -> DataFrame:
     """Events with all intelligence columns.
 
-    ``intel`` may be any per-address table with the columns of :func:`ip_intel`.
+    ``intel`` may be any per-address table with the columns of :func:`ip_intel`. It is read
+    several times and should be stored; without it one is made and stored.
     """
-    intel = (ip_intel(events) if intel is None else intel).drop("failed_count")
+    intel = (store(ip_intel(events)) if intel is None else intel).drop("failed_count")
     return with_technique(skew_join(events, intel, ["ip_address"], "total_events"))

@@ -2,36 +2,24 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from logsleuth.functions.columns import failed_count, is_night_login, micros, success_count
+from logsleuth.functions.columns import micros
+from logsleuth.operators.activity import HONEY_USERS, Activity, addresses_of
 from logsleuth.operators.distribute import first_events
 from logsleuth.operators.enrich import with_geo, with_geo_risk, with_reputation
 from logsleuth.schema import IP_FEATURE_COLUMNS
 
-# Decoy accounts nobody has a legitimate reason to use.
-HONEY_USERS = ["admin_backup", "db_service_acct", "svc_forensics"]
-
 MINUTE = 60_000_000
 
 
-def ip_activity(events: DataFrame, honey_users: list[str] = HONEY_USERS) -> DataFrame:
+def ip_activity(
+    events: DataFrame, honey_users: list[str] = HONEY_USERS, activity: Activity | None = None
+) -> DataFrame:
     """Counts, time span and intelligence of each address, in a single aggregation.
 
-    Intelligence is derived from the address and its failures, so no join is needed.
+    Intelligence is derived from the address and its failures, so no join is needed. With
+    ``activity`` nothing is read of the events, and its decoy users count.
     """
-    counts = events.groupBy("ip_address").agg(
-        F.count("*").alias("total_events"),
-        failed_count().alias("failed_count"),
-        success_count().alias("success_count"),
-        F.count_if(is_night_login()).alias("night_logins"),
-        F.count_distinct("username").alias("unique_users"),
-        F.avg(F.hour("parsed_time")).alias("hour_mean"),
-        F.coalesce(F.stddev_samp(F.hour("parsed_time")), F.lit(0.0)).alias("hour_std"),
-        F.min("parsed_time").alias("first_seen"),
-        F.max("parsed_time").alias("last_seen"),
-        F.max(F.col("username").isin(honey_users)).alias("honey_contact"),
-    )
-    span = (micros("last_seen") - micros("first_seen")) / 1e6
-    return with_reputation(with_geo_risk(with_geo(counts))).withColumn("span_seconds", span)
+    return with_reputation(with_geo_risk(with_geo(addresses_of(events, activity, honey_users))))
 
 
 def _gaps(events: DataFrame) -> DataFrame:
@@ -71,7 +59,7 @@ def inter_event_times(events: DataFrame) -> DataFrame:
     )
 
 
-def ip_features(events: DataFrame) -> DataFrame:
+def ip_features(events: DataFrame, activity: Activity | None = None) -> DataFrame:
     """Address and its thirteen features.
 
     Events at the very same time are gaps of zero. They are not materialised: their
@@ -85,7 +73,7 @@ def ip_features(events: DataFrame) -> DataFrame:
         every, F.lit(1)
     )
     return (
-        ip_activity(events)
+        ip_activity(events, activity=activity)
         .join(inter_event_times(events), "ip_address", "left")
         .withColumns(
             {

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from logsleuth.functions.columns import failed_count, micros, success_count, wall_clock
+from logsleuth.operators.activity import Activity
 from logsleuth.operators.distribute import global_index, with_previous
 from logsleuth.operators.scoring import LEVEL_NAMES, factor_table
 from logsleuth.schema import EVENT_ORDER, FAILED, INTERNAL_IP
@@ -57,8 +58,11 @@ def timeline(session_events: DataFrame, block: int | None = None) -> DataFrame:
     return marked.withColumn("session_changed", changed).drop("_before").orderBy("position")
 
 
-def kpi_counts(events: DataFrame, scores: DataFrame) -> DataFrame:
-    """One row: events, failures, successes, rated and distinct addresses."""
+def kpi_counts(events: DataFrame, scores: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
+    """One row: events, failures, successes, rated and distinct addresses.
+
+    ``addresses``, those of an Activity, save the pass over the events.
+    """
     rated = scores.agg(
         F.struct(
             F.count_if(F.col("level") == "CRITICAL").alias("critical"),
@@ -66,17 +70,17 @@ def kpi_counts(events: DataFrame, scores: DataFrame) -> DataFrame:
         )
     ).scalar()
     ip = F.col("ip_address")
-    return (
-        events.groupBy("ip_address")
-        .agg(
-            F.count("*").alias("total"),
-            failed_count().alias("failed"),
-            success_count().alias("success"),
+    if addresses is None:
+        addresses = events.groupBy("ip_address").agg(
+            F.count("*").alias("total_events"),
+            failed_count().alias("failed_count"),
+            success_count().alias("success_count"),
         )
-        .agg(
-            F.sum("total").alias("total"),
-            F.sum("failed").alias("failed"),
-            F.sum("success").alias("success"),
+    return (
+        addresses.agg(
+            F.coalesce(F.sum("total_events"), F.lit(0)).alias("total"),
+            F.coalesce(F.sum("failed_count"), F.lit(0)).alias("failed"),
+            F.coalesce(F.sum("success_count"), F.lit(0)).alias("success"),
             F.count("*").alias("all_ips"),
             F.count_if(ip != INTERNAL_IP).alias("unique_ips"),
         )
@@ -261,8 +265,9 @@ def executive_summary(
     anomaly: DataFrame,
     chains: DataFrame,
     sessions: DataFrame,
+    activity: Activity | None = None,
 ) -> DataFrame:
-    """One row with the headline numbers of an analysis."""
+    """One row with the headline numbers of an analysis; with ``activity`` from its tables."""
     levels = scores.agg(
         F.struct(*[F.count_if(F.col("level") == n).alias(n.lower()) for n in LEVEL_NAMES])
     ).scalar()
@@ -272,11 +277,15 @@ def executive_summary(
     worst = F.lit("LOW")
     for name in reversed(LEVEL_NAMES[:-1]):
         worst = F.when(F.col(f"_levels.{name.lower()}") > 0, name).otherwise(worst)
+    total, first, last = F.count("*"), "parsed_time", "parsed_time"
+    if activity is not None:
+        total, first, last = F.coalesce(F.sum("total_events"), F.lit(0)), "first_seen", "last_seen"
     return (
-        events.agg(
-            F.count("*").alias("total_events"),
-            F.min("parsed_time").alias("window_start"),
-            F.max("parsed_time").alias("window_end"),
+        (events if activity is None else activity.cells)
+        .agg(
+            total.alias("total_events"),
+            F.min(first).alias("window_start"),
+            F.max(last).alias("window_end"),
             F.count_distinct("username").alias("users"),
         )
         .withColumns(

@@ -8,7 +8,8 @@ from logsleuth.functions.columns import (
     round_half_even,
     success_count,
 )
-from logsleuth.operators.features import HONEY_USERS, ip_activity
+from logsleuth.operators.activity import HONEY_USERS, Activity
+from logsleuth.operators.features import ip_activity
 
 # Factor column, display name and weight, in display order.
 FACTORS = [
@@ -42,12 +43,15 @@ def _text(template: str, *columns) -> Column:
     return F.format_string(template, *columns)
 
 
-def risk_factors(events: DataFrame, anomaly: DataFrame, honey_users: list[str] = HONEY_USERS):
+def risk_factors(
+    events: DataFrame, anomaly: DataFrame, honey_users: list[str] = HONEY_USERS, activity: Activity | None = None
+) -> DataFrame:
     """One row per address with the raw points and description of every factor.
 
-    ``anomaly`` has (ip_address, anomaly_score); addresses it lacks score 0.
+    ``anomaly`` has (ip_address, anomaly_score); addresses it lacks score 0. With ``activity``
+    the events are not read.
     """
-    ips = ip_activity(events, honey_users).join(
+    ips = ip_activity(events, honey_users, activity).join(
         anomaly.select("ip_address", "anomaly_score"), "ip_address", "left"
     )
     failed, success = F.col("failed_count"), F.col("success_count")
@@ -93,7 +97,9 @@ def risk_factors(events: DataFrame, anomaly: DataFrame, honey_users: list[str] =
     )
 
 
-def risk_scores(events: DataFrame, anomaly: DataFrame, honey_users: list[str] = HONEY_USERS):
+def risk_scores(
+    events: DataFrame, anomaly: DataFrame, honey_users: list[str] = HONEY_USERS, activity: Activity | None = None
+) -> DataFrame:
     """Score, level and factor list per address; contact with a decoy user overrides all."""
     total = sum((F.col(key)["raw"] * weight for key, _, weight in FACTORS), F.lit(0.0))
     honey = F.col("honey_contact")
@@ -119,7 +125,7 @@ def risk_scores(events: DataFrame, anomaly: DataFrame, honey_users: list[str] =
         )
     )
     return (
-        risk_factors(events, anomaly, honey_users)
+        risk_factors(events, anomaly, honey_users, activity)
         .withColumn("score", F.when(honey, HONEY_SCORE).otherwise(round_half_even(total, 2)))
         .withColumn("level", level_of(F.col("score")))
         .withColumn("factors", F.when(honey, decoy).otherwise(listed))

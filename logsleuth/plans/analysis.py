@@ -18,13 +18,14 @@ from logsleuth.operators import (
     sessions,
     tamper,
 )
+from logsleuth.operators.activity import Activity, activity_of
 from logsleuth.operators.distribute import cut, store
 from logsleuth.sources.text_logs import parse_simple_profile, read_auth_logs
 
 
-def run_models(events: DataFrame) -> dict[str, DataFrame]:
+def run_models(events: DataFrame, activity: Activity | None = None) -> dict[str, DataFrame]:
     """Anomalies, campaigns and user profiles; the feature table is made only once."""
-    per_ip = cut(features.ip_features(events))
+    per_ip = store(features.ip_features(events, activity))
     return {
         "features": per_ip,
         "anomaly": anomaly.isolation_forest(per_ip),
@@ -36,27 +37,29 @@ def run_models(events: DataFrame) -> dict[str, DataFrame]:
 def analyze(events: DataFrame, history: DataFrame | None = None) -> dict[str, DataFrame]:
     """All result tables of the main analysis as DataFrames, by name.
 
-    ``events`` is read by many of them and should be a stored table, not a parse.
-    Tables several results are built on (scores, profiles, sessions) are checkpointed,
-    so they are computed once and survive the loss of executors.
+    ``events`` is read by many of them and should be a stored table, not a parse. What is
+    known of single addresses comes from one aggregation of the events. Tables several results
+    are built on are stored, so they are computed once and survive the loss of executors.
     """
-    models = run_models(events)
-    intel = enrich.ip_intel(events)
+    activity = activity_of(events)
+    addresses = activity.addresses
+    models = run_models(events, activity)
+    intel = store(enrich.ip_intel(events, addresses))
     enriched = enrich.enrich_events(events, intel)
-    scores = cut(scoring.risk_scores(events, models["anomaly"]))
-    attack = chains.attack_chains(events, scores)
+    scores = store(scoring.risk_scores(events, models["anomaly"], activity=activity))
+    attack = chains.attack_chains(events, scores, addresses)
     session_table = cut(sessions.sessions(events))
-    flagged = detect.bruteforce(events)
-    compromised = detect.compromise_pattern(events)
+    flagged = detect.bruteforce(events, addresses=addresses)
+    compromised = detect.compromise_pattern(events, addresses=addresses)
     profiles = models["user_profiles"]
     return {
         **models,
         "events": enriched,
         "bruteforce": flagged,
         "night_logins": detect.night_logins(events),
-        "credential_stuffing": detect.credential_stuffing(events),
+        "credential_stuffing": detect.credential_stuffing(events, addresses),
         "compromise_pattern": compromised,
-        "multi_host_access": detect.multi_host_access(events),
+        "multi_host_access": detect.multi_host_access(events, addresses),
         "scores": scores,
         "severity_summary": scoring.severity_summary(scores),
         "top_factor": scoring.top_factor(scores),
@@ -73,7 +76,7 @@ def analyze(events: DataFrame, history: DataFrame | None = None) -> dict[str, Da
         "tactic_counts": reports.tactic_counts(enriched),
         "geo_breakdown": reports.geo_breakdown(intel),
         "summary": reports.executive_summary(
-            events, scores, flagged, compromised, models["anomaly"], attack["summary"], session_table
+            events, scores, flagged, compromised, models["anomaly"], attack["summary"], session_table, activity
         ),
     }
 

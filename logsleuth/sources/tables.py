@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsleuth.operators.distribute import skew_join
+from logsleuth.operators.distribute import skew_join, store
 from logsleuth.schema import OVERLAY_DEFAULTS
 
 # Columns an address-wide update may not touch.
@@ -64,20 +64,30 @@ def overlay_by_event(events: DataFrame, updates: DataFrame, keys=("source_file",
     return _overlay(events, updates, keys, EVENT_FIELDS, lambda e, u: e.join(u, keys, "left"))
 
 
-def overlay_by_ip(events: DataFrame, updates: DataFrame) -> DataFrame:
-    """Set the given fields on all events of each address in ``updates``."""
-    counts = events.groupBy("ip_address").agg(F.count("*").alias("_events"))
+def _event_counts(events: DataFrame, addresses: DataFrame | None) -> DataFrame:
+    if addresses is not None:
+        return addresses.select("ip_address", F.col("total_events").alias("_events"))
+    return events.groupBy("ip_address").agg(F.count("*").alias("_events"))
+
+
+def overlay_by_ip(events: DataFrame, updates: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
+    """Set the given fields on all events of each address in ``updates``.
+
+    ``addresses``, those of an Activity, save a pass over the events to count them.
+    """
 
     def join(all_events, per_ip):
-        return skew_join(all_events, counts.join(per_ip, "ip_address"), ["ip_address"], "_events")
+        table = store(_event_counts(events, addresses).join(per_ip, "ip_address"))
+        return skew_join(all_events, table, ["ip_address"], "_events")
 
     return _overlay(events, updates, ["ip_address"], IP_FIELDS, join)
 
 
-def analysis_run(events, bruteforce, scores, log_file: str, config: dict) -> DataFrame:
+def analysis_run(events, bruteforce, scores, log_file: str, config: dict, addresses: DataFrame | None = None) -> DataFrame:
     """One row describing an analysis."""
     settings = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in config.items()]))
-    return events.agg(F.count("*").alias("total_events")).select(
+    counts = _event_counts(events, addresses).agg(F.coalesce(F.sum("_events"), F.lit(0)).alias("total_events"))
+    return counts.select(
         F.current_timestamp().alias("run_time"),
         F.lit(log_file).alias("log_file"),
         "total_events",
@@ -102,21 +112,26 @@ def read_actions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def scored_events(events: DataFrame, scores: DataFrame) -> DataFrame:
-    """Events with the score and level of their address, times as text."""
-    counts = events.groupBy("ip_address").agg(F.count("*").alias("_events"))
+def scored_events(events: DataFrame, scores: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
+    """Events with the score and level of their address, times as text.
+
+    ``addresses``, those of an Activity, save a pass over the events to count them.
+    """
     rated = scores.select(
         "ip_address", F.col("score").alias("risk_score"), F.col("level").alias("severity_level")
     )
+    table = store(_event_counts(events, addresses).join(rated, "ip_address"))
     return (
-        skew_join(events, counts.join(rated, "ip_address"), ["ip_address"], "_events")
+        skew_join(events, table, ["ip_address"], "_events")
         .na.fill({"risk_score": DEFAULT_SCORE, "severity_level": DEFAULT_LEVEL})
         .withColumn("parsed_time", F.date_format("parsed_time", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     )
 
 
-def export_scored_csv(events: DataFrame, scores: DataFrame, path: str) -> None:
-    scored_events(events, scores).write.mode("overwrite").option("header", True).csv(path)
+def export_scored_csv(
+    events: DataFrame, scores: DataFrame, path: str, addresses: DataFrame | None = None
+) -> None:
+    scored_events(events, scores, addresses).write.mode("overwrite").option("header", True).csv(path)
 
 
 def export_plain_csv(events: DataFrame, path: str) -> None:
