@@ -750,3 +750,95 @@ ORACLE["stream_sessions"] = with_ev(
     FROM linked GROUP BY ip_address, ordinal""",
     SESSIONS,
 )
+
+# The isolation forest: its draws are digests, so the same trees can be grown level by level.
+TREES, TREE_ROWS, LEVELS = 200, 256, 8
+
+
+def draw_of(text, part):
+    return f"CAST('0x' || substr(md5({text}), {1 + 7 * part}, 7) AS BIGINT)"
+
+
+def grown(level):
+    """Extent of every feature in every place of a level, its split, and the rows one level down."""
+    place = "tree || ':' || place"
+    return f"""
+extent_{level} AS MATERIALIZED (
+  SELECT tree, place, i, min(x) AS low, max(x) AS high, count(*) AS n
+  FROM rows_{level} JOIN long USING (ip_address) GROUP BY ALL
+), place_{level} AS MATERIALIZED (
+  SELECT tree, place, max(n) AS n, coalesce(list(i ORDER BY i) FILTER (low < high), []) AS usable FROM extent_{level} GROUP BY ALL
+), split_{level} AS MATERIALIZED (
+  SELECT p.tree, p.place, e.i, e.low + (e.high - e.low) * ({draw_of(place, 1).replace('tree', 'p.tree').replace('place', 'p.place')} / 268435456.0::DOUBLE) AS split
+  FROM place_{level} p JOIN tree_size s USING (tree) JOIN extent_{level} e ON e.tree = p.tree AND e.place = p.place
+    AND e.i = p.usable[{draw_of(place, 0).replace('tree', 'p.tree').replace('place', 'p.place')} % len(p.usable) + 1]
+  WHERE {level} < s.depth AND p.n > 1 AND len(p.usable) > 0
+), rows_{level + 1} AS MATERIALIZED (
+  SELECT r.tree, r.ip_address, 2 * r.place + CASE WHEN l.x <= s.split THEN 0 ELSE 1 END AS place
+  FROM rows_{level} r JOIN split_{level} s USING (tree, place) JOIN long l ON l.ip_address = r.ip_address AND l.i = s.i
+)"""
+
+
+def walked(level):
+    """All addresses one level further down, and what a leaf they end in adds to their path."""
+    return f"""
+ended_{level} AS MATERIALIZED (
+  SELECT w.ip_address, w.tree, {level} + CASE WHEN p.n <= 1 THEN 0.0::DOUBLE WHEN p.n = 2 THEN 1.0::DOUBLE
+    ELSE 2.0::DOUBLE * (ln(p.n - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * (p.n - 1.0::DOUBLE) / p.n END AS path
+  FROM walk_{level} w JOIN place_{level} p USING (tree, place) LEFT JOIN split_{level} s USING (tree, place) WHERE s.i IS NULL
+), walk_{level + 1} AS MATERIALIZED (
+  SELECT w.tree, w.ip_address, 2 * w.place + CASE WHEN l.x <= s.split THEN 0 ELSE 1 END AS place
+  FROM walk_{level} w JOIN split_{level} s USING (tree, place) JOIN long l ON l.ip_address = w.ip_address AND l.i = s.i
+)"""
+
+
+def noise_free(name):
+    return rnd(name, {"iet_mean": 2, "iet_std": 2}.get(name, 6))
+
+
+FOREST = ", ".join(
+    [
+        "long AS MATERIALIZED (" + " UNION ALL ".join(
+            f"SELECT ip_address, {i} AS i, {noise_free(c)}::DOUBLE AS x FROM feat" for i, c in enumerate(FEATURE_NAMES)
+        ) + ")",
+        f"""
+drawn AS (
+  SELECT tree, ip_address, ({draw_of('ip_address', 0)} * {draw_of("'tree ' || tree", 0)} + {draw_of('ip_address', 1)} * {draw_of("'tree ' || tree", 1)}
+    + {draw_of("'shift ' || tree", 0)}) % 2147483647 AS draw FROM feat, range(0, {TREES}) t(tree)
+), rows_0 AS MATERIALIZED (
+  SELECT tree, ip_address, 1::BIGINT AS place FROM drawn
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY draw, ip_address) <= {TREE_ROWS}
+), tree_size AS MATERIALIZED (
+  SELECT tree, ceil(log2(greatest(count(*), 2)))::INT AS depth FROM rows_0 GROUP BY tree
+), walk_0 AS MATERIALIZED (SELECT tree, ip_address, 1::BIGINT AS place FROM feat, range(0, {TREES}) t(tree))""",
+        *[grown(level) for level in range(LEVELS + 1)],
+        *[walked(level) for level in range(LEVELS + 1)],
+        "paths AS (" + " UNION ALL ".join(f"SELECT * FROM ended_{level}" for level in range(LEVELS + 1)) + ")",
+        f"""
+ip_number AS (SELECT count(*) AS n, least(count(*), {TREE_ROWS}) AS m FROM feat),
+isolated AS (
+  SELECT ip_address, {rnd(f"pow(2.0::DOUBLE, -(sum(path) / {TREES}.0::DOUBLE) / max(CASE WHEN m <= 1 THEN 0.0::DOUBLE WHEN m = 2 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * (ln(m - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * (m - 1.0::DOUBLE) / m END))", 12)} AS isolation
+  FROM paths, ip_number GROUP BY ip_address
+), ranked AS (
+  SELECT isolation, row_number() OVER (ORDER BY isolation) - 1 AS r,
+    (1.0::DOUBLE - CASE WHEN n < 5 THEN 0.2::DOUBLE WHEN n < 20 THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END) * (n - 1) AS at_rank
+  FROM isolated, ip_number
+), edge AS (
+  SELECT min(isolation) AS low, max(isolation) AS high,
+    min(isolation) FILTER (r >= floor(at_rank)) + (max(isolation) FILTER (r <= ceil(at_rank)) - min(isolation) FILTER (r >= floor(at_rank)))
+      * max(at_rank - floor(at_rank)) AS edge
+  FROM ranked
+), forest AS (
+  SELECT ip_address, CASE WHEN n < 3 THEN 0.5::DOUBLE ELSE {rnd("CASE WHEN high > low THEN (isolation - low) / (high - low) ELSE 0.5::DOUBLE END", 4)} END AS anomaly_score,
+    n >= 3 AND isolation > edge AS is_anomaly
+  FROM isolated, edge, ip_number
+)""",
+    ]
+)
+ORACLE["isolation_forest"] = with_ev("SELECT * FROM forest", INTEL, FEATURES, FOREST)
+ORACLE["run_models"] = with_ev(
+    """SELECT 'anomaly' AS model, ip_address AS subject, CAST(is_anomaly AS VARCHAR) AS outcome, anomaly_score AS score FROM forest
+    UNION ALL SELECT 'campaign', ip_address, cluster_label, campaign_cluster::DOUBLE FROM campaigns
+    UNION ALL SELECT 'user', username, current_state, risk FROM profiles""",
+    INTEL, FEATURES, FOREST, SCALED, PARAMS, CAMPAIGNS, STATES,
+)

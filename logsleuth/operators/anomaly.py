@@ -1,13 +1,14 @@
 """Anomaly scores per address: isolation forest, and a simple heuristic."""
 
+import hashlib
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logsleuth.functions.columns import round_half_even
-from logsleuth.operators.distribute import cut, exact_percentile
+from logsleuth.operators.distribute import exact_percentile, store
 from logsleuth.schema import IP_FEATURE_COLUMNS
 
 # Forest size, rows per tree, fewest addresses that can be modelled.
@@ -17,6 +18,11 @@ MIN_ADDRESSES = 3
 NEUTRAL_SCORE = 0.5
 HEURISTIC_FLAG = 0.6
 
+# Addresses are drawn modulo this prime.
+PRIME = (1 << 31) - 1
+# Digits of features that come out of long sums; the others have six.
+FEATURE_DIGITS = {"iet_mean": 2, "iet_std": 2}
+
 NODE_SCHEMA = "tree int, node int, feature int, split double, low int, high int, path double"
 
 
@@ -61,50 +67,69 @@ def expected_path(rows: float) -> float:
     return 2.0 * (math.log(rows - 1.0) + 0.5772156649015329) - 2.0 * (rows - 1.0) / rows
 
 
+def digest_draws(text: str) -> tuple[int, int]:
+    """Two draws of 28 bits that any engine with this digest can repeat."""
+    digest = hashlib.md5(text.encode()).hexdigest()
+    return int(digest[:7], 16), int(digest[7:14], 16)
+
+
+def _noise_free(name: str) -> Column:
+    """A feature without digits that depend on the order in which it was summed."""
+    return round_half_even(F.col(name), FEATURE_DIGITS.get(name, 6)).alias(name)
+
+
 def _tree_samples(features: DataFrame) -> DataFrame:
-    """Up to TREE_ROWS addresses for every tree, chosen by hashes of (address, tree).
+    """Up to TREE_ROWS addresses for every tree, those with the lowest draws.
 
-    A threshold on the hash thins out the candidates first, leaving a few hundred
-    more than needed per tree, of which the lowest hashes are taken.
+    A draw is linear in two digests of the address, modulo a prime, with coefficients from a
+    digest of the tree: nothing but the address and the tree decides it. A threshold
+    on it thins out the candidates first, leaving a few hundred more than needed per tree.
     """
     rows = features.agg(F.count("*")).scalar()
-    draw = lambda tree: F.shiftrightunsigned(F.xxhash64("ip_address", tree), 11) / float(1 << 53)
-    share = (TREE_ROWS * 1.5 + 200) / F.col("_rows")
-    candidates = features.withColumn("_rows", rows).withColumn(
-        "tree",
-        F.explode(F.filter(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: draw(t) < share)),
-    )
-    by_hash = Window.partitionBy("tree").orderBy(draw(F.col("tree")), "ip_address")
-    return (
-        candidates.withColumn("_rank", F.row_number().over(by_hash))
-        .filter(F.col("_rank") <= TREE_ROWS)
-        .drop("_rows")
+    digest = F.md5(F.col("ip_address").cast("binary"))
+    part = lambda first: F.conv(F.substring(digest, first, 7), 16, 10).cast("long")
+    factors = [digest_draws(f"tree {tree}") for tree in range(TREES)]
+    shifts = [digest_draws(f"shift {tree}")[0] for tree in range(TREES)]
+    tables = [F.lit(list(column)) for column in (*zip(*factors), shifts)]
+    one, two, shift = (lambda t, c=c: F.element_at(c, t + 1).cast("long") for c in tables)
+    draw = lambda t: (F.col("_one") * one(t) + F.col("_two") * two(t) + shift(t)) % PRIME
+    limit = F.floor((TREE_ROWS * 1.5 + 200) / F.col("_rows") * PRIME)
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("at")))
+    candidates = (
+        features.withColumns({"_rows": rows, "_one": part(1), "_two": part(8)})
+        .withColumn("_draw", F.explode(F.filter(drawn, lambda d: d["at"] < limit)))
+        .select("ip_address", *IP_FEATURE_COLUMNS, "_draw.*")
     )
+    by_draw = Window.partitionBy("tree").orderBy("at", "ip_address")
+    return candidates.withColumn("_rank", F.row_number().over(by_draw)).filter(F.col("_rank") <= TREE_ROWS)
 
 
 def _grow(sample: pd.DataFrame) -> pd.DataFrame:
-    """One isolation tree over one bounded sample, as a flat list of nodes."""
-    sample = sample.sort_values("_rank")
+    """One isolation tree over one bounded sample, as a flat list of nodes.
+
+    Places are numbered as in a heap (1; below place p: 2p and 2p + 1); the feature and the
+    limit of a split are drawn by digest of tree and place.
+    """
     tree = int(sample["tree"].iloc[0])
     points = sample[IP_FEATURE_COLUMNS].to_numpy(dtype=float)
-    rng = np.random.default_rng(tree)
     limit = math.ceil(math.log2(max(len(points), 2)))
     nodes = []
-    pending = [(0, np.arange(len(points)), 0)]
+    pending = [(0, 1, np.arange(len(points)), 0)]
     used = 1
     while pending:
-        node, members, depth = pending.pop()
+        node, place, members, depth = pending.pop()
         part = points[members]
         low, high = part.min(axis=0), part.max(axis=0)
         usable = np.flatnonzero(high > low)
         if depth >= limit or len(members) <= 1 or len(usable) == 0:
             nodes.append((tree, node, -1, 0.0, node, node, depth + expected_path(len(members))))
             continue
-        feature = int(usable[rng.integers(len(usable))])
-        split = float(low[feature] + (high[feature] - low[feature]) * rng.random())
+        which, share = digest_draws(f"{tree}:{place}")
+        feature = int(usable[which % len(usable)])
+        split = float(low[feature] + (high[feature] - low[feature]) * (share / float(1 << 28)))
         below = part[:, feature] <= split
         nodes.append((tree, node, feature, split, used, used + 1, 0.0))
-        pending += [(used, members[below], depth + 1), (used + 1, members[~below], depth + 1)]
+        pending += [(used, 2 * place, members[below], depth + 1), (used + 1, 2 * place + 1, members[~below], depth + 1)]
         used += 2
     return pd.DataFrame(nodes, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
 
@@ -155,9 +180,11 @@ def isolation_forest(features: DataFrame) -> DataFrame:
     """Anomaly score in [0, 1] and flag per address, from an isolation forest.
 
     Scores are scaled between the least and the most isolated address; the flag
-    marks the expected share of anomalies, cut at an interpolated percentile.
+    marks the expected share of anomalies, cut at an interpolated percentile. All draws are
+    digests of addresses, trees and places, so that the same addresses give the same forest
+    anywhere.
     """
-    features = cut(features)
+    features = store(features.select("ip_address", *map(_noise_free, IP_FEATURE_COLUMNS)))
     rows = features.count()
     if rows < MIN_ADDRESSES:
         return features.select(
@@ -167,12 +194,8 @@ def isolation_forest(features: DataFrame) -> DataFrame:
         )
     mean_path = _path_scorer(grow_forest(features))
     scale = expected_path(min(TREE_ROWS, rows))
-    isolation = cut(
-        features.select(
-            "ip_address",
-            F.pow(F.lit(2.0), -mean_path(*IP_FEATURE_COLUMNS) / scale).alias("isolation"),
-        )
-    )
+    isolated = F.pow(F.lit(2.0), -mean_path(*IP_FEATURE_COLUMNS) / scale)
+    isolation = store(features.select("ip_address", round_half_even(isolated, 12).alias("isolation")))
     bounds = isolation.agg(
         F.struct(F.min("isolation").alias("low"), F.max("isolation").alias("high"))
     ).scalar()
