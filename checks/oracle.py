@@ -523,13 +523,17 @@ ORACLE["failed_heatmap"] = with_ev(
     ) + """ FROM (VALUES (1, 'Monday'), (2, 'Tuesday'), (3, 'Wednesday'), (4, 'Thursday'), (5, 'Friday'), (6, 'Saturday'), (7, 'Sunday')) d(n, weekday)
     LEFT JOIN ev ON isodow(parsed_time) = d.n GROUP BY 1"""
 )
+# One pass over the events: statistics as windows over the minutes, no second look at them.
 ORACLE["login_frequency"] = with_ev(
-    f"""SELECT minute, events, {rnd('m + 2 * s', 6)} AS threshold, coalesce(events > m + 2 * s, false) AS is_spike FROM per_minute,
-    (SELECT avg(events) AS m, stddev_samp(events) AS s FROM per_minute)""",
-    """per_minute AS (
-      SELECT minute, coalesce(c, 0) AS events FROM (
-        SELECT unnest(generate_series(date_trunc('minute', min(parsed_time)), date_trunc('minute', max(parsed_time)), INTERVAL 1 MINUTE)) AS minute FROM ev)
-      LEFT JOIN (SELECT date_trunc('minute', parsed_time) AS minute, count(*) AS c FROM ev GROUP BY 1) USING (minute))""",
+    f"""SELECT minute, events, {rnd('limit_', 6)} AS threshold, coalesce(events > limit_, false) AS is_spike FROM (
+      SELECT minute, events, avg(events) OVER () + 2 * stddev_samp(events) OVER () AS limit_ FROM per_minute)""",
+    """counted AS MATERIALIZED (
+      SELECT epoch_us(parsed_time) // 60000000 AS m, count(*) AS c FROM ev GROUP BY 1
+    ), spine AS (
+      SELECT unnest(range(first_m, last_m + 1)) AS m FROM (SELECT min(m) AS first_m, max(m) AS last_m FROM counted)
+    ), per_minute AS (
+      SELECT make_timestamp(m * 60000000) AS minute, coalesce(c, 0) AS events FROM spine LEFT JOIN counted USING (m)
+    )""",
 )
 ORACLE["technique_counts"] = with_ev(
     f"""SELECT mitre_technique, split_part(mitre_technique, ' — ', 1) AS technique_id, split_part(mitre_technique, ' — ', 2) AS technique_name,

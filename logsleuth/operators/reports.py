@@ -1,6 +1,6 @@
 """Summary tables behind report sections, cards and charts."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from logsleuth.functions.columns import failed_count, micros, success_count, wall_clock
 from logsleuth.operators.activity import Activity
@@ -118,7 +118,7 @@ def login_frequency(events: DataFrame) -> DataFrame:
     """Events per minute including empty minutes, with the spike threshold and flag.
 
     The statistics need no spine: empty minutes only add zeros to the known number
-    of minutes. The spine itself grows with the time span, not with the events.
+    of minutes. Empty minutes are filled in behind the minutes that have events, day by day.
     """
     counts = events.groupBy(F.floor(micros("parsed_time") / 60_000_000).alias("minute")).agg(
         F.count("*").alias("events")
@@ -134,30 +134,34 @@ def login_frequency(events: DataFrame) -> DataFrame:
             F.when(minutes > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("sigma"),
         ).alias("s")
     )
-    day = F.floor(F.col("s.first") / MINUTES_PER_DAY)
-    last_day = F.floor(F.col("s.last") / MINUTES_PER_DAY)
-    spine = (
-        stats.select("s", F.explode(F.sequence(day, last_day)).alias("day"))
-        .select(
-            "s",
-            F.explode(
-                F.sequence(
-                    F.col("day") * MINUTES_PER_DAY,
-                    F.col("day") * MINUTES_PER_DAY + MINUTES_PER_DAY - 1,
-                )
-            ).alias("minute"),
-        )
-        .filter(F.col("minute").between(F.col("s.first"), F.col("s.last")))
+    threshold = F.col("s.mean") + SPIKE_DEVIATIONS * F.col("s.sigma")
+    limits = stats.select(F.struct(F.col("s.last").alias("last"), threshold.alias("threshold"))).scalar()
+    # Every day has a row at its first minute, so that all others can be filled in by day:
+    # the days are dealt out before any minute is made.
+    per_day = F.floor(F.col("minute") / MINUTES_PER_DAY)
+    days = stats.select(
+        F.explode(
+            F.sequence(F.floor(F.col("s.first") / MINUTES_PER_DAY), F.floor(F.col("s.last") / MINUTES_PER_DAY))
+        ).alias("day"),
+        F.col("s.first").alias("first"),
+    ).select("day", F.greatest(F.col("day") * MINUTES_PER_DAY, "first").alias("minute"), F.lit(0).cast("long").alias("events"))
+    rows = counts.select(per_day.alias("day"), "minute", "events").unionByName(days)
+    known = rows.groupBy("day", "minute").agg(F.max("events").alias("events"))
+    following = F.lead("minute").over(Window.partitionBy("day").orderBy("minute")) - 1
+    end = F.least((F.col("day") + 1) * MINUTES_PER_DAY - 1, F.col("_limits.last"))
+    return (
+        known.withColumn("_until", following)
+        .withColumn("_limits", limits)
+        .withColumn("_until", F.coalesce("_until", end))
         .select(
+            F.explode(F.sequence("minute", "_until")).alias("at"),
             "minute",
-            (F.col("s.mean") + SPIKE_DEVIATIONS * F.col("s.sigma")).alias("threshold"),
+            "events",
+            F.col("_limits.threshold").alias("threshold"),
         )
-    )
-    return (
-        spine.join(counts, "minute", "left")
         .select(
-            wall_clock(F.col("minute") * 60_000_000).alias("minute"),
-            F.coalesce("events", F.lit(0)).alias("events"),
+            wall_clock(F.col("at") * 60_000_000).alias("minute"),
+            F.when(F.col("at") == F.col("minute"), F.col("events")).otherwise(0).alias("events"),
             "threshold",
         )
         .withColumn("is_spike", F.coalesce(F.col("events") > F.col("threshold"), F.lit(False)))
