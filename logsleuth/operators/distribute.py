@@ -20,6 +20,9 @@ from logsleuth.schema import EVENT_ORDER
 HOT_ROWS = 2_000_000
 HOT_MAX_KEYS = 100_000
 
+# Setting under which a query removes its shuffle files when it ends.
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Rows handled by one window group when a globally ordered table is cut up.
 BLOCK_ROWS = 100_000
 
@@ -47,11 +50,18 @@ def store(df: DataFrame) -> DataFrame:
     """``df`` as a table in the checkpoint folder, for data as large as the events.
 
     Unlike a checkpoint the table is compressed and columnar: a pass that needs one
-    column reads one column, and the optimizer knows its size.
+    column reads one column, and the optimizer knows its size. Shuffle files of the job are
+    removed when the table is complete, so disk holds those of one step at a time.
     """
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(REMOVE_SHUFFLES, None)
+    spark.conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(REMOVE_SHUFFLES) if before is None else spark.conf.set(REMOVE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread_out(df: DataFrame, *keys: str) -> DataFrame:
