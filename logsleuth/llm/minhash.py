@@ -219,7 +219,8 @@ def nodes_of(docs: DataFrame, s: Similarity) -> tuple[DataFrame, int]:
     Without a word, all but the id is null.
     """
     chunked, total, parts = in_chunks(docs)
-    counts = document_frequency(chunked, parts, s.words)
+    # Stored, so that the shuffles of the counts are gone when the texts are shuffled again.
+    counts = store(document_frequency(chunked, parts, s.words))
 
     def run(own: pa.Table, counts: pa.Table) -> pa.Table:
         words = list(word_runs(whole(own.column("text"))))
