@@ -846,3 +846,31 @@ ORACLE["run_models"] = with_ev(
     UNION ALL SELECT 'user', username, current_state, risk FROM profiles""",
     INTEL, FEATURES, FOREST, SCALED, PARAMS, CAMPAIGNS, STATES,
 )
+
+# Ranges of addresses: every range that holds an address, the narrowest first.
+QUAD = "CAST(string_split(%s, '.')[1] AS BIGINT) * 16777216 + CAST(string_split(%s, '.')[2] AS BIGINT) * 65536 + CAST(string_split(%s, '.')[3] AS BIGINT) * 256 + CAST(string_split(%s, '.')[4] AS BIGINT)"
+
+
+def quad(column):
+    return QUAD.replace("%s", column)
+
+
+ORACLE["ip_ranges"] = with_ev(
+    """SELECT ip_address, first_ip, last_ip, network FROM all_ips LEFT JOIN (
+      SELECT a.ip_address, r.first_ip, r.last_ip, r.network FROM ips a JOIN ranges r ON a.n BETWEEN r.a AND r.b
+      QUALIFY row_number() OVER (PARTITION BY a.ip_address ORDER BY r.b - r.a, r.a, r.network) = 1) USING (ip_address)""",
+    f"""all_ips AS (SELECT DISTINCT ip_address FROM ev),
+    ips AS (SELECT ip_address, {quad('ip_address')} AS n FROM all_ips WHERE ip_address <> 'Internal'),
+    parted AS (SELECT *, array_to_string(string_split(ip_address, '.')[1:2], '.') AS two, array_to_string(string_split(ip_address, '.')[1:3], '.') AS three FROM ips),
+    named AS (
+      SELECT DISTINCT two || '.0.0' AS first_ip, two || '.255.255' AS last_ip, 'wide ' || two AS network FROM parted WHERE two NOT LIKE '%3'
+      UNION ALL SELECT arg_min(ip_address, n), arg_max(ip_address, n), 'narrow ' || three FROM parted GROUP BY three
+      UNION ALL SELECT ip_address, ip_address, 'single' FROM parted WHERE n % 7 = 0
+      UNION ALL SELECT '200.0.0.1', '255.255.255.254', 'rest'
+    ), ranges AS (SELECT *, {quad('first_ip')} AS a, {quad('last_ip')} AS b FROM named)""",
+)
+ORACLE["activity_sketches"] = with_ev(
+    """SELECT ip_address, count(*) AS total_events, count(*) FILTER (event = 'FAILED_LOGIN') AS failed_count,
+    count(DISTINCT username) AS unique_users, count(DISTINCT username) FILTER (event = 'FAILED_LOGIN') AS failing_users,
+    count(DISTINCT host) AS hosts_accessed FROM ev GROUP BY 1"""
+)

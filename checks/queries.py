@@ -8,6 +8,7 @@ from pyspark.sql import Window, functions as F
 from logsleuth.functions.columns import round_half_even
 from logsleuth import schema
 from logsleuth.operators import (
+    activity,
     anomaly,
     behaviour,
     campaigns,
@@ -16,6 +17,7 @@ from logsleuth.operators import (
     enrich,
     features,
     insiders,
+    networks,
     pivots,
     reports,
     response,
@@ -142,6 +144,41 @@ def summary_row(e, known, scores):
     )
 
 
+def network_ranges(e):
+    """Ranges around the addresses of the events: wide ones, and narrow ones within them.
+
+    All addresses with the same first two numbers, from the first to the last address with
+    the same first three, and some single addresses.
+    """
+    ips = e.select("ip_address").distinct().withColumn("n", networks.ip_number(F.col("ip_address"))).filter("n IS NOT NULL")
+    parts = F.split("ip_address", r"\.")
+    two, three = F.array_join(F.slice(parts, 1, 2), "."), F.array_join(F.slice(parts, 1, 3), ".")
+    wide = ips.select(two.alias("net")).distinct().select(
+        F.concat("net", F.lit(".0.0")).alias("first_ip"), F.concat("net", F.lit(".255.255")).alias("last_ip"),
+        F.concat(F.lit("wide "), "net").alias("network"),
+    )
+    narrow = ips.groupBy(three.alias("net")).agg(
+        F.min_by("ip_address", "n").alias("first_ip"), F.max_by("ip_address", "n").alias("last_ip")
+    ).select("first_ip", "last_ip", F.concat(F.lit("narrow "), "net").alias("network"))
+    single = ips.filter("n % 7 = 0").select(
+        F.col("ip_address").alias("first_ip"), F.col("ip_address").alias("last_ip"), F.lit("single").alias("network")
+    )
+    return wide.unionByName(narrow).unionByName(single)
+
+
+def ranges_of_addresses(e):
+    """Every address with its narrowest range; all first numbers above 200 lie in a last one."""
+    rest = e.sparkSession.createDataFrame([("200.0.0.1", "255.255.255.254", "rest")], "first_ip string, last_ip string, network string")
+    ips = e.select("ip_address").distinct()
+    return networks.lookup_ranges(ips, network_ranges(e).filter("network NOT LIKE 'wide %3'").unionByName(rest))
+
+
+def sketched(e):
+    """Distinct users and hosts from sketches of single days."""
+    found = activity.sketched_addresses(activity.activity_sketches(e))
+    return found.select("ip_address", "total_events", "failed_count", "unique_users", "failing_users", "hosts_accessed")
+
+
 def lines_of(e):
     """Lines with noise, and the layout their host writes."""
     layout = F.when(F.col("host") == "host3", "syslog").otherwise("auth_log")
@@ -337,6 +374,8 @@ QUERIES = {
     "country_risk": on_intel("ip_address", "geo_country", "geo_risk"),
     "ip_reputation": on_intel("ip_address", "failed_count", "ip_reputation"),
     "ip_asn": on_intel("ip_address", "asn"),
+    "ip_ranges": on_events(ranges_of_addresses),
+    "activity_sketches": on_events(sketched),
     "mitre_map": on_events(
         lambda e: enrich.with_description(enrich.with_technique(e)).select(
             "line_number", "event", "mitre_technique", "mitre_tactic", "mitre_description"

@@ -94,9 +94,10 @@ def credential_stuffing(events: DataFrame, addresses: DataFrame | None = None) -
             F.col("failing_users").alias("unique_users"),
             F.coalesce("failed_with_user", F.lit(0)).alias("total_attempts"),
         )
+    ratio = F.coalesce(F.try_divide("unique_users", "total_attempts"), F.lit(0.0))
     return (
         tried.withColumn(
-            "spray_ratio", round_half_even(F.col("unique_users") / F.col("total_attempts"), 3)
+            "spray_ratio", round_half_even(ratio, 3)
         )
         .withColumn(
             "is_stuffing",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logsleuth.functions.columns import digest_mod, failed_count, round_half_even
 from logsleuth.operators.distribute import skew_join, store
+from logsleuth.operators.networks import lookup_ranges
 from logsleuth.schema import INTERNAL_IP, OTHER
 
 # Places an address can hash to (country, city, latitude, longitude).
@@ -55,6 +56,9 @@ NETWORKS = [
 ]
 INTERNAL_NETWORK = "AS0 — Internal"
 
+# What an address is in that no range of a table of real data holds.
+UNKNOWN = "Unknown"
+
 # Event -> (technique, name, tactic, description).
 TECHNIQUES = {
     "FAILED_LOGIN": (
@@ -174,10 +178,44 @@ def with_description(events: DataFrame) -> DataFrame:
     return events.withColumn("mitre_description", _by_event({event: row[3] for event, row in TECHNIQUES.items()}))
 
 
-def ip_intel(events: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
+PLACE_COLUMNS = ["geo_country", "geo_city", "geo_lat", "geo_lon"]
+
+
+def with_places(per_ip: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Place of each address from a table of ranges (first_ip, last_ip and the place's columns).
+
+    Local addresses stay local; addresses in no range are in an unknown place.
+    """
+    found = lookup_ranges(per_ip.drop(*PLACE_COLUMNS), ranges.select("first_ip", "last_ip", *PLACE_COLUMNS))
+    local = is_local(F.col("ip_address"))
+    fixed = {"geo_country": "Local", "geo_city": "Internal", "geo_lat": 0.0, "geo_lon": 0.0}
+    unknown = {"geo_country": UNKNOWN, "geo_city": UNKNOWN}
+    columns = {
+        c: F.when(local, value).otherwise(F.coalesce(c, F.lit(unknown[c])) if c in unknown else F.col(c))
+        for c, value in fixed.items()
+    }
+    return found.withColumns(columns).drop("first_ip", "last_ip")
+
+
+def with_networks(per_ip: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Network (asn) of each address from a table of ranges; unknown without one."""
+    found = lookup_ranges(per_ip.drop("asn"), ranges.select("first_ip", "last_ip", "asn"))
+    inside = F.col("ip_address") == INTERNAL_IP
+    asn = F.when(inside, INTERNAL_NETWORK).otherwise(F.coalesce("asn", F.lit(UNKNOWN)))
+    return found.withColumn("asn", asn).drop("first_ip", "last_ip")
+
+
+def ip_intel(
+    events: DataFrame,
+    addresses: DataFrame | None = None,
+    places: DataFrame | None = None,
+    networks: DataFrame | None = None,
+) -> DataFrame:
     """One row per address: event counts, place, risk, reputation and network.
 
     ``addresses`` (total_events and failed_count of each) saves the pass over the events.
+    ``places`` and ``networks`` are tables of ranges with real data, see :func:`with_places`
+    and :func:`with_networks`; risk and reputation follow from the places.
     """
     if addresses is None:
         counts = events.groupBy("ip_address").agg(
@@ -185,7 +223,9 @@ def ip_intel(events: DataFrame, addresses: DataFrame | None = None) -> DataFrame
         )
     else:
         counts = addresses.select("ip_address", "total_events", "failed_count")
-    return with_asn(with_reputation(with_geo_risk(with_geo(counts))))
+    placed = with_geo(counts) if places is None else with_places(counts, places)
+    judged = with_reputation(with_geo_risk(placed))
+    return with_asn(judged) if networks is None else with_networks(judged, networks)
 
 
 def enrich_events(events: DataFrame, intel: DataFrame | None = None) -> DataFrame:
