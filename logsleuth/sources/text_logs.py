@@ -175,16 +175,22 @@ def first_lines(spark: SparkSession, paths) -> DataFrame:
     """The first lines of each file, as (source_file, value).
 
     Spark lists the files and deals them out; a task opens each of its files with pyarrow and
-    stops reading after the last line it needs.
+    stops reading after the last line it needs. Files in stores that only Spark opens are read
+    by Spark, in a pass over all their lines.
     """
 
     def run(batches):
         for batch in batches:
             for path in batch.column("source_file").to_pylist():
-                files, name = fs.FileSystem.from_uri(path)
-                with files.open_input_stream(name) as stream:
-                    text = io.TextIOWrapper(stream, encoding="utf-8", errors="ignore")
-                    lines = [line.rstrip("\n") for line in itertools.islice(text, SAMPLE_LINES)]
+                try:
+                    files, name = fs.FileSystem.from_uri(path)
+                    stream = files.open_input_stream(name)
+                except (pa.ArrowException, OSError):
+                    lines = [None]  # not empty: not opened
+                else:
+                    with stream:
+                        text = io.TextIOWrapper(stream, encoding="utf-8", errors="ignore")
+                        lines = [line.rstrip("\n") for line in itertools.islice(text, SAMPLE_LINES)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path] * len(lines), pa.string()), pa.array(lines, pa.string())],
                     ["source_file", "value"],
@@ -194,15 +200,23 @@ def first_lines(spark: SparkSession, paths) -> DataFrame:
     names = spark.read.format("binaryFile").load(paths).select(
         F.col("_metadata.file_path").alias("source_file")
     )
-    return names.mapInArrow(run, "source_file string, value string")
+    opened = store(names.mapInArrow(run, "source_file string, value string"))
+    unopened = opened.filter("value IS NULL").select("source_file")
+    if unopened.isEmpty():
+        return opened
+    # Spark keeps the first rows of a window's groups before it shuffles them.
+    place = F.row_number().over(Window.partitionBy("source_file").orderBy("_split", "_at"))
+    heads = _raw_lines(spark, paths).withColumn("_place", place).filter(F.col("_place") <= SAMPLE_LINES)
+    read = heads.join(unopened, "source_file", "left_semi").select("source_file", "value")
+    return opened.filter("value IS NOT NULL").unionByName(read)
 
 
 def detect_log_format(spark: SparkSession, paths) -> DataFrame:
     """Layout of each file: the one most of its first lines match, the earlier on ties.
 
-    At most 20 lines of a file are read, however long it is. A file none of whose first lines
-    match counts as the default layout; an empty file has no row. The store must be one that
-    pyarrow opens (local, HDFS, S3, GCS); elsewhere give :func:`read_auth_logs` a ``layout``.
+    At most 20 lines of a file are read, however long it is, in stores that pyarrow opens
+    (local, HDFS, S3, GCS); elsewhere Spark reads the files. A file none of whose first lines
+    match counts as the default layout; an empty file has no row.
     """
     votes = (
         first_lines(spark, paths)

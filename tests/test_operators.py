@@ -1,6 +1,7 @@
 """Operators on small fixtures with known results, and under forced splitting."""
 
 import datetime as dt
+import random
 import statistics
 
 import pytest
@@ -175,6 +176,18 @@ def test_chain_edges_for_any_block_size(make_events, rows_of, block):
         assert edges == brute_edges(phases)
 
 
+@pytest.mark.parametrize("levels, fan_out", [(0, 2), (1, 4), (3, 2), (6, 2)])
+def test_chain_edges_through_a_tree_of_blocks(make_events, rows_of, levels, fan_out):
+    rng = random.Random(3)
+    kinds = ["FAILED_LOGIN"] * 5 + ["DISCONNECT"] * 5 + ["SUCCESSFUL_LOGIN", "OTHER", "SUDO_ATTEMPT"]
+    data = [{"ip": "hot" if i % 5 else "cold", "event": rng.choice(kinds)} for i in range(120)]
+    nodes = chains.chain_nodes(make_events(data)).cache()
+    for ip in ("hot", "cold"):
+        phases = [r["phase"] for r in nodes.filter(F.col("ip_address") == ip).orderBy("id").collect()]
+        edges = chains.chain_edges(nodes, 2, levels, fan_out).filter(F.col("ip_address") == ip)
+        assert rows_of(edges, "src", "dst") == brute_edges(phases)
+
+
 def test_chain_of_the_golden_example(make_events, rows_of):
     kinds = ["FAILED_LOGIN", "INVALID_USER", "SUCCESSFUL_LOGIN", "ROOT_ACCESS", "SUCCESSFUL_LOGIN"]
     made = chains.attack_chains(make_events([{"event": k} for k in kinds]))

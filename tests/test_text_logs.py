@@ -6,17 +6,16 @@ from pyspark.sql import functions as F
 from logsleuth.plans import analysis
 from logsleuth.sources import text_logs
 
-SAMPLE = [
-    "Jan 15 10:30:45 server sshd[1234]: Failed password for root from 192.168.1.100 port 22 ssh2",
-    "Jan 15 10:30:46 server sshd[1234]: Failed password for root from 192.168.1.100 port 22 ssh2",
-    "Jan 15 10:30:47 server sshd[1234]: Failed password for root from 192.168.1.100 port 22 ssh2",
-    "Jan 15 10:31:12 server sshd[1235]: Accepted password for user1 from 192.168.1.50 port 22 ssh2",
-    "Jan 15 10:31:15 server sshd[1236]: Failed password for admin from 10.0.0.5 port 22 ssh2",
-    "Jan 15 10:31:16 server sshd[1236]: Failed password for admin from 10.0.0.5 port 22 ssh2",
-    "Jan 15 10:31:17 server sshd[1236]: Failed password for admin from 10.0.0.5 port 22 ssh2",
-    "Jan 15 10:31:18 server sshd[1236]: Failed password for admin from 10.0.0.5 port 22 ssh2",
-    "Jan 15 10:31:19 server sshd[1236]: Failed password for admin from 10.0.0.5 port 22 ssh2",
-]
+def sample_lines():
+    """Three failures from one address, a login from a second, five failures from a third."""
+    tries = [("Failed", "amy", "172.16.4.9")] * 3 + [("Accepted", "ben", "172.16.7.2")] + [("Failed", "carl", "10.9.8.7")] * 5
+    return [
+        f"Mar 11 13:05:{i:02d} gate sshd[{500 + i}]: {how} password for {user} from {ip} port {4000 + i} ssh2"
+        for i, (how, user, ip) in enumerate(tries)
+    ]
+
+
+SAMPLE = sample_lines()
 
 
 def parsed(spark, tails, **options):
@@ -90,10 +89,32 @@ def test_reading_files(spark, tmp_path):
     odd = events.filter("ip_address = '2.2.2.2'").first()
     assert odd["username"] == "x" and odd["parsed_time"] == dt.datetime(2024, 6, 5, 1)
     numbered = text_logs.read_auth_logs(spark, str(tmp_path), number_lines=True)
-    lines = [r["line_number"] for r in numbered.filter("host = 'server'").orderBy("line_number").collect()]
+    lines = [r["line_number"] for r in numbered.filter("host = 'gate'").orderBy("line_number").collect()]
     assert lines == list(range(5, 14))
 
 
+def test_a_store_that_only_spark_opens(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "auth.log").write_text("\n".join(SAMPLE * 20) + "\n")
+    iso = "\n".join(f"2024-06-15T14:00:{i:02d}+02:00 db sshd[1]: Failed password for z from 3.3.3.3" for i in range(9))
+    (folder / "iso.log").write_text(iso + "\n" + "\n".join(SAMPLE * 4))
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.only.link./in", f"file://{tmp_path}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        far, near = "viewfs://only/in/logs", str(folder)
+        assert far.split(":")[0] in text_logs.first_lines(spark, far).first()["source_file"]
+        heads = lambda path: sorted(r["value"] for r in text_logs.first_lines(spark, path).collect())
+        assert heads(far) == heads(near) and len(heads(far)) == 40
+        layouts = {r["source_file"].rsplit("/", 1)[1]: r["layout"] for r in text_logs.detect_log_format(spark, far).collect()}
+        assert layouts == {"auth.log": "auth_log", "iso.log": "auth_log"}
+        events = [sorted(r["raw_line"] for r in text_logs.read_auth_logs(spark, path).collect()) for path in (far, near)]
+        assert events[0] == events[1] and len(events[0]) == 216
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_line_numbers_over_many_splits(spark, tmp_path):
     text = [f"Jun 15 14:{i // 60 % 60:02d}:{i % 60:02d} web sshd[{i}]: Failed password for u from 1.1.1.1" for i in range(2000)]
     (tmp_path / "big.log").write_text("\n".join(text) + "\n")
@@ -115,9 +136,9 @@ def test_simple_profile_on_the_sample(spark):
     lines = spark.createDataFrame([(v,) for v in SAMPLE], "value string")
     result = analysis.analyze_simple(lines)
     flagged = [(r["ip_address"], r["failed_count"]) for r in result["bruteforce"].collect()]
-    assert flagged == [("10.0.0.5", 5), ("192.168.1.100", 3)]
+    assert flagged == [("10.9.8.7", 5), ("172.16.4.9", 3)]
     levels = {r["ip_address"]: (r["score"], r["level"]) for r in result["severity"].collect()}
-    assert levels == {"10.0.0.5": (10, "HIGH"), "192.168.1.100": (6, "MEDIUM"), "192.168.1.50": (3, "LOW")}
+    assert levels == {"10.9.8.7": (10, "HIGH"), "172.16.4.9": (6, "MEDIUM"), "172.16.7.2": (3, "LOW")}
     assert result["compromise"].count() == 0 and result["night_logins"].count() == 0
 
 
@@ -127,6 +148,6 @@ def test_adaptive_rules_on_the_sample(spark):
     frame = spark.createDataFrame([(v, "auth_log") for v in SAMPLE], "value string, layout string")
     found = {r["ip_address"]: r for r in detect.bruteforce(text_logs.parse_lines(frame)).collect()}
     assert {ip: (r["threshold"], r["confidence"], r["is_bruteforce"]) for ip, r in found.items()} == {
-        "192.168.1.100": (7.5, 0.24, False),
-        "10.0.0.5": (7.5, 0.76, False),
+        "172.16.4.9": (7.5, 0.24, False),
+        "10.9.8.7": (7.5, 0.76, False),
     }
