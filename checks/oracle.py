@@ -14,9 +14,10 @@ base AS (
 ), keyed AS (
   SELECT event_id, ts, k,
     CASE event_type WHEN 'error' THEN 'FAILED_LOGIN' WHEN 'view' THEN 'SUCCESSFUL_LOGIN'
-      WHEN 'signup' THEN 'INVALID_USER' WHEN 'click' THEN 'DISCONNECT'
+      WHEN 'signup' THEN 'INVALID_USER' WHEN 'click' THEN CASE WHEN k % 10 = 9 THEN 'OTHER' ELSE 'DISCONNECT' END
       ELSE CASE WHEN k % 2 = 0 THEN 'SUDO_ATTEMPT' ELSE 'ROOT_ACCESS' END END AS event,
-    CASE WHEN k >= 96 THEN 'Internal' WHEN k = 7 THEN '198.51.100.7'
+    CASE WHEN k >= 96 THEN 'Internal' WHEN k = 95 THEN '127.0.0.1'
+      WHEN k = 94 THEN '10.' || (user_id // 250) || '.' || (user_id % 250) || '.1' WHEN k = 7 THEN '198.51.100.7'
       WHEN k < 20 THEN '198.51.' || (user_id // 40) || '.' || k
       ELSE '203.' || (user_id // 250) || '.' || (user_id % 250) || '.' || (k // 32) END AS ip_address,
     CASE WHEN event_id % 997 = 0 THEN 'admin_backup' WHEN event_type = 'click' THEN 'unknown'
@@ -33,6 +34,7 @@ base AS (
       WHEN 'SUCCESSFUL_LOGIN' THEN 'Accepted password for ' || username || ' from ' || ip_address || ' port ' || port || ' ssh2'
       WHEN 'INVALID_USER' THEN 'Invalid user ' || username || ' from ' || ip_address || ' port ' || port
       WHEN 'DISCONNECT' THEN 'Disconnected from ' || ip_address || ' port ' || port
+      WHEN 'OTHER' THEN 'Received signal 15 while serving ' || ip_address
       WHEN 'SUDO_ATTEMPT' THEN 'sudo: ' || username || ' : TTY=pts/0 ; PWD=/home/' || username || ' ; USER=root ; COMMAND=/bin/bash'
       ELSE 'pam_unix(sshd:session): session opened for user root by ' || username END AS message
   FROM keyed

@@ -12,6 +12,7 @@ from logsleuth.schema import (
     FAILED,
     INTERNAL_IP,
     INVALID,
+    OTHER,
     ROOT,
     SUCCESS,
     SUDO,
@@ -28,10 +29,16 @@ def _with_auth_columns(raw: DataFrame) -> DataFrame:
             "event": F.when(kind == "error", FAILED)
             .when(kind == "view", SUCCESS)
             .when(kind == "signup", INVALID)
+            .when((kind == "click") & (F.col("_k") % 10 == 9), OTHER)
             .when(kind == "click", DISCONNECT)
             .when(F.col("_k") % 2 == 0, SUDO)
             .otherwise(ROOT),
             "ip_address": F.when(F.col("_k") >= 96, INTERNAL_IP)
+            .when(F.col("_k") == 95, "127.0.0.1")
+            .when(
+                F.col("_k") == 94,
+                F.concat_ws(".", F.lit("10"), F.floor(group / 250).cast("string"), (group % 250).cast("string"), F.lit("1")),
+            )
             .when(F.col("_k") == 7, "198.51.100.7")
             .when(
                 F.col("_k") < 20,
@@ -60,6 +67,7 @@ def _with_auth_columns(raw: DataFrame) -> DataFrame:
         .when(F.col("event") == SUCCESS, F.concat(F.lit("Accepted password for "), user, F.lit(" from "), ip, F.lit(" port "), port, F.lit(" ssh2")))
         .when(F.col("event") == INVALID, F.concat(F.lit("Invalid user "), user, F.lit(" from "), ip, F.lit(" port "), port))
         .when(F.col("event") == DISCONNECT, F.concat(F.lit("Disconnected from "), ip, F.lit(" port "), port))
+        .when(F.col("event") == OTHER, F.concat(F.lit("Received signal 15 while serving "), ip))
         .when(F.col("event") == SUDO, F.concat(F.lit("sudo: "), user, F.lit(" : TTY=pts/0 ; PWD=/home/"), user, F.lit(" ; USER=root ; COMMAND=/bin/bash")))
         .otherwise(F.concat(F.lit("pam_unix(sshd:session): session opened for user root by "), user))
     )
