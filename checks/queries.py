@@ -269,7 +269,14 @@ def run_log(spark, sf_dir):
         known.addresses,
     )
     tables.append_run_log(run, path)
-    return spark.read.parquet(path).drop("run_time")
+    return tables.read_run_log(spark, path).drop("run_time")
+
+
+def exported(e, known, scores):
+    """The scored events as they are read back from CSV files."""
+    path = scratch(e.sparkSession, "csv")
+    schema = tables.export_scored_csv(e, scores, path, known.addresses)
+    return tables.read_scored_csv(e.sparkSession, path, schema).drop("raw_line")
 
 
 def action_log(spark, sf_dir):
@@ -422,9 +429,7 @@ QUERIES = {
         lambda e, known, s: response.response_actions(s, earlier_blocks(e, known.addresses))
     ),
     "action_log": action_log,
-    "export_scored_csv": on_rated(
-        lambda e, known, s: tables.scored_events(e, s, known.addresses).drop("raw_line")
-    ),
+    "export_scored_csv": on_rated(exported),
     # Forensics.
     "chain_nodes": on_events(lambda e: chains.chain_nodes(e).drop("_row")),
     "chain_edges": on_events(lambda e: chains.chain_edges(chains.chain_nodes(e))),

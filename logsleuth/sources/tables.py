@@ -1,6 +1,8 @@
 """Stored tables: events, overlays on them, analysis runs and the scored export."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from logsleuth.operators.distribute import skew_join, store
 from logsleuth.schema import OVERLAY_DEFAULTS
@@ -97,19 +99,32 @@ def analysis_run(events, bruteforce, scores, log_file: str, config: dict, addres
     )
 
 
-def append_run_log(run: DataFrame, path: str) -> None:
-    run.write.mode("append").parquet(path)
+def _append_once(rows: DataFrame, path: str, run_id: str | None) -> None:
+    """Add rows in a folder of their run: a run that is repeated replaces its own rows."""
+    rows.write.mode("overwrite").parquet(f"{path}/run={run_id or uuid.uuid4().hex}")
+
+
+def append_run_log(run: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Add an analysis run to the stored log; give retries the ``run_id`` of the first try."""
+    _append_once(run, path, run_id)
+
+
+def read_run_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("run")
 
 
-def append_actions(actions: DataFrame, path: str) -> None:
-    """Add response actions to the stored log, with the time at which that is done."""
+def append_actions(actions: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Add response actions to the stored log, with the time at which that is done.
+
+    Give retries the ``run_id`` of the first try: their actions are then stored once.
+    """
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
-    actions.select(now.alias("time"), "*").write.mode("append").parquet(path)
+    _append_once(actions.select(now.alias("time"), "*"), path, run_id)
 
 
 def read_actions(spark: SparkSession, path: str) -> DataFrame:
     """All actions taken so far: a history for :func:`response_actions`."""
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("run")
 
 
 def scored_events(events: DataFrame, scores: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
@@ -130,8 +145,15 @@ def scored_events(events: DataFrame, scores: DataFrame, addresses: DataFrame | N
 
 def export_scored_csv(
     events: DataFrame, scores: DataFrame, path: str, addresses: DataFrame | None = None
-) -> None:
-    scored_events(events, scores, addresses).write.mode("overwrite").option("header", True).csv(path)
+) -> T.StructType:
+    """Write the scored events as CSV; returns the schema to read them back with."""
+    table = scored_events(events, scores, addresses)
+    table.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return table.schema
+
+
+def read_scored_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 
 
 def export_plain_csv(events: DataFrame, path: str) -> None:

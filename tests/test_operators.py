@@ -333,3 +333,17 @@ def test_csv_export(spark, make_events, tmp_path):
     tables.export_plain_csv(events, path)
     times = sorted(r["parsed_time"] for r in spark.read.option("header", True).csv(path).collect())
     assert times == [f"2024-06-15 10:00:0{i}" for i in range(3)]
+
+
+def test_a_retried_run_is_logged_once(spark, make_events, tmp_path):
+    events = make_events([{"ip": "a", "at": i} for i in range(9)])
+    run = tables.analysis_run(events, detect.bruteforce(events), spark.createDataFrame([("a", "LOW")], "ip_address string, level string"), "log", {"z": 1})
+    path = str(tmp_path / "runs")
+    for run_id in ("one", "one", "two"):
+        tables.append_run_log(run, path, run_id)
+    tables.append_run_log(run, path)
+    assert [r["total_events"] for r in tables.read_run_log(spark, path).collect()] == [9] * 3
+    actions = spark.createDataFrame([("a", None, "IP_BLOCK", "t", "s")], "ip string, user string, action string, target string, status string")
+    for run_id in ("one", "one", "two"):
+        tables.append_actions(actions, str(tmp_path / "actions"), run_id)
+    assert tables.read_actions(spark, str(tmp_path / "actions")).count() == 2
