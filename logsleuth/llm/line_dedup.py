@@ -5,8 +5,12 @@ and largest id (references). Keys held by enough documents to be dropped stand i
 filters, one for each shard of keys. Documents can be put in and taken out: counts of the
 keys they touch are taken again from the postings, and keys that come to or fall below the
 limit enter or leave their shard's filter. When repeated keys outgrow the shards, the filters
-are made anew from the references with at least twice as many. A filter answers "surely not repeated" for nearly
-all lines; what it lets through is settled by the exact references.
+are made anew from the references with at least twice as many. A filter answers "surely not
+repeated" for nearly all lines; what it lets through is settled by the exact references.
+
+A change writes what it touches: its own postings, the counts of their keys and the filters of
+their shards. Later versions stand before earlier ones when the index is read, and after
+``COMPACT`` changes the tables are written whole.
 """
 
 from dataclasses import dataclass
@@ -22,8 +26,12 @@ from logsleuth.operators.distribute import store
 MIN_CHARS, MIN_DOCS = 20, 3
 
 #: Keys meant for a shard, bytes of its filter, and bytes of all filters that may be
-#: broadcast. Beyond that they are left out and all postings go to the exact join.
+#: broadcast. Beyond that postings and filters meet by shard, ``GROUP_ROWS`` postings at a time.
 SHARD_KEYS, SHARD_BYTES, BROADCAST_BYTES = 16_384, 64 << 10, 64 << 20
+GROUP_ROWS = 1_000_000
+
+#: Changes after which the tables of an index are written whole.
+COMPACT = 8
 
 #: Stands for a null id while documents are counted: one document below all others.
 NO_ID = -(1 << 63)
@@ -139,13 +147,14 @@ def line_keys(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class LineIndex:
-    """State of the index: tables in the checkpoint folder, replaced by every change."""
+    """State of the index: stored tables of the checkpoint folder, seen through later changes."""
 
     postings: DataFrame
     references: DataFrame
     filters: DataFrame
     shards: int
     min_docs: int
+    changes: int = 0
 
     @staticmethod
     def empty(spark: SparkSession, min_docs: int = MIN_DOCS, shards: int = 1) -> "LineIndex":
@@ -170,38 +179,42 @@ class LineIndex:
         """Without the documents of the column doc_id; unknown ids change nothing."""
         ids = doc_ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")).distinct()
         gone = store(self.postings.join(ids, "doc_id", "left_semi").select("key", "doc_id"))
-        return self._changed(self.postings.join(ids, "doc_id", "left_anti").select("key", "doc_id"), gone)
+        return self._changed(self.postings.join(gone, ["key", "doc_id"], "left_anti"), gone)
 
     def _changed(self, postings: DataFrame, touched: DataFrame) -> "LineIndex":
-        postings = store(postings)
         keys = store(touched.select("key").distinct())
         fresh = store(count_references(postings.join(keys, "key", "left_semi")))
         before = self.references.join(keys, "key", "left_semi").select("key", F.col("n_docs").alias("was"))
         high = lambda c: F.coalesce(F.col(c), F.lit(0)) >= self.min_docs
-        moved = (
+        moved = store(
             fresh.select("key", "n_docs")
             .join(before, "key", "full")
             .filter(high("n_docs") != high("was"))
             .select("key", high("n_docs").alias("enters"))
         )
-        rest = self.references.join(keys, "key", "left_anti")
-        references = store(rest.unionByName(fresh))
+        references = self.references.join(keys, "key", "left_anti").unionByName(fresh)
         repeated = references.filter(F.col("n_docs") >= self.min_docs).select("key")
         shards = shards_for(repeated)
         if shards > self.shards:
             shards = max(shards, 2 * self.shards)
-            filters = new_filters(repeated, shards)
+            filters = store(new_filters(repeated, shards))
         else:
             shards = self.shards
-            filters = turn_filters(self.filters, moved, shards)
-        return LineIndex(postings, references, store(filters), shards, self.min_docs)
+            own = store(with_shard(moved, shards).select("shard").distinct())
+            turned = store(turn_filters(self.filters.join(own, "shard", "left_semi"), moved, shards))
+            filters = self.filters.join(own, "shard", "left_anti").unionByName(turned)
+        tables, changes = (postings, references, filters), self.changes + 1
+        if changes >= COMPACT:
+            tables, changes = tuple(store(table) for table in tables), 0
+        return LineIndex(*tables, shards, self.min_docs, changes)
 
     def droppable(self) -> DataFrame:
         """Exact (key, doc_id) of lines that go: repeated, and not in the keeper."""
-        rows = self.postings
         if self.shards * SHARD_BYTES <= BROADCAST_BYTES:
             known = {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()}
-            rows = passing(rows, known, self.shards)
+            rows = passing(self.postings, known, self.shards)
+        else:
+            rows = passing_by_shard(self.postings, self.filters, self.shards)
         repeated = self.references.filter(F.col("n_docs") >= self.min_docs)
         return rows.join(repeated, "key").filter("doc_id != keeper").select("key", "doc_id")
 
@@ -225,11 +238,6 @@ def new_filters(repeated: DataFrame, shards: int) -> DataFrame:
 def turn_filters(filters: DataFrame, moved: DataFrame, shards: int) -> DataFrame:
     """Filters after keys have come in (``enters``) or gone out. One task holds one shard."""
 
-    def number(batches):
-        for batch in batches:
-            shard = shard_of(as_numbers(batch.column("key")), shards) if len(batch) else []
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *batch.columns], ["shard", "key", "enters"])
-
     def turn(key, old: pa.Table, changes: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         enters = np.array(changes.column("enters").to_pylist(), bool)
@@ -241,10 +249,52 @@ def turn_filters(filters: DataFrame, moved: DataFrame, shards: int) -> DataFrame
             raise RuntimeError("a shard of the line index is full: build it anew")
         return pa.table({"shard": pa.array([shard], pa.int64()), "filter": pa.array([cuckoo.to_bytes()], pa.binary())})
 
-    changes = moved.select("key", "enters").mapInArrow(number, "shard long, key binary, enters boolean")
+    changes = with_shard(moved.select("key", "enters"), shards)
     return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(turn, FILTERS)
 
 
+def with_shard(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` (key and others) with the shard of the key."""
+
+    def number(batches):
+        for batch in batches:
+            shard = shard_of(as_numbers(batch.column("key")), shards) if len(batch) else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int64())], [*batch.schema.names, "shard"])
+
+    return rows.mapInArrow(number, T.StructType([*rows.schema.fields]).add("shard", "long"))
+
+
+def passing_by_shard(postings: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """As ``passing``, for filters too large to be sent everywhere.
+
+    Postings go to the filter of their shard. A shard with very many postings (a line of a
+    third of all documents) is dealt over several copies of its filter.
+    """
+    numbered = with_shard(postings, shards)
+    sizes = numbered.groupBy("shard").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("copies"))
+    sizes = store(sizes)
+    dealt = numbered.join(sizes, "shard").withColumn("copy", F.pmod(F.hash("doc_id"), F.col("copies")))
+    copies = filters.join(sizes, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+
+    def run(own: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(known) or not len(own):
+            return own.slice(0, 0)
+        cuckoo = Cuckoo(raw=known.column("filter")[0].as_py())
+        return own.filter(pa.array(cuckoo.contains(as_numbers(own.column("key").to_pylist()))))
+
+    groups = dealt.select("key", "doc_id", "shard", "copy").groupBy("shard", "copy")
+    found = groups.cogroup(copies.select("filter", "shard", "copy").groupBy("shard", "copy"))
+    return found.applyInArrow(lambda a, b: run(a, b).select(["key", "doc_id"]), postings.schema)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that is not in ``columns``, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def passing(postings: DataFrame, known: dict, shards: int) -> DataFrame:
     """Postings whose keys are in the filter of their shard."""
 
@@ -270,8 +320,9 @@ def drop_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
     these names. A null text counts as one empty line and becomes an empty text. Rows with
     the same id are one document: all of them lose the line, or, as the largest id, none.
     """
-    drops = index.droppable().groupBy("doc_id").agg(F.collect_set("key").alias("_drops"))
-    drops = drops.select(F.col("doc_id").alias("_doc"), "_drops").hint("shuffle_hash")
+    gone_keys, gone_doc = unused("_drops", docs.columns), unused("_doc", docs.columns)
+    drops = index.droppable().groupBy(F.col("doc_id").alias(gone_doc)).agg(F.collect_set("key").alias(gone_keys))
+    drops = drops.hint("shuffle_hash")
     passing_on = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     schema = T.StructType([docs.schema[c] for c in passing_on])
     schema["text"].nullable = True
@@ -280,7 +331,7 @@ def drop_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts, total, dropped = [], [], []
-            for text, gone in zip(batch.column("text"), batch.column("_drops")):
+            for text, gone in zip(batch.column("text"), batch.column(gone_keys)):
                 lines = (text.as_buffer().to_pybytes() if text.is_valid else b"").split(b"\n")
                 kept = lines
                 if gone.is_valid:
@@ -292,7 +343,7 @@ def drop_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
             new = {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(total), "n_dropped": pa.array(dropped)}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in schema.names], schema.names)
 
-    same = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_doc")
-    joined = docs.select(*passing_on).join(drops, same, "left").drop("_doc")
+    same = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col(gone_doc)
+    joined = docs.select(*passing_on).join(drops, same, "left").drop(gone_doc)
     small_batches(docs.sparkSession)
     return joined.mapInArrow(run, schema)
