@@ -32,8 +32,8 @@ from logsleuth.llm.texts import blocks, id_and_text, mix, shingles, text_buffer,
 from logsleuth.operators.components import connected_components
 from logsleuth.operators.distribute import store
 
-#: Counters of a table by bucket (see ``bag``), and rows of the table of random numbers.
-DF_WIDTH, RANDOM_ROWS = 1 << 18, 1 << 15
+#: Rows of the table of random numbers, and shingles that are drawn from at once.
+RANDOM_ROWS, DRAW_ROWS = 1 << 13, 1 << 10
 
 #: Bytes of text in a chunk of documents, and bytes of text for each part of the shingles.
 CHUNK_BYTES, PART_BYTES = 4 << 20, 16 << 20
@@ -58,10 +58,6 @@ class Similarity:
     seed: int = 42
 
 
-def df_bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - 18)).astype(np.int64)
-
-
 def packed(counts: np.ndarray) -> bytes:
     """Counts in the narrowest type that holds them, behind the size of that type."""
     size = next(n for n in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << 8 * n)
@@ -146,15 +142,6 @@ def shingle_idf(counts: np.ndarray, total: int, rarity: float = Similarity.rarit
     return 1 + rarity * (span - np.log(counts + 1)) / span
 
 
-def bag(words: np.ndarray, k: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles in ascending order and their weights by a table of buckets.
-
-    Equals the weights by exact counts where no two shingles share a bucket.
-    """
-    keys, tf = np.unique(shingles(words, k), return_counts=True)
-    return keys, tf * idf[df_bucket(keys)]
-
-
 def exact_bag(words: np.ndarray, k: int, df: np.ndarray, total: int, rarity: float) -> tuple:
     """Distinct shingles in ascending order, their weights and idf; ``df`` in that order."""
     keys, tf = np.unique(shingles(words, k), return_counts=True)
@@ -173,8 +160,9 @@ def weighted_jaccard(a: tuple, b: tuple) -> float:
 class Sampler:
     """Draws of improved consistent weighted sampling.
 
-    Each shingle owns one row of random numbers (gamma(2, 1) for r and c, uniform for beta)
-    by its hash, so all documents see the same numbers for it.
+    Each shingle has a row of random numbers (gamma(2, 1) for r and c, uniform for beta)
+    by its hash, so all documents see the same numbers for it. Of shingles that share the row
+    and the weight the smallest is drawn, in all documents alike.
     """
 
     def __init__(self, draws: int, seed: int):
@@ -186,16 +174,26 @@ class Sampler:
         self.beta = rng.random(size, dtype=np.float32)
 
     def draw(self, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """One 64-bit number for each draw: the shingle drawn and its level."""
-        log_weight = np.log(weights).astype(np.float32)[:, None]
-        row = (keys & np.uint64(RANDOM_ROWS - 1)).astype(np.int64)
-        r, beta = self.r[row], self.beta[row]
-        level = np.floor(log_weight / r + beta)
-        value = self.log_c[row] - r * (level - beta + np.float32(1))
-        best = value.argmin(axis=0)
-        at = level[best, np.arange(level.shape[1])].astype(np.int64).view(np.uint64)
+        """One 64-bit number for each draw: the shingle drawn and its level.
+
+        Shingles are looked at ``DRAW_ROWS`` at a time, however long the document is.
+        """
+        draws = np.arange(self.r.shape[1])
+        least = np.full(len(draws), np.inf, np.float32)
+        drawn, levels = np.zeros(len(draws), np.uint64), np.zeros(len(draws), np.float32)
+        for a in range(0, len(keys), DRAW_ROWS):
+            own = keys[a : a + DRAW_ROWS]
+            row = (own & np.uint64(RANDOM_ROWS - 1)).astype(np.int64)
+            r, beta = self.r[row], self.beta[row]
+            level = np.floor(np.log(weights[a : a + DRAW_ROWS]).astype(np.float32)[:, None] / r + beta)
+            value = self.log_c[row] - r * (level - beta + np.float32(1))
+            best = value.argmin(axis=0)
+            better = value[best, draws] < least
+            least = np.where(better, value[best, draws], least)
+            drawn = np.where(better, own[best], drawn)
+            levels = np.where(better, level[best, draws], levels)
         with np.errstate(over="ignore"):
-            return mix(keys[best] + at * np.uint64(0x9E3779B97F4A7C15))
+            return mix(drawn + levels.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 @functools.lru_cache(maxsize=1)

@@ -1,5 +1,8 @@
 """Whole texts as Arrow buffers: blocks of documents, words, hashes and counts by bucket."""
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,25 @@ def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
+# Fixed value: the number of the allocator's setting for blocks that are mapped on their own.
+M_MMAP_THRESHOLD = -3
+
+
+@functools.cache
+def lean_memory() -> None:
+    """Let this worker give freed memory back, which it would keep as long as it lives.
+
+    Workers are used again by all later steps: what a step has needed once would be missing to
+    the others. Blocks of a megabyte and more are mapped on their own, so freeing returns them.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such setting
+        ctypes.CDLL(None).mallopt(M_MMAP_THRESHOLD, 1 << 20)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; null counts as empty."""
+    lean_memory()
     if column.null_count:
         column = pc.fill_null(column, "" if pa.types.is_string(column.type) else b"")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

@@ -181,6 +181,52 @@ def test_line_dedup_is_reversible(spark, odd):
     assert line_dedup.drop_lines(odd, line_dedup.LineIndex.build(odd)).count() == len(ODD)
 
 
+def folder_bytes(spark):
+    from pathlib import Path
+
+    folder = Path(line_dedup.store(spark.range(1)).inputFiles()[0].removeprefix("file:")).parent.parent
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+def test_line_index_writes_what_changes(spark):
+    """One document more or less is a small part of an index of many, and compaction keeps the result."""
+    texts = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("a line of some length "), (F.col("id") * 13 % 997 + i).cast("string"))), "\n")
+    many = spark.range(3_000).select(F.col("id").alias("doc_id"), texts.alias("text"))
+    before = folder_bytes(spark)
+    index = line_dedup.LineIndex.build(many)
+    whole = folder_bytes(spark) - before
+    one = spark.createDataFrame([(5_000, "a line of some length 7\nquite another line, and a new one")], "doc_id long, text string")
+    before = folder_bytes(spark)
+    more = index.insert(one)
+    less = more.delete(one)
+    assert folder_bytes(spark) - before < whole / 3 and less.changes == 2
+    state = lambda x: sorted(map(tuple, x.droppable().collect()))
+    kept = state(index)
+    assert state(less) == kept and state(more) == state(line_dedup.LineIndex.build(many.union(one)))
+    for _ in range(line_dedup.COMPACT // 2):
+        less = less.insert(one).delete(one)
+    assert less.changes < line_dedup.COMPACT and state(less) == kept
+
+
+def test_filters_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "GROUP_ROWS", 7)
+    rows = [(i, f"shared by every document here\nshared by a third of them {i % 3}\nown line number {i} of this") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    index = line_dedup.LineIndex.build(frame)
+    got = collections.Counter(r.doc_id for r in index.droppable().collect())
+    assert got == {i: 2 if i < 57 else 1 for i in range(59)}
+
+
+def test_line_dedup_beside_any_columns(spark):
+    rows = [(i, "the same line in all of them", "x", i, 1) for i in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _drops string, _DOC long, n_lines int")
+    found = line_dedup.drop_lines(frame, line_dedup.LineIndex.build(frame)).collect()
+    assert sorted((r.doc_id, r.text, r._drops, r._DOC, r.n_dropped) for r in found) == [
+        (0, "", "x", 0, 1), (1, "", "x", 1, 1), (2, "", "x", 2, 1), (3, rows[3][1], "x", 3, 0),
+    ]
+
+
 def test_line_index_grows(spark):
     """More repeated keys than one filter has slots, put into an empty index."""
     line = F.concat(F.lit("a line that is long enough "), F.col("id").cast("string"))
@@ -235,11 +281,10 @@ def near_classes(rows, least=0.8):
     data, offsets = text_buffer(pa.array([t for _, t in rows], pa.string()))
     (hashes,), first = word_hashes(data, offsets)
     words = [hashes[a:b] for a, b in zip(first, first[1:])]
-    counts = np.zeros(minhash.DF_WIDTH, np.int64)
-    for w in words:
-        counts[np.unique(minhash.df_bucket(shingles(w, 5)))] += 1
-    idf = minhash.shingle_idf(counts, len(rows))
-    bags = [minhash.bag(w, 5, idf) for w in words]
+    sets = [np.unique(shingles(w, 5)).tolist() for w in words]
+    counts = collections.Counter(k for own in sets for k in own)
+    rarity = minhash.Similarity.rarity
+    bags = [minhash.exact_bag(w, 5, np.array([counts[k] for k in own]), len(rows), rarity) for w, own in zip(words, sets)]
     own = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
