@@ -37,7 +37,7 @@ MIN_ADDRESSES = 3
 LONE, LONE_LABEL, CAMPAIGN_LABEL = -1, "Lone Actor", "Campaign #%d"
 
 # Points that splits are taken from, points a leaf is meant to own, points that meet in a task.
-SAMPLE_POINTS, LEAF_POINTS, BLOCK_POINTS = 20_000, 2_048, 16_384
+SAMPLE_POINTS, LEAF_POINTS, BLOCK_POINTS = 20_000, 4_096, 32_768
 # Points that all blocks of a leaf share, and points compared with a ring at once.
 PIVOTS, TILE = 64, 128
 # Fewest sampled points of a leaf, so that a split is not guessed.
