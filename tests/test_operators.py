@@ -327,9 +327,10 @@ def test_stored_tables(spark, make_events, tmp_path, rows_of):
 def test_csv_export(spark, make_events, tmp_path):
     events, scores = scored(make_events, [{"ip": "5.5.5.5", "message": 'quo"ted, text'}] * 3)
     path = str(tmp_path / "out")
-    tables.export_scored_csv(events, scores.filter("ip_address = 'none'"), path)
-    back = spark.read.option("header", True).csv(path).collect()
-    assert len(back) == 3 and back[0]["risk_score"] == "0.0" and back[0]["severity_level"] == "LOW"
+    schema = tables.export_scored_csv(events, scores.filter("ip_address = 'none'"), path)
+    back = tables.read_scored_csv(spark, path, schema).collect()
+    assert len(back) == 3 and {r["message"] for r in back} == {'quo"ted, text'}
+    assert back[0]["risk_score"] == 0.0 and back[0]["severity_level"] == "LOW"
     tables.export_plain_csv(events, path)
     times = sorted(r["parsed_time"] for r in spark.read.option("header", True).csv(path).collect())
     assert times == [f"2024-06-15 10:00:0{i}" for i in range(3)]
