@@ -222,21 +222,22 @@ def nodes_of(docs: DataFrame, s: Similarity) -> tuple[DataFrame, int]:
 
     def run(own: pa.Table, counts: pa.Table) -> pa.Table:
         words = list(word_runs(whole(own.column("text"))))
-        keys = np.unique(np.concatenate([shingles(w, s.words) for w in words])) if words else np.zeros(0, np.uint64)
+        sets = [np.unique(shingles(w, s.words), return_counts=True) for w in words]
+        keys = np.unique(np.concatenate([some for some, _ in sets])) if words else np.zeros(0, np.uint64)
         turn = np.argsort(whole(counts.column("part")).to_numpy())
         raw = counts.column("df").to_pylist()
         df = np.concatenate([np.zeros(0, np.int64), *(unpacked(raw[i]) for i in turn)])
         if len(df) != len(keys):
             raise RuntimeError("the documents have changed while their shingles were counted")
         nodes, buckets, frequencies = [], [], []
-        for w in words:
+        for w, (some, tf) in zip(words, sets):
             if not len(w):
                 nodes.append(None)
                 buckets.append(None)
                 frequencies.append(None)
                 continue
-            mine = df[np.searchsorted(keys, np.unique(shingles(w, s.words)))]
-            some, weights, _ = exact_bag(w, s.words, mine, total, s.rarity)
+            mine = df[np.searchsorted(keys, some)]
+            weights = tf * shingle_idf(mine, total, s.rarity)
             nodes.append(xxhash.xxh3_128_digest(w.tobytes()))
             buckets.append(band_keys(sampler(s.bands * s.rows, s.seed).draw(some, weights), s.bands, s.rows))
             frequencies.append(packed(mine))
