@@ -13,6 +13,7 @@ from logsleuth.operators import (
     behaviour,
     campaigns,
     chains,
+    components,
     detect,
     enrich,
     features,
@@ -35,7 +36,7 @@ from logsleuth.streaming import jobs
 
 # Functions that run inside tasks travel with the job, so that the queries also work
 # where the package is not installed on the executors.
-for module in (anomaly, behaviour, campaigns, jobs, schema):
+for module in (anomaly, behaviour, campaigns, components, jobs, schema):
     cloudpickle.register_pickle_by_value(module)
 
 # Radius of the campaigns that are checked besides those of the default radius.

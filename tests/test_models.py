@@ -112,7 +112,9 @@ def test_insiders(make_events):
     assert "Accessed from 5 different IPs" in found[0]["indicators"]
 
 
-def test_components(spark, rows_of):
+@pytest.mark.parametrize("at_once", [0, 200_000])
+def test_components(spark, rows_of, monkeypatch, at_once):
+    monkeypatch.setattr(components, "LINKS_AT_ONCE", at_once)
     chain = [(i, i + 1) for i in range(0, 40)]
     star = [(100, 100 + i) for i in range(1, 30)]
     shuffled = [(7, 300), (300, 2)]
@@ -120,6 +122,10 @@ def test_components(spark, rows_of):
     vertices = [*range(41), *range(100, 130), 300, 999]
     found = dict(rows_of(components.connected_components(spark.createDataFrame([(v,) for v in vertices], "v long"), links), "v", "root"))
     assert found == {**{v: 0 for v in [*range(41), 300]}, **{v: 100 for v in range(100, 130)}, 999: 999}
+    start = spark.createDataFrame(list(found.items()), "v long, root long")
+    more = spark.createDataFrame([(129, 999), (999, 129), (5, 300)], "a long, b long")
+    again = dict(rows_of(components.connected_components(start.select("v"), more, start), "v", "root"))
+    assert again == {**found, 999: 100}
 
 
 def plain_dbscan(points, eps, min_samples):
