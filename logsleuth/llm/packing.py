@@ -33,11 +33,12 @@ class Packer:
     """Fills sequences one after the other from the pieces that wait.
 
     ``emit`` gets (example, start, length, sequence, offset) for each placed piece, where
-    example is what was given to ``add``.
+    example is what was given to ``add``, or what ``part`` (example, start, length) made of it:
+    a piece that waits keeps no more of its example than that.
     """
 
-    def __init__(self, limits: Limits, first: int, emit):
-        self.limits, self.next, self.emit = limits, first, emit
+    def __init__(self, limits: Limits, first: int, emit, part=lambda example, start, n: example):
+        self.limits, self.next, self.emit, self.part = limits, first, emit, part
         room = 2 * limits.window
         self.tokens = np.zeros(room, np.int64)
         self.loss = np.zeros(room, np.int64)
@@ -80,7 +81,9 @@ class Packer:
         i = self.n
         self.tokens[i] = n
         self.loss[i] = n if before is None else before[start + n] - before[start]
-        self.waiting[i] = (example, start, before)
+        # Losses before each token of the piece, counted from its first token.
+        own = None if before is None else before[start : start + n + 1].copy()
+        self.waiting[i] = (self.part(example, start, n), start, own, start)
         self.n += 1
 
     def _take(self, i: int):
@@ -92,8 +95,8 @@ class Packer:
         self.waiting[last], self.n = None, last
 
     def _place(self, i: int, n: int):
-        example, start, before = self.waiting[i]
-        loss = n if before is None else int(before[start + n] - before[start])
+        example, start, before, first = self.waiting[i]
+        loss = n if before is None else int(before[start + n - first] - before[start - first])
         self.emit(example, start, n, self.next, self.used[0])
         self.used = [self.used[0] + n, self.used[1] + 1, self.used[2] + loss]
         if n == self.tokens[i]:
@@ -101,7 +104,7 @@ class Packer:
         else:
             self.tokens[i] -= n
             self.loss[i] -= loss
-            self.waiting[i] = (example, start + n, before)
+            self.waiting[i] = (example, start + n, before, first)
 
     def fill(self, leave: int):
         """Places waiting pieces until at most ``leave`` of them wait."""
@@ -120,11 +123,12 @@ class Packer:
             else:
                 best = int(np.argmax(gain))
                 n = min(room[0], int(tokens[best]))
-                example, start, before = self.waiting[best]
+                _, start, before, first = self.waiting[best]
                 if before is None:
                     n = min(n, room[2])
                 else:
-                    n = min(n, int(np.searchsorted(before, before[start] + room[2], "right")) - 1 - start)
+                    at = start - first
+                    n = min(n, int(np.searchsorted(before, before[at] + room[2], "right")) - 1 - at)
                 if n >= lim.min_cut:
                     self._place(best, n)
                 else:
@@ -164,9 +168,13 @@ def pack(
         kept_types: list = []
 
         def emit(example, start, length, sequence, offset):
-            row, raw = example
-            piece = raw[4 * start : 4 * (start + length)]
-            placed.append((row, start, length, piece, len(raw) // 4, sequence, offset))
+            row, raw, first, total = example
+            piece = raw[4 * (start - first) : 4 * (start - first + length)]
+            placed.append((row, start, length, piece, total, sequence, offset))
+
+        def part(example, start, length):
+            row, raw, first, total = example
+            return row, raw[4 * (start - first) : 4 * (start - first + length)], start, total
 
         def flush():
             rows, *values = zip(*placed)
@@ -175,7 +183,7 @@ def pack(
             placed.clear()
             return pa.RecordBatch.from_arrays(arrays, [*keep, *arrow.names])
 
-        packer = Packer(limits, TaskContext.get().partitionId() << 40, emit)
+        packer = Packer(limits, TaskContext.get().partitionId() << 40, emit, part)
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         for batch in batches:
             kept_types[:] = [batch.schema.field(c).type for c in keep]
@@ -186,7 +194,7 @@ def pack(
                 own = None
                 if masks is not None and masks[i].is_valid:
                     own = np.frombuffer(masks[i].as_py() + (b"\1" if end else b""), np.uint8)
-                packer.add((rows[i], raw), len(raw) // 4, own)
+                packer.add((rows[i], raw, 0, len(raw) // 4), len(raw) // 4, own)
                 if len(placed) >= 4096:
                     yield flush()
         packer.finish()
