@@ -77,6 +77,13 @@ def from_planes(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(">u8")[:, 0].astype(np.uint64)
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Distinct hashes in ascending order. Sorting them is many times faster than the hash
+    table that ``np.unique`` builds where nothing else is asked of it."""
+    hashes = np.sort(hashes)
+    return hashes[np.concatenate((hashes[:1] == hashes[:1], hashes[1:] != hashes[:-1]))]
+
+
 def word_runs(column):
     """Word hashes of each text of an Arrow column."""
     data, offsets = text_buffer(column)
@@ -106,7 +113,7 @@ def document_frequency(chunked: DataFrame, parts: int, words: int) -> DataFrame:
     """
 
     def count(table: pa.Table) -> pa.Table:
-        found = [np.unique(shingles(own, words)) for own in word_runs(whole(table.column("text")))]
+        found = [distinct(shingles(own, words)) for own in word_runs(whole(table.column("text")))]
         keys, n = np.unique(np.concatenate(found), return_counts=True)
         part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
         some, first = np.unique(part, return_index=True)
@@ -223,7 +230,7 @@ def nodes_of(docs: DataFrame, s: Similarity) -> tuple[DataFrame, int]:
     def run(own: pa.Table, counts: pa.Table) -> pa.Table:
         words = list(word_runs(whole(own.column("text"))))
         sets = [np.unique(shingles(w, s.words), return_counts=True) for w in words]
-        keys = np.unique(np.concatenate([some for some, _ in sets])) if words else np.zeros(0, np.uint64)
+        keys = distinct(np.concatenate([some for some, _ in sets])) if words else np.zeros(0, np.uint64)
         turn = np.argsort(whole(counts.column("part")).to_numpy())
         raw = counts.column("df").to_pylist()
         df = np.concatenate([np.zeros(0, np.int64), *(unpacked(raw[i]) for i in turn)])
