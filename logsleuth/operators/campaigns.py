@@ -40,8 +40,10 @@ LONE, LONE_LABEL, CAMPAIGN_LABEL = -1, "Lone Actor", "Campaign #%d"
 SAMPLE_POINTS, LEAF_POINTS, BLOCK_POINTS = 20_000, 4_096, 32_768
 # Points that all blocks of a leaf share, and points compared with a ring at once.
 PIVOTS, TILE = 64, 128
-# Fewest sampled points of a leaf, so that a split is not guessed.
-LEAST_SAMPLED = 32
+# Fewest sampled points of a leaf, so that a split is not guessed, and limits tried in a dimension.
+LEAST_SAMPLED, SPLITS_TRIED = 32, 33
+# How many times the blocks that open points have met they have met after a further round.
+MORE_BLOCKS = 4
 
 
 def scaled_features(features: DataFrame) -> DataFrame:
@@ -87,19 +89,32 @@ def dbscan_params(features: DataFrame) -> DataFrame:
 def split_tree(sample: np.ndarray, each: float, eps: float) -> tuple[object, int]:
     """Splits of space and the number of leaves; a sampled point stands for ``each`` points.
 
-    A leaf is its number, a split (dimension, limit, below, from there on). A box that is no
-    wider than twice the radius is not split: nearly all its points would go to both sides.
+    A leaf is its number, a split (dimension, limit, below, from there on). Points within eps
+    of a limit go to both sides, so the split that has fewest of them for each point of its
+    smaller side is taken, and none that has more of them than that side has points.
     """
     leaves = 0
 
+    def best(points):
+        """Dimension and limit of the best split, or None."""
+        n, least, found = len(points), 1.0, None
+        places = np.unique(np.linspace(n // 10, n - n // 10, SPLITS_TRIED).astype(int))
+        for d, value in enumerate(np.sort(points, axis=0).T):
+            limits = value[places]
+            below = np.searchsorted(value, limits)
+            side = np.minimum(below, n - below)
+            shared = np.searchsorted(value, limits + eps, "right") - np.searchsorted(value, limits - eps)
+            cost = np.where(side >= LEAST_SAMPLED, shared / np.maximum(side, 1), np.inf)
+            at = int(cost.argmin())
+            if cost[at] <= least:
+                least, found = cost[at], (d, float(limits[at]))
+        return found
+
     def split(points):
         nonlocal leaves
-        if len(points) * each > LEAF_POINTS and len(points) >= 2 * LEAST_SAMPLED:
-            low, middle, high = np.percentile(points, (10, 50, 90), axis=0)
-            d = int(np.argmax(high - low))
-            below = points[:, d] < middle[d]
-            if high[d] - low[d] > 2 * eps and LEAST_SAMPLED <= below.sum() <= len(points) - LEAST_SAMPLED:
-                return d, float(middle[d]), split(points[below]), split(points[~below])
+        if len(points) * each > LEAF_POINTS and len(points) >= 2 * LEAST_SAMPLED and (at := best(points)):
+            below = points[:, at[0]] < at[1]
+            return *at, split(points[below]), split(points[~below])
         leaves += 1
         return leaves - 1
 
@@ -153,12 +168,24 @@ def numbers(table: pa.Table, name: str) -> np.ndarray:
 
 
 def within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
-    """Which rows of ``b`` are within ``eps`` of which rows of ``a``."""
-    total = np.zeros((len(a), len(b)))
-    for d in range(a.shape[1]):
-        gap = a[:, d, None] - b[None, :, d]
-        total += gap * gap
-    return np.sqrt(total) <= eps
+    """Which rows of ``b`` are within ``eps`` of which rows of ``a``.
+
+    Squares of distances are one product of matrices; pairs so near to ``eps`` that its
+    rounding could decide are computed from the differences.
+    """
+    square_a, square_b = (a * a).sum(1), (b * b).sum(1)
+    finite = [x.max(initial=0, where=np.isfinite(x)) for x in (square_a, square_b)]
+    total = np.column_stack([a, square_a, np.ones(len(a))]) @ np.column_stack([-2 * b, np.ones(len(b)), square_b]).T
+    slack = 1e-12 * (sum(finite) + eps * eps)
+    near = total <= eps * eps + slack
+    i, j = np.nonzero(near & (total >= eps * eps - slack))
+    if len(i):
+        exact = np.zeros(len(i))
+        for d in range(a.shape[1]):
+            gap = a[i, d] - b[j, d]
+            exact += gap * gap
+        near[i, j] = np.sqrt(exact) <= eps
+    return near
 
 
 class Rings:
@@ -273,27 +300,38 @@ def _core_points(entries: DataFrame, blocks: dict, eps: float, enough: int) -> D
     """pid, core, and for the others near: the few points around them (themselves too)."""
     members = entries.withColumns({"probe": F.col("own"), "member": F.lit(True)})
     counted = _counted(members, ["leaf", "block"], eps, enough)
-    if max(blocks.values(), default=1) > 1:
+    # What is still open in a leaf of several blocks looks into the others, a few at first:
+    # most points soon have enough, so that few meet all blocks.
+    wide = {leaf: n for leaf, n in blocks.items() if n > 1}
+    met, done = 1, []
+    while wide:
         counted = store(counted)
-        # What is still open in a leaf of several blocks looks into the others.
-        wide = {leaf: n for leaf, n in blocks.items() if n > 1}
-        in_wide = F.col("leaf").isin(list(wide))
-        rest = store(
-            entries.filter(in_wide & F.col("own")).join(counted.filter(F.col("n") < enough), "pid", "left_semi")
-        )
+        done.append(counted.filter(F.col("n") >= enough))
+        counted = counted.filter(F.col("n") < enough)
+        own = entries.filter(F.col("leaf").isin(list(wide)) & F.col("own"))
+        rest = store(own.join(counted, "pid", "left_semi"))
         parts = {r["leaf"]: -(-r["n"] // BLOCK_POINTS) for r in rest.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-        if parts:
-            part = F.pmod(F.hash("pid"), _of_leaf(parts))
-            others = F.filter(F.sequence(F.lit(0), _of_leaf(wide) - 1), lambda b: b != F.col("block"))
-            probes = rest.withColumns({"part": part, "block": F.explode(others), "probe": F.lit(True), "member": F.lit(False)})
-            into = (
-                entries.filter(F.col("leaf").isin(list(parts)))
-                .withColumns({"part": F.explode(F.sequence(F.lit(0), _of_leaf(parts) - 1)), "probe": F.lit(False), "member": F.lit(True)})
-            )
-            more = _counted(probes.unionByName(into), ["leaf", "block", "part"], eps, enough)
-            counted = counted.unionByName(more).groupBy("pid").agg(
-                F.sum("n").alias("n"), F.flatten(F.collect_list("near")).alias("near")
-            )
+        if not parts:
+            break
+        part = F.pmod(F.hash("pid"), _of_leaf(parts))
+        further = F.sequence(F.lit(met), F.least(F.lit(MORE_BLOCKS * met), _of_leaf(wide)) - 1)
+        probes = (
+            rest.withColumns({"part": part, "_on": F.explode(further), "probe": F.lit(True), "member": F.lit(False)})
+            .withColumn("block", F.pmod(F.col("block") + F.col("_on"), _of_leaf(wide)))
+            .drop("_on")
+        )
+        into = (
+            entries.filter(F.col("leaf").isin(list(parts)))
+            .withColumns({"part": F.explode(F.sequence(F.lit(0), _of_leaf(parts) - 1)), "probe": F.lit(False), "member": F.lit(True)})
+        )
+        more = _counted(probes.unionByName(into), ["leaf", "block", "part"], eps, enough)
+        counted = counted.unionByName(more).groupBy("pid").agg(
+            F.sum("n").alias("n"), F.flatten(F.collect_list("near")).alias("near")
+        )
+        met *= MORE_BLOCKS
+        wide = {leaf: n for leaf, n in wide.items() if n > met}
+    for some in done:
+        counted = counted.unionByName(some)
     core = F.col("n") >= enough
     return store(counted.select("pid", core.alias("core"), F.when(~core, F.col("near")).alias("near")))
 
@@ -323,18 +361,26 @@ def _apart(rows: DataFrame, eps: float) -> DataFrame:
     """Pairs (a, b) of different components of which a probe and a member are near."""
 
     def run(table: pa.Table) -> pa.Table:
-        x, root = vectors(table.column("x")), numbers(table, "root")
+        x = vectors(table.column("x"))
+        roots, root = np.unique(numbers(table, "root"), return_inverse=True)
         probe, member = numbers(table, "probe"), numbers(table, "member")
-        rings, found = Rings(x[member], x[member].mean(0)) if member.any() else None, set()
-        mine = root[member][rings.order] if rings else None
-        for i in np.flatnonzero(probe) if rings else ():
-            radius = float(np.sqrt(((x[i] - rings.pivot) ** 2).sum()))
-            a, b = rings.around(radius, radius, eps)
-            other = a + np.flatnonzero(mine[a:b] != root[i])
-            near = other[within(x[i : i + 1], rings.x[other], eps)[0]]
-            found.update((min(root[i], r), max(root[i], r)) for r in np.unique(mine[near]).tolist())
-        a, b = zip(*found) if found else ((), ())
-        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        links = [np.zeros(0, np.int64)]
+        if probe.any() and member.any():
+            rings = Rings(x[member], x[member].mean(0))
+            own = Rings(x[probe], rings.pivot)
+            theirs, mine = root[probe][own.order], root[member][rings.order]
+            for first in range(0, len(theirs), TILE):
+                tile = slice(first, first + TILE)
+                low, high = rings.around(own.radius[tile][0], own.radius[tile][-1], eps)
+                for a in range(low, high, 16 * TILE):
+                    some = slice(a, min(a + 16 * TILE, high))
+                    near = within(own.x[tile], rings.x[some], eps) & (theirs[tile, None] != mine[some])
+                    i, j = np.nonzero(near)
+                    i, j = theirs[tile][i], mine[some][j]
+                    links.append(np.unique(np.minimum(i, j) * len(roots) + np.maximum(i, j), return_index=True)[0])
+        links = np.unique(np.concatenate(links), return_index=True)[0]
+        a, b = np.divmod(links, max(len(roots), 1))
+        return pa.Table.from_arrays([pa.array(roots[a], pa.int64()), pa.array(roots[b], pa.int64())], ["a", "b"])
 
     return rows.groupBy("leaf", "block", "part").applyInArrow(run, "a long, b long")
 

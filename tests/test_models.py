@@ -263,6 +263,46 @@ def test_rows_grow_with_points_not_pairs(spark):
     assert rows[4_000][1] > 90 * rows[400][1] and rows[4_000][0] <= 10 * max(rows[400][0], 1)
 
 
+def test_borders_of_leaves_hold_few_points():
+    """In thirteen dimensions leaves as small as wanted would hold all points many times over."""
+    x = np.random.default_rng(8).normal(0, 1, (4_000, 13))
+    assert campaigns.split_tree(x, 100.0, 0.8)[1] == 1
+    apart = np.concatenate([x, x + np.eye(13)[4] * 12])
+    tree, leaves = campaigns.split_tree(apart, 100.0, 0.8)
+    assert leaves == 2 and tree[0] == 4 and 3 < tree[1] < 9
+
+
+def test_open_points_meet_few_blocks_at_first(spark, monkeypatch):
+    """Points that have enough neighbours in the next blocks are not brought to all of them."""
+    force_splits(monkeypatch, 10_000, 40, 1)
+    brought, counted = [], campaigns._counted
+
+    def watched(rows, keys, eps, enough):
+        if "part" in keys:
+            brought.append(rows.filter("probe").count())
+        return counted(rows, keys, eps, enough)
+
+    monkeypatch.setattr(campaigns, "_counted", watched)
+    rng = np.random.default_rng(11)
+    frame, seen = campaign_input(spark, rng.normal(0, 1, (800, 2)))
+    campaigns.ip_campaigns(frame, seen, eps=0.5, min_samples=5).collect()
+    assert 2 <= len(brought) <= 3 and sum(brought) < brought[0] / 3 * 19 / 2
+    check_campaigns(spark, rng.normal(0, 1, (400, 2)), eps=0.25, min_samples=5)
+
+
+def test_distances_at_the_very_edge():
+    """Products of matrices round otherwise than differences; what they leave open is computed plainly."""
+    rng = np.random.default_rng(12)
+    a = np.round(rng.normal(0, 3, (300, 13)), 1) + 1e6
+    b = a[:, None] + 0.8 * np.eye(13)[None, :3]
+    b = np.concatenate([b.reshape(-1, 13), np.nextafter(a, np.inf), np.full((1, 13), np.nan), np.full((1, 13), np.inf)])
+    total = np.zeros((len(a), len(b)))
+    with np.errstate(invalid="ignore"):
+        for d in range(13):
+            total += (a[:, d, None] - b[None, :, d]) ** 2
+        assert (campaigns.within(a, b, 0.8) == (np.sqrt(total) <= 0.8)).all()
+
+
 def test_campaigns_of_few_addresses(spark):
     frame, seen = campaign_input(spark, [[0.0], [1.0]])
     assert {r["campaign_cluster"] for r in campaigns.ip_campaigns(frame, seen).collect()} == {-1}
